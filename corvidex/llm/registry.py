@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvidex.llm import bpe
+from corvidex.llm import bpe, decontaminate, langid, sharding
 
-_MODULES = (bpe,)
+_MODULES = (bpe, langid, decontaminate, sharding)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
