@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvidex.llm import bpe, decontaminate, langid, quality, sharding, tokenfiles
+from corvidex.llm import bpe, decontaminate, langid, minhash, quality, sharding, tokenfiles
 
-_MODULES = (bpe, tokenfiles, langid, decontaminate, sharding, quality)
+_MODULES = (bpe, tokenfiles, minhash, langid, decontaminate, sharding, quality)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
