@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvidex.llm import bpe, decontaminate, langid, minhash, quality, sharding, tokenfiles
+from corvidex.llm import bpe, chat, decontaminate, langid, minhash, quality, rangecoder, sharding, tokenfiles, warc
 
-_MODULES = (bpe, tokenfiles, minhash, langid, decontaminate, sharding, quality)
+_MODULES = (bpe, tokenfiles, minhash, warc, langid, decontaminate, rangecoder, sharding, chat, quality)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
