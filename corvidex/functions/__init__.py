@@ -1 +1 @@
-
+"""Scalar expressions as Columns."""

@@ -1,6 +1,7 @@
 """The registered queries with their SQL twins."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+from corvidex.plans import graphs, relational, retrieval, temporal, texts  # noqa: F401
+from corvidex.plans.base import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
