@@ -8,7 +8,7 @@ in rising time, and a process stops once it is later than the latest position: a
 
 Candidates. Equal texts are one node. Nodes that agree in all rows of a band share a bucket: at similarity 0.8 all 32
 bands miss with probability 6e-5. A bucket is not expanded into all pairs. First each member is paired with the bucket's
-most connected member and with the least member that shares the next band too, which links groups in linear time. What then
+most connected member and with the least member that shares another band too, which links groups in linear time. What then
 still lies in several components of one bucket is compared pair by pair across components, so that no candidate is lost;
 only pairs whose 4-bit signatures put them more than four standard errors below the threshold are left out.
 
@@ -37,6 +37,10 @@ POSITIONS = ROWS * BANDS
 NUMERATOR, DENOMINATOR = 4, 5
 #: Least share of equal 4-bit signature values: of similarity 0.8, 0.8125 with a standard error of 0.028, less 4.4 of these.
 LEAST_EQUAL = 0.69
+#: Bits of the filter that keeps texts which no pair names from being shuffled: 4 MB.
+FILTER_BITS = 1 << 25
+#: Offsets of the second band by which a bucket is told apart more finely.
+FINER = (1, 11)
 #: Bytes of text taken at once.
 SLICE = 1 << 19
 
@@ -139,7 +143,7 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner, hash_, weight = shingles(texts)
     n = np.bincount(owner, weights=weight, minlength=len(texts)).astype(np.int64)
     sig = _mix(signatures(owner, hash_, weight, len(texts)))
-    bands = np.zeros((len(texts), BANDS), np.uint64)
+    bands = np.tile(np.arange(BANDS, dtype=np.uint64) * _R, (len(texts), 1))  # a hash names its band too
     for k in range(ROWS):
         bands = _mix((bands + sig[:, k::ROWS]) * _P)
     nibbles = (sig >> np.uint64(60)).reshape(len(texts), POSITIONS // 16, 16)
@@ -172,10 +176,30 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, n bigint, bands array<bigint>, packed array<bigint>")
 
 
+def only_needed(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose node may be in ``need``: through one bit a hash in a filter of ``FILTER_BITS`` bits.
+
+    What is collected and broadcast is the filter, of a fixed size; the more nodes, the less it holds back.
+    """
+    bit = lambda: F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    words = need.select(bit().alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    held = np.zeros(FILTER_BITS // 64, np.uint64)
+    held[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy().astype(np.int64)
+            some = sent.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
+            yield batch.select(["node", "text"]).filter(pa.array(some.astype(bool)))
+
+    return texts.select("node", "text", bit().alias("bit")).mapInArrow(run, "node binary, text string")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough. ``texts``: node, text, several rows a node allowed."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
+    own = materialize(only_needed(texts, need).join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,33 +260,36 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     nodes = materialize(features(docs).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "features")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    sizes = rows.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1")
-    shared = rows.join(sizes, ["band", "hash"])
-    fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
-    shared = materialize(shared.join(fame, "node"), "buckets")
-    pivot = shared.groupBy("band", "hash").agg(F.max_by("node", F.struct("fame", "node")).alias("pivot"))
-    star = shared.where("size > 1").join(pivot, ["band", "hash"]).where("node <> pivot").select(*_pair("node", "pivot"))
-    # Members that share the next band too are more alike: they are paired with the least of their own.
-    following = F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))
-    finer = shared.where("size > 2").join(nodes.select("node", "bands"), "node").select("node", "band", "hash", following.alias("next_hash"))
-    first = finer.groupBy("band", "hash", "next_hash").agg(F.min("node").alias("first"))
-    near = finer.join(first, ["band", "hash", "next_hash"]).where("node <> first").select(*_pair("node", "first"))
-    pairs = materialize(star.union(near).distinct(), "pairs")
+    sizes = rows.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1")
+    joined = materialize(rows.join(sizes, "hash"), "buckets")
+    fame = joined.groupBy("node").agg(F.sum("size").alias("fame"))
+    shared = joined.join(fame, "node")
+    pivot = shared.groupBy("hash").agg(F.max_by("node", F.struct("fame", "node")).alias("pivot"))
+    pairs = joined.join(pivot, "hash").where("node <> pivot").select(*_pair("node", "pivot"))
+    # Members that share another band too are more alike: they are paired with the least of their own.
+    crowded = joined.where("size > 2").join(nodes.select("node", "bands"), "node")
+    for offset in FINER:
+        finer = crowded.select("node", "hash", F.get("bands", F.pmod(F.col("band") + offset, F.lit(BANDS))).alias("other"))
+        first = finer.groupBy("hash", "other").agg(F.min("node").alias("first"))
+        pairs = pairs.union(finer.join(first, ["hash", "other"]).where("node <> first").select(*_pair("node", "first")))
+    pairs = materialize(pairs.distinct(), "pairs")
     found = materialize(verify(pairs, docs), "links")
     roots = components(found)
     # What lies in one bucket and in several components yet, compared across them.
-    placed = shared.where("size > 2").select("node", "band", "hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("band", "hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "hash")
-    left = materialize(placed.join(open_, ["band", "hash"]).join(nodes.select("node", "n", "packed"), "node"), "open")
+    placed = joined.where("size > 2").select("node", "band", "hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hash")
+    left = materialize(placed.join(open_, "hash").join(nodes.select("node", "n", "packed", "bands"), "node"), "open")
     x, y = left.alias("x"), left.alias("y")
     equal = sum(F.bit_count(_equal_nibbles(F.get("x.packed", F.lit(k)), F.get("y.packed", F.lit(k)))) for k in range(POSITIONS // 16))
+    # A pair counts in the first bucket that it shares.
+    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     rest = x.join(
         y,
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.hash") == F.col("y.hash"))
+        (F.col("x.hash") == F.col("y.hash"))
         & (F.col("x.root") < F.col("y.root"))
         & (DENOMINATOR * F.least("x.n", "y.n") >= NUMERATOR * F.greatest("x.n", "y.n"))
-        & (equal >= LEAST_EQUAL * POSITIONS),
+        & (equal >= LEAST_EQUAL * POSITIONS)
+        & first_shared,
     ).select(*_pair("x.node", "y.node"))
     more = materialize(verify(materialize(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest"), docs), "links")
     found = found.union(more)
