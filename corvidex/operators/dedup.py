@@ -79,7 +79,9 @@ def similar_pairs(labels: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame
 
     A bucket is linked to its least label, and its members in a chain by label, so it grows in proportion to its size.
     """
-    rows = labels.where(X.entropy(F.col("label")) >= MIN_ENTROPY).select("id", "label", F.explode(bands(minhash(shingles(F.col("label"))))).alias("bucket"))
+    rows = labels.where(X.entropy(F.col("label")) >= MIN_ENTROPY).select("id", "label", shingles(F.col("label")).alias("grams"))
+    signed = rows.select("id", "label", minhash(F.col("grams")).alias("signature"))
+    rows = checkpointed(signed.select("id", "label", F.explode(bands(F.col("signature"))).alias("bucket")))
     first = rows.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("f"), F.count("*").alias("n")).where("n > 1")
     star = rows.join(first, "bucket").where("id <> f.id").select(F.col("f.id").alias("a"), F.col("f.label").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
 
