@@ -32,8 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from corvidex.llm.common import by_batch, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct white-space separated strings whose ids a worker keeps; at the limit it starts anew.
-CACHED = 300_000
+#: Distinct white-space separated strings whose ids a worker keeps, twice over: at the limit it starts anew and takes
+#: back from the generation before what occurs again.
+CACHED = 250_000
+#: The same for words of letters, digits or signs, whose merging costs the most: about 170 MB.
+PIECES = 800_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -82,7 +85,7 @@ class WordBpe:
             self.merged[a, b] = t
             if t not in self.order:
                 self.order[t], self.parts[t], units[t] = len(base) + i, (a, b), units[a] + units[b]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         # A token that its own units don't merge into can't occur in a result.
         sound: set[int] = set(base)
         self.matches = ahocorasick.Automaton()
@@ -132,11 +135,12 @@ class WordBpe:
                 b = parts[b][0]
 
     def compatible(self, a: int, b: int) -> bool:
-        held = self.pairs.get((a, b))
+        key = a << 32 | b
+        held = self.pairs.get(key)
         if held is None:
             if len(self.pairs) >= 2 * CACHED:
                 self.pairs.clear()
-            held = self.pairs[a, b] = self._stays(a, b, 1 << 60)
+            held = self.pairs[key] = self._stays(a, b, 1 << 60)
         return held
 
     def merge(self, units: str) -> list[int]:
@@ -155,7 +159,7 @@ class WordBpe:
             while option:
                 length, t = option
                 if pos + length not in dead:
-                    fits = before < 0 or pairs.get((before, t))
+                    fits = before < 0 or pairs.get(before << 32 | t)
                     if fits or fits is None and self.compatible(before, t):
                         break
                 option = shorter[t]
@@ -183,7 +187,7 @@ class WordBpe:
         if held is None:
             raw = piece.encode()
             units = codecs.charmap_decode(raw, "strict", self.inner)[0][:-1] + self.last[raw[-1]]
-            if len(self.pieces) >= CACHED:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             ids = self.merge(units)
             held = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
@@ -223,11 +227,16 @@ class WordBpe:
 class _Chunks(dict):
     def __init__(self, bpe: WordBpe) -> None:
         self.bpe = bpe
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHED:
+            self.old = dict(self)
             self.clear()
-        got = self[chunk] = self.bpe.chunk(chunk)
+        got = self.old.pop(chunk, None)
+        if got is None:
+            got = self.bpe.chunk(chunk)
+        self[chunk] = got
         return got
 
 
