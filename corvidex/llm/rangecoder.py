@@ -14,7 +14,7 @@ All arithmetic is on integers, so files don't depend on a machine's floating poi
 The coder keeps 56 bits and moves 16 at a time; carries are added to words already put out and spread at the end.
 
 A file is a sequence of groups, each closed by a newline: magic, sizes, document index (doc_id, ids), frequencies, words
-and checksum of each block, words. Files are written in ascending doc_id order, null doc_ids first, equal ones by text.
+and checksum of each block, words. Files are written in ascending doc_id order, null doc_ids first, equal ones by a hash of the text.
 They are written and read by Spark's text and binaryFile sources, so any store that Spark knows will do.
 
 Null text: an empty one, the end id alone. Repeated rows are documents each; other columns are ignored; an empty table
@@ -252,7 +252,8 @@ def unpack(content: memoryview) -> Iterator[tuple[list[int | None], np.ndarray,
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
     """Encode whole texts, close each with ``end``, and write them in ascending doc_id order."""
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    # The hash in place of the text: keys are sampled to the driver.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     closing = end.to_bytes(4, "little")
 
