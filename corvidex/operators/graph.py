@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from corvidex.sources.tables import checkpointed
 
+#: Of label propagation: no graph has needed so many rounds; only labels that swing with a longer period get there.
+MOST_ROUNDS = 200
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -85,15 +88,28 @@ def components(edges: DataFrame) -> DataFrame:
     return named.union(roots.select("id", F.col("id").alias("component")))
 
 
-def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
-    """id, label after ``rounds`` synchronous rounds: the most frequent label among neighbours, ties to the greater one;
-    with a support of one, the greater of it and the node's own. It may swing for ever, so the rounds are fixed."""
-    both = checkpointed(undirected(edges))
+def label_propagation(edges: DataFrame, rounds: int | None = None, weight: str | None = None) -> DataFrame:
+    """id, label by synchronous rounds: the label with the greatest sum of ``weight`` among neighbours, ties to the greater
+    one; with a sum of one, the greater of it and the node's own. Without ``weight`` each different pair counts once; with
+    it, edges of a pair add up in either direction.
+
+    Without ``rounds`` it goes on until nothing changes. Labels may swing for ever; as a round depends on the labels alone,
+    it stops as soon as they are what they were after any earlier round, with these. ``MOST_ROUNDS`` bounds longer swings.
+    """
+    ends = edges.select("src", "dst", (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    turned = ends.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    both = checkpointed(ends.union(turned).groupBy("src", "dst").agg((F.sum("n") if weight else F.lit(1).cast("long")).alias("n")))
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("n"))
+    seen: set = set()
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
+        votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("n").alias("n"))
         best = votes.groupBy("id").agg(F.max(F.struct("n", "label")).alias("m"))
         labels = checkpointed(labels.join(best, "id").select("id", F.when(F.col("m.n") > 1, F.col("m.label")).otherwise(F.greatest("m.label", "label")).alias("label")))
+        if rounds is None:
+            now = tuple(labels.agg(*[F.sum(F.xxhash64(F.lit(s), "id", "label").cast("decimal(38,0)")) for s in (1, 2)]).first())
+            if now in seen:
+                break
+            seen.add(now)
     return labels
 
 
