@@ -74,24 +74,54 @@ def guarded(a: str, b: str) -> bool:
     return min(len(x), len(y)) < 5 or (x != y and (x.startswith(y) or y.startswith(x)))
 
 
-def similar_pairs(labels: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """(a, b) of labels in one band bucket that pass similarity and guards. ``labels``: id, label, different labels.
+def _must_agree(label: Column) -> list[Column]:
+    """What ``guarded`` wants equal in both labels: the digits and the variants' names. Coarser for digits beyond ASCII."""
+    low = F.lower(label)
+    names = F.array_intersect(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), F.array(*[F.lit(v) for v in sorted(VARIANTS)]))
+    return [F.array_join(F.regexp_extract_all(low, F.lit("([0-9]+)"), F.lit(1)), " "), F.array_join(F.sort_array(names), " ")]
 
-    A bucket is linked to its least label, and its members in a chain by label, so it grows in proportion to its size.
-    """
+
+def bucketed(labels: DataFrame) -> DataFrame:
+    """id, label, buckets: a hash for each band, and of what two labels must agree in to be merged."""
     rows = labels.where(X.entropy(F.col("label")) >= MIN_ENTROPY).select("id", "label", shingles(F.col("label")).alias("grams"))
-    signed = rows.select("id", "label", minhash(F.col("grams")).alias("signature"))
-    rows = checkpointed(signed.select("id", "label", F.explode(bands(F.col("signature"))).alias("bucket")))
-    first = rows.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    star = rows.join(first, "bucket").where("id <> f.id").select(F.col("f.id").alias("a"), F.col("f.label").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
+    signed = rows.select("id", "label", minhash(F.col("grams")).alias("signature"), F.xxhash64(*_must_agree(F.col("label"))).alias("own"))
+    return signed.select("id", "label", F.transform(bands(F.col("signature")), lambda x: F.xxhash64(x, "own")).alias("buckets"))
+
+
+def _verified(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs (a, la, b, lb) that pass similarity and guards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = [not guarded(x, y) and jaro_winkler(x.lower(), y.lower()) >= least for x, y in zip(pdf["la"], pdf["lb"])]
             yield pdf[good][["a", "b"]]
 
-    kind = labels.schema["id"].dataType.simpleString()
-    return star.mapInPandas(run, f"a {kind}, b {kind}")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def similar_pairs(labels: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """(a, b) of labels in one band bucket that pass similarity and guards: enough for all components of such pairs.
+
+    ``labels``: id, label, different labels. A bucket's members are first compared with its least, which is linear. What then
+    still lies in several components of one bucket is compared pair by pair across them, so that no neighbour is left out;
+    a bucket holds only labels with the same digits and variants' names, as the guards keep all others apart.
+    """
+    held = checkpointed(bucketed(labels))
+    rows = checkpointed(held.select("id", "label", "buckets", F.posexplode("buckets").alias("band", "bucket")))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    star = rows.join(first, "bucket").where("id <> f.id").select(F.col("f.id").alias("a"), F.col("f.label").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
+    found = checkpointed(_verified(star, least))
+    roots = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = rows.join(first.select("bucket"), "bucket").join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    # Two members alone have been compared.
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 2").select("bucket")
+    left = checkpointed(placed.join(open_, "bucket").select("id", "label", "buckets", "band", "bucket", "root"))
+    x, y = left.alias("x"), left.alias("y")
+    # A pair counts in the first bucket that it shares.
+    shared = F.array_position(F.zip_with("x.buckets", "y.buckets", lambda a, b: a == b), True) == F.col("x.band") + 1
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & shared)
+    return found.union(_verified(rest.select(F.col("x.id").alias("a"), F.col("x.label").alias("la"), F.col("y.id").alias("b"), F.col("y.label").alias("lb")), least))
 
 
 def entities(nodes: DataFrame) -> DataFrame:
