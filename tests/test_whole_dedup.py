@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvidex.functions import text as X
 from corvidex.operators import dedup
+from corvidex.plans import QUERIES
 
 
 def roots(ids, pairs):
@@ -54,3 +55,10 @@ def test_groups_of_one_template_match_all_pairs(spark):
     nodes = spark.createDataFrame(list(enumerate(labels)), "id int, label string")
     got = mapping(dedup.entities(nodes))
     assert got == by_hand(nodes) and 1 < len(set(got.values())) < len(labels)
+
+
+def test_query_takes_all_whole_names(spark, sf):
+    read = lambda name, kind, key, label: spark.read.parquet(f"{sf}/{name}.parquet").select(F.concat(F.lit(kind), F.col(key)).alias("id"), F.col(label).alias("label"))
+    names = read("supplier", "s", "s_suppkey", "s_name").union(read("customer", "c", "c_custkey", "c_name")).union(read("part", "p", "p_partkey", "p_name"))
+    got = mapping(QUERIES["entity_dedup"](spark, sf))
+    assert len(got) == names.count() and got == by_hand(names)
