@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvidex.functions import text as X
+from corvidex.sources.tables import checkpointed
 
 K1, B = 1.2, 0.75
 MAX_TERMS = 12
+#: Queries of a batch search that are broadcast at once, and vectors that are held against them at once.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 1024, 1024
 
 
 def terms_of(query: str) -> list[str]:
@@ -68,14 +74,55 @@ def similar(vectors: DataFrame, key: str, vector: str, query: Sequence[float], l
     return vectors.select(key, X.cosine(F.col(vector), q).alias("score")).where(F.col("score") > least)
 
 
-def batch_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest of each of a stated, small set of queries (query_id, query): a broadcast of the queries, not of rows.
-
-    Each partition keeps its own k best of a query before anything is shuffled.
+def _nearest(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, id_type: str, key: str, vector: str, k: int) -> DataFrame:
+    """query_id, key, score: the k best of each partition for one block of queries."""
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    schema = f"query_id {id_type}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        at, keys, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(ids), -np.inf)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                s = np.round(matrix @ rows.T, 9)
+                if part.num_rows > k:
+                    floor = np.maximum(floor, np.partition(s, part.num_rows - k, axis=1)[:, part.num_rows - k])
+                q, r = np.nonzero(s >= floor[:, None])
+                at, keys, scores = np.concatenate((at, q)), np.concatenate((keys, part.column(0).to_numpy()[r])), np.concatenate((scores, s[q, r]))
+                order = np.lexsort((keys, -scores, at))
+                at, keys, scores = at[order], keys[order], scores[order]
+                rank = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+                at, keys, scores = (x[rank < k] for x in (at, keys, scores))
+        for start in range(0, len(at), ROWS_AT_ONCE):
+            end = start + ROWS_AT_ONCE
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[at[start:end]]), key: pa.array(keys[start:end]).cast(kind), "score": pa.array(scores[start:end])})
+
+    kind = to_arrow_type(vectors.schema[key].dataType)
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
+
+
+def batch_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERIES_AT_ONCE) -> DataFrame:
+    """The k nearest of each query (query_id, query) by dot product, to nine decimals, ties by key; different integer ids.
+
+    Queries go in blocks of at most ``block``, each collected, broadcast and held against all vectors in one pass, so nothing
+    that is broadcast grows with their number. Each partition keeps its own k best of a query before anything is shuffled.
     """
-    scored = vectors.join(F.broadcast(queries)).select("query_id", key, X.dot(F.col(vector), F.col("query")).alias("score"))
-    near = Window.partitionBy("query_id", F.col("__part")).orderBy(F.desc("score"), key)
-    local = scored.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= k)
+    held, id_type = checkpointed(queries.where("query IS NOT NULL").select("query_id", "query")), queries.schema["query_id"].dataType.simpleString()
+    last, local = None, None
+    while True:
+        page = (held if last is None else held.where(F.col("query_id") > last)).orderBy("query_id").limit(block).toArrow().combine_chunks()
+        if not page.num_rows and local is not None:
+            break
+        ids = page.column("query_id").to_numpy()
+        matrix = np.array(page.column("query").to_pylist(), np.float64) if len(ids) else np.zeros((0, 1))
+        near = _nearest(vectors, ids, matrix, id_type, key, vector, k) if len(ids) else vectors.select(F.lit(None).cast(id_type).alias("query_id"), key, F.lit(0.0).alias("score")).where("false")
+        local = near if local is None else local.union(near)
+        if len(ids) < block:
+            break
+        last = ids[-1].item()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return local.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("query_id", key, "score", "k")
 

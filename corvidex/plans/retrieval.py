@@ -48,11 +48,20 @@ def vector_topk_filtered(t: Tables) -> DataFrame:
 s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], query) AS score FROM embeddings CROSS JOIN q)
 SELECT query_id, vec_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) WHERE k <= 5""")
 def vector_batch_topk(t: Tables) -> DataFrame:
-    """The least vector of each label against all: labels are a fixed, small set of queries."""
+    """The least vector of each label against all, as its SQL twin says; ``vector_batch_topk_whole`` is the whole job."""
     q = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
     return R.batch_top(t.embeddings, q, "vec_id", "embedding", 5).select("query_id", "vec_id", F.col("k").cast("long").alias("k"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], query) AS score FROM embeddings CROSS JOIN q)
+SELECT query_id, vec_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) WHERE k <= 5""")
+def vector_batch_topk_whole(t: Tables) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all."""
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return R.batch_top(t.embeddings, q, "vec_id", "embedding", 5).select("query_id", "vec_id", F.col("k").cast("long").alias("k"))
+
+
 @query(f"""{_BM25}, l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 40)),
 v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40)
 SELECT doc_id, round(sum(1.0 / (r + 60)), 6) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY 1""")
