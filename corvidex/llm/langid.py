@@ -35,6 +35,8 @@ GRAMS_PER_LANGUAGE = 40_000
 SLOTS = 1 << 20
 HASHES = 3
 NEAR = 0.25
+#: What ``learn_with_floor`` asks of a text, and the share of labelled rows that may be junk or in another language.
+FLOOR, OUTLIERS = 0.5, 0.01
 #: Bytes of text that are looked up at once.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -105,18 +107,23 @@ class Model:
         return n, np.maximum(0, (raw - n[:, None] * self.false) / (1 - self.false))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.read(texts)[:2]
+
+    def read(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score, and the share of a text's n-grams that the language knows."""
+        names, scores, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         todo: list[int] = []
         held: list[bytes] = []
 
         def flush() -> None:
             if not held:
                 return
-            _, c = self.counts(held)
+            n, c = self.counts(held)
             best, total = c.argmax(1), c.sum(1)
             for k, i in enumerate(todo):
                 names[i] = self.languages[best[k]] if total[k] > 0 else self.fallback
                 scores[i] = float(c[k, best[k]] / total[k]) if total[k] > 0 else 0.0
+                known[i] = float(c[k, best[k]] / n[k]) if n[k] > 0 else 0.0
             todo.clear()
             held.clear()
 
@@ -130,17 +137,44 @@ class Model:
                     flush()
                     size = 0
         flush()
-        return names, scores
+        return names, scores, known
+
+
+def _sample(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of (text, lang) that are learned from, and the number of labelled rows of each language."""
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows, sizes
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, ROWS_PER_LANGUAGE / n) * 1e6))]), F.col("lang"))
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit), sizes
 
 
 def learn(labelled: DataFrame) -> Model:
     """Fit the filters on rows of (text, lang); see the module's docstring for what bounds the sample."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    share = {r["lang"]: (min(1.0, ROWS_PER_LANGUAGE / r["n"]), r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    return _learn(*_sample(labelled))
+
+
+def learn_with_floor(labelled: DataFrame) -> tuple[Model, float]:
+    """The model, and the least share of known n-grams for a text to be in a learned language: ``FLOOR`` times the share
+    that all but ``OUTLIERS`` of the labelled rows reach. 0 without labelled rows."""
+    picked, sizes = _sample(labelled)
+    model = _learn(picked, sizes)
+    if not sizes:
+        return model, 0.0
+    sent = picked.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"known": pa.array(sent.value.read(batch.column("text").to_pylist())[2], pa.float64())})
+
+    low = picked.where(F.length("text") > 0).mapInArrow(run, "known double").agg(F.percentile_approx("known", OUTLIERS, 10_000)).first()[0]
+    return model, FLOOR * (low or 0.0)
+
+
+def _learn(picked: DataFrame, share: dict[str, int]) -> Model:
     if not share:
         return Model([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0), UNKNOWN)
-    limit = F.element_at(F.create_map(*[F.lit(x) for k, (p, _) in share.items() for x in (k, int(p * 1e6))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,11 +196,12 @@ def learn(labelled: DataFrame) -> Model:
     got = members.toArrow()
     names, gram = np.asarray(got["lang"].to_pylist(), object), got["gram"].to_numpy().astype(np.uint32)
     languages = sorted(share)
-    return Model.build(languages, [(x, gram[names == x]) for x in languages], max(sorted(share), key=lambda x: share[x][1]))
+    return Model.build(languages, [(x, gram[names == x]) for x in languages], max(sorted(share), key=lambda x: share[x]))
 
 
-def identify(docs: DataFrame, model: Model, keep: bool = False, least: float = 0.0) -> DataFrame:
-    """``docs`` with lang_pred and score; or, with ``keep``, the rows with a language and a score of at least ``least``."""
+def identify(docs: DataFrame, model: Model, keep: bool = False, least: float = 0.0, least_known: float = 0.0) -> DataFrame:
+    """``docs`` with lang_pred and score; or, with ``keep``, the rows with a language, a score of at least ``least`` and a
+    share of known n-grams of at least ``least_known``."""
     docs = docs.select(*[c for c in docs.columns if keep or c not in ("lang_pred", "score")])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -174,9 +209,9 @@ def identify(docs: DataFrame, model: Model, keep: bool = False, least: float = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = sent.value.predict(batch.column("text").to_pylist())
+            lang, score, known = sent.value.read(batch.column("text").to_pylist())
             if keep:
-                yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score)], pa.bool_()))
+                yield batch.filter(pa.array([x != UNKNOWN and s >= least and k >= least_known for x, s, k in zip(lang, score, known)], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
