@@ -7,17 +7,28 @@ multisets agree at a position with the probability of their weighted Jaccard sim
 in rising time, and a process stops once it is later than the latest position: about one draw a shingle in long texts.
 
 Candidates. Equal texts are one node. Nodes that agree in all rows of a band share a bucket: at similarity 0.8 all 32
-bands miss with probability 6e-5. A bucket is not expanded into all pairs. First each member is paired with the bucket's
-most connected member, four others, and the least member that shares another band too: linear work that links most of a
-group. What then still lies in several components of one bucket is compared pair by pair across components, so that no
-candidate is lost; only pairs whose 4-bit signatures put them more than four standard errors below the threshold are
-left out.
+bands miss with probability 6e-5. A bucket is never expanded into all pairs; links are found in three steps, and after
+each only pairs of different components count:
+
+1. Each member of a bucket is held against the bucket's pivot, its most connected member; of the pivots of its buckets the
+   one that it shares most buckets with. At most one pair a node.
+2. The other pivots of its buckets, where they lie in another component yet. At most ``BANDS`` pairs a node.
+3. What still lies in several components of one bucket is exhausted. Shingles are told apart by how many of these open
+   nodes have them: at most ``RARE`` is rare. An overlap is at most the lesser number of common shingles plus the number of
+   equal rare ones, and 0.8 asks for 4/9 of both sizes (and 0.8 of the larger). Nodes whose common shingles reach 0.8 of
+   their size are joined by bucket under that bound. A node below must share rare shingles, so its rarest ones, one more
+   than it can do without, are joined with those of all open nodes: at most ``RARE`` rows each. Both are exact: no pair of
+   0.8 or more that shares a bucket is left out, and a large group of texts that aren't alike enough costs rows in
+   proportion to its members.
 
 Every pair is verified by its multiset overlap before it links anything. Components come from alternating large-star and
 small-star steps on written tables; no link or component is collected.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle. Texts without words are alike only if
-equal. Null text: a class of its own. Repeated rows share a class; null doc_ids count last for a class's id.
+equal. Null text: a class of its own. Repeated rows share a class; null doc_ids count last for a class's id, and of ties
+the least doc_id, then the least hash of its text, is kept. Very long texts are whole: all shingles count, a text is one
+row of an Arrow batch. An empty table gives an empty result. Other columns are ignored or, by ``keep_one``, given back
+as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,24 +37,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.llm.common import materialize, table
+from corvidex.llm.common import fresh, materialize, table
 
 SHINGLE = 5
 ROWS, BANDS = 6, 32
 POSITIONS = ROWS * BANDS
 #: Similarity, as a fraction, for exact comparison.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Least share of equal 4-bit signature values: of similarity 0.8, 0.8125 with a standard error of 0.028, less 4.4 of these.
-LEAST_EQUAL = 0.69
+#: Open nodes that a rare shingle has at most.
+RARE = 128
 #: Bits of the filter that keeps texts which no pair names from being shuffled: 4 MB.
 FILTER_BITS = 1 << 25
-#: Members of a bucket that all others are compared with at first.
-PIVOTS = 5
-#: Offsets of the second band by which a bucket is told apart more finely.
-FINER = (1,)
 #: Bytes of text taken at once.
 SLICE = 1 << 19
 
@@ -141,17 +148,15 @@ def signatures(owner: np.ndarray, hash_: np.ndarray, weight: np.ndarray, texts:
     return best.view(np.uint64).reshape(texts, POSITIONS)
 
 
-def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of shingles, band hashes (0 x BANDS for texts without words: see ``features``) and packed 4-bit values."""
+def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of shingles and band hashes of each text; those of a text without words mean nothing."""
     owner, hash_, weight = shingles(texts)
     n = np.bincount(owner, weights=weight, minlength=len(texts)).astype(np.int64)
     sig = _mix(signatures(owner, hash_, weight, len(texts)))
     bands = np.tile(np.arange(BANDS, dtype=np.uint64) * _R, (len(texts), 1))  # a hash names its band too
     for k in range(ROWS):
         bands = _mix((bands + sig[:, k::ROWS]) * _P)
-    nibbles = (sig >> np.uint64(60)).reshape(len(texts), POSITIONS // 16, 16)
-    packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
-    return n, bands.view(np.int64), packed.view(np.int64)
+    return n, bands.view(np.int64)
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -166,17 +171,33 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """node, n, bands, packed of each row with words; a map without a shuffle of texts."""
+    """node, n, bands of each row with words; a map without a shuffle of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, texts = batch.column("node"), [x.encode() for x in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
-                n, bands, packed = describe(texts[a:b])
-                out = pa.RecordBatch.from_pydict({"node": node.slice(a, b - a), "n": pa.array(n), "bands": pa.array(list(bands), pa.list_(pa.int64())), "packed": pa.array(list(packed), pa.list_(pa.int64()))})
+                n, bands = describe(texts[a:b])
+                out = pa.RecordBatch.from_pydict({"node": node.slice(a, b - a), "n": pa.array(n), "bands": pa.array(list(bands), pa.list_(pa.int64()))})
                 yield out.filter(pa.array(n > 0))
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, n bigint, bands array<bigint>, packed array<bigint>")
+    return docs.select("node", "text").mapInArrow(run, "node binary, n bigint, bands array<bigint>")
+
+
+def elements(texts: DataFrame) -> DataFrame:
+    """node, h: one row for each shingle and each time it occurs, told apart by a number, so that multisets are sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, own = batch.column("node"), [x.encode() for x in batch.column("text").to_pylist()]
+            for a, b in _slices(own):
+                owner, hash_, weight = shingles(own[a:b])
+                before = np.cumsum(weight) - weight
+                time = np.arange(weight.sum()) - np.repeat(before, weight)
+                h = _mix(np.repeat(hash_, weight) + time.astype(np.uint64) * _R)
+                yield pa.RecordBatch.from_pydict({"node": node.slice(a, b - a).take(pa.array(np.repeat(owner, weight))), "h": pa.array(h.view(np.int64))})
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, h bigint")
 
 
 def only_needed(texts: DataFrame, need: DataFrame) -> DataFrame:
@@ -199,10 +220,16 @@ def only_needed(texts: DataFrame, need: DataFrame) -> DataFrame:
     return texts.select("node", "text", bit().alias("bit")).mapInArrow(run, "node binary, text string")
 
 
+def texts_of(need: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the nodes in ``need`` (node, no repeats). ``texts``: node, text, several rows a node allowed."""
+    own = only_needed(texts, need).groupBy("node").agg(F.first("text").alias("text"))
+    return materialize(own.join(need, "node", "left_semi"), "texts")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough. ``texts``: node, text, several rows a node allowed."""
     need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
-    own = materialize(only_needed(texts, need).join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    own = texts_of(need, texts)
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,60 +283,87 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links: only the components that these join are worked on."""
+    placed = found
+    for side in ("a", "b"):
+        at = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        placed = placed.join(at, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    edges = materialize(placed.where("ra <> rb").select(*_pair("ra", "rb")).distinct(), "edges")
+    if edges.isEmpty():
+        return roots
+    joint = materialize(components(edges), "joint")
+    moved = roots.join(joint.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(moved.union(joint.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, hash, root of the members of buckets that lie in several components."""
+    placed = shared.where("size > 2").select("node", "hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hash")
+    return materialize(placed.join(several, "hash"), "open")
+
+
+def _exhausted(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) across components that may reach 0.8: see step 3 above."""
+    known = materialize(open_.select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "known")
+    each = materialize(elements(texts_of(known.select("node"), texts)), "elements")
+    rare = materialize(each.join(each.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "h"), "rare")
+    of_node = rare.groupBy("node").agg(F.count("*").alias("r"), F.count_if(F.col("df") > 1).alias("r2"), F.collect_list(F.when(F.col("df") > 1, F.hash("h"))).alias("rare"))
+    nothing = F.array().cast("array<int>")
+    held = known.join(of_node, "node", "left").select("node", "root", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("r2", F.lit(0)).alias("r2"), F.coalesce("rare", nothing).alias("rare"))
+    held = materialize(held, "bounds")
+    common = DENOMINATOR * F.col("c") >= NUMERATOR * F.col("n")
+    both = DENOMINATOR + NUMERATOR
+    alike = DENOMINATOR * F.least("x.n", "y.n") >= NUMERATOR * F.greatest("x.n", "y.n")
+    apart = F.col("x.root") != F.col("y.root")
+    # By bucket: all against the members outside the component that most of a bucket lies in.
+    heavy = open_.select("node", "hash").join(held.where(common), "node")
+    main = heavy.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("hash", "main")
+    heavy = materialize(heavy.join(main, "hash"), "heavy")
+    x, y = heavy.where("root <> main").alias("x"), heavy.alias("y")
+    within = both * (F.least("x.c", "y.c") + F.size(F.array_intersect("x.rare", "y.rare"))) >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root"))
+    by_bucket = x.join(y, (F.col("x.hash") == F.col("y.hash")) & apart & once & alike & within)
+    # By rare shingle: for nodes whose common shingles don't reach 0.8, which must share some.
+    light = rare.join(held.where(~common).select("node", "root", "n", "c", "r", "r2"), "node")
+    spare = F.col("r") - (F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) - F.col("c"))
+    first = light.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))).where((F.col("place") <= spare + 1) & (F.col("df") > 1))
+    x, y = first.alias("x"), rare.where("df > 1").join(held.select("node", "root", "n", "c", "r2"), "node").alias("y")
+    within = both * (F.least("x.c", "y.c") + F.least("x.r2", "y.r2")) >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
+    by_shingle = x.join(y, (F.col("x.h") == F.col("y.h")) & apart & alike & within)
+    return by_bucket.select(*_pair("x.node", "y.node")).union(by_shingle.select(*_pair("x.node", "y.node"))).distinct()
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links between different texts (a, b), enough for all components; and node, root from them.
 
     ``docs``: node, text without nulls.
     """
-    nodes = materialize(features(docs).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "features")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    nodes = materialize(features(docs).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "features")
+    rows = nodes.select("node", F.explode("bands").alias("hash"))
     sizes = rows.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1")
-    joined = materialize(rows.join(sizes, "hash"), "buckets")
-    fame = joined.groupBy("node").agg(F.sum("size").alias("fame"))
-    shared = joined.join(fame, "node")
-    # Beside it some members by a hash of their own: what most members are close to needn't be what one is close to.
-    others = [F.max_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(1, PIVOTS)]
-    pivots = shared.groupBy("hash").agg(F.max_by("node", F.struct("fame", "node")).alias("p0"), *others)
-    starred = materialize(joined.join(pivots, "hash").select("node", *[f"p{k}" for k in range(PIVOTS)]), "stars")
-    pairs = starred.where("node <> p0").select(*_pair("node", "p0"))
-    for k in range(1, PIVOTS):
-        pairs = pairs.union(starred.where(f"node <> p{k}").select(*_pair("node", f"p{k}")))
-    # Members that share another band too are more alike: they are paired with the least of their own.
-    crowded = joined.where("size > 2").join(nodes.select("node", "bands"), "node")
-    for offset in FINER:
-        finer = crowded.select("node", "hash", F.get("bands", F.pmod(F.col("band") + offset, F.lit(BANDS))).alias("other"))
-        first = finer.groupBy("hash", "other").agg(F.min("node").alias("first"))
-        pairs = pairs.union(finer.join(first, ["hash", "other"]).where("node <> first").select(*_pair("node", "first")))
-    pairs = materialize(pairs.distinct(), "pairs")
+    shared = materialize(rows.join(sizes, "hash"), "buckets")
+    fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
+    pivots = shared.join(fame, "node").groupBy("hash").agg(F.max_by("node", F.struct("fame", "node")).alias("p"))
+    offered = materialize(shared.join(pivots, "hash").where("node <> p").groupBy("node", "p").agg(F.count("*").alias("times")), "offered")
+    pairs = materialize(offered.groupBy("node").agg(F.max_by("p", F.struct("times", "p")).alias("p")).select(*_pair("node", "p")).distinct(), "pairs")
     found = materialize(verify(pairs, docs), "links")
-    roots = components(found)
-    # What lies in one bucket and in several components yet, compared across them.
-    placed = joined.where("size > 2").select("node", "band", "hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hash")
-    left = materialize(placed.join(open_, "hash").join(nodes.select("node", "n", "packed", "bands"), "node"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    equal = sum(F.bit_count(_equal_nibbles(F.get("x.packed", F.lit(k)), F.get("y.packed", F.lit(k)))) for k in range(POSITIONS // 16))
-    # A pair counts in the first bucket that it shares.
-    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
-    rest = x.join(
-        y,
-        (F.col("x.hash") == F.col("y.hash"))
-        & (F.col("x.root") < F.col("y.root"))
-        & (DENOMINATOR * F.least("x.n", "y.n") >= NUMERATOR * F.greatest("x.n", "y.n"))
-        & (equal >= LEAST_EQUAL * POSITIONS)
-        & first_shared,
-    ).select(*_pair("x.node", "y.node"))
-    more = materialize(verify(materialize(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest"), docs), "links")
-    found = found.union(more)
-    return found, (roots if more.isEmpty() else components(found))
-
-
-def _equal_nibbles(x, y):
-    """A bit for each 4-bit value that is equal in two longs."""
-    d = x.bitwiseXOR(y)
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-    return F.bitwise_not(d).bitwiseAND(F.lit(0x1111111111111111))
+    roots = materialize(components(found), "roots")
+    for other in (lambda: _across(offered, roots), lambda: _exhausted(_open(shared, roots), nodes, docs)):
+        more = materialize(other().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        proved = materialize(verify(more, docs), "links")
+        pairs, found, roots = pairs.union(more), found.union(proved), merged(roots, proved)
+    return found, roots
+
+
+def _across(offered: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (node, p) of ``offered`` that lie in different components, as (a, b)."""
+    at = roots.select(F.col("node").alias("p"), F.col("root").alias("rp"))
+    placed = offered.join(roots, "node", "left").join(at, "p", "left")
+    return placed.where(F.coalesce("root", "node") != F.coalesce("rp", "p")).select(*_pair("node", "p")).distinct()
 
 
 def with_node(docs: DataFrame) -> DataFrame:
@@ -341,16 +395,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class of near-duplicates, with the columns of ``docs``; rows with null text all stay."""
-    columns = docs.columns
+    node, count = fresh(docs, "node"), fresh(docs, "count")
     _, every = classes(docs)
-    keepers = materialize(every.select(F.col("class_id").alias("__id"), F.col("keeper").alias("__node")), "keepers")
-    rows = docs.withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    same = rows.groupBy("doc_id", "__node").agg(F.count("*").alias("c")).where("c > 1 AND __node IS NOT NULL").select(F.col("doc_id").alias("__id"), "__node")
-    right = keepers.alias("k")
-    kept = rows.join(right, F.col("doc_id").eqNullSafe(F.col("k.__id")) & (rows["__node"] == F.col("k.__node")), "left_semi")
+    keepers = materialize(every.select("class_id", "keeper"), "keepers")
+    rows = docs.withColumn(node, F.unhex(F.md5(F.col("text").cast("binary"))))
+    same = rows.groupBy("doc_id", node).agg(F.count("*").alias(count)).where((F.col(count) > 1) & F.col(node).isNotNull())
+    kept = rows.alias("r").join(keepers.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("k.class_id")) & (F.col(f"r.{node}") == F.col("k.keeper")), "left_semi")
     if not same.isEmpty():  # repeated rows of a keeper
-        kept = kept.dropDuplicates(["doc_id", "__node"])
-    return kept.select(*columns).union(docs.where("text IS NULL"))
+        kept = kept.dropDuplicates(["doc_id", node])
+    return kept.drop(node).union(docs.where("text IS NULL"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

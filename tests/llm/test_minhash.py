@@ -88,14 +88,66 @@ def test_groups_of_copies(spark, docs_of, seed):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+def near_copies(members, seed, words=100, most=14, pool=40):
+    """Copies of one text with up to ``most`` words replaced out of a small pool, so that edits are shared too."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    texts = []
+    for _ in range(members):
+        own = base[:]
+        for _ in range(rng.integers(0, most)):
+            own[rng.integers(0, words)] = f"e{rng.integers(0, pool)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def fast_classes(texts):
+    """As ``brute_classes``: all pairs by one matrix of overlaps. Only for texts whose shingles are all different."""
+    names: dict = {}
+    held = [{names.setdefault(s, len(names)) for s in multiset(t)} for t in texts]
+    matrix = np.zeros((len(texts), len(names)), np.float32)
+    for i, own in enumerate(held):
+        matrix[i, list(own)] = 1
+    n = matrix.sum(1)
+    assert all(sum(multiset(t).values()) == k for t, k in zip(texts, n))
+    root = np.arange(len(texts))
+    both = matrix @ matrix.T
+    near = 9 * both >= 4 * (n[:, None] + n[None, :])
+    while True:
+        least = np.where(near, root[None, :], len(texts)).min(1)
+        if (least == root).all():
+            return dict(enumerate(root.tolist()))
+        root = least
+
+
+@pytest.mark.parametrize("most", [14])
+def test_large_groups_against_all_pairs(spark, docs_of, most):
+    texts = near_copies(500, most, most=most)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_of(texts)).collect()}
+    assert got == fast_classes(texts)
+
+
+def test_pairs_of_a_large_group_are_linear(spark, docs_of, monkeypatch):
+    counts = []
+    verify = minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, texts: counts.append(pairs.count()) or verify(pairs, texts))
+    made = []
+    for members in (150, 600):
+        counts.clear()
+        minhash.near_duplicates(docs_of(near_copies(members, 3, most=30))).count()
+        made.append(sum(counts) / members)
+    assert made[1] < 2 * made[0] + 2
+
+
 def test_nulls_short_texts_repeats_and_clashing_columns(spark, docs_of):
     long = "w " * 70_000 + "end"
     docs = docs_of([(1, None), (2, None), (3, ""), (4, ""), (5, "a b"), (6, "a  b"), (7, "a c"), (8, long), (9, long), (9, long), (None, "a b"), (10, " "), (11, "b a")])
-    docs = docs.selectExpr("*", "'x' AS node", "1 AS class_id", "2 AS size")
+    docs = docs.selectExpr("*", "'x' AS node", "1 AS class_id", "2 AS size", "3 AS __node", "4 AS keeper", "5 AS count")
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (5, 5, True), (6, 5, False), (7, 7, True), (8, 8, True), (9, 8, False), (9, 8, False), (None, 5, False), (10, 10, True), (11, 11, True)], key=str)
     kept = minhash.keep_one(docs.union(docs.where("doc_id = 8")))
     assert kept.columns == docs.columns
+    assert {(r["node"], r["__node"], r["keeper"], r["count"]) for r in kept.collect()} == {("x", 3, 4, 5)}
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 5, 7, 8, 10, 11]
     empty = docs.where("false")
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
