@@ -35,8 +35,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Distinct white-space separated strings whose ids a worker keeps, twice over: at the limit it starts anew and takes
 #: back from the generation before what occurs again.
 CACHED = 250_000
-#: The same for words of letters, digits or signs, whose merging costs the most: about 170 MB.
+#: The same for words of letters, digits or signs, whose merging costs the most.
 PIECES = 800_000
+#: Longer strings are encoded each time and never kept, so that both caches are bounded in bytes too: with some 60 bytes
+#: of overhead for a key, an entry and its ids each, about 300 MB at most.
+LONGEST = 48
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -190,7 +193,9 @@ class WordBpe:
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             ids = self.merge(units)
-            held = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            held = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = held
         return held
 
     def chunk(self, chunk: str) -> bytes:
@@ -230,6 +235,8 @@ class _Chunks(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONGEST:
+            return self.bpe.chunk(chunk)
         if len(self) >= CACHED:
             self.old = dict(self)
             self.clear()
@@ -240,6 +247,39 @@ class _Chunks(dict):
         return got
 
 
+#: Fixed value: how the byte-level vocabulary's tokenizer cuts texts; its white space is Unicode's, not Python's.
+_BYTE_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^_S\p{L}\p{N}]+|[_S]+(?![^_S])|[_S]+".replace("_S", r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"))
+
+
+class ByteBpe(WordBpe):
+    """For a byte-level vocabulary without word ends: nothing is normalised or left out, so ids give the text back, and the
+    bytes of each token its place in it."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path, specials=False)
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        self.bytes_of = np.zeros(self.size, np.int64)
+        self.bytes_of[list(vocab.values())] = [len(name) for name in vocab]
+        self.chunk = self._piece
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, _BYTE_PIECE.findall(text))) if text else b""
+
+    def offsets_of(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """First character of each token and the one behind its last, n x 2; a character that tokens share counts for each."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        characters = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80)))
+        end = np.cumsum(self.bytes_of[ids])
+        begin = end - self.bytes_of[ids]
+        return np.stack([characters[begin + 1] - 1, characters[end]], 1) if len(ids) else np.zeros((0, 2), np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def load_bytes(vocabulary: str) -> ByteBpe:
+    return ByteBpe(resolve(vocabulary))
+
+
 @functools.lru_cache(maxsize=2)
 def load(vocabulary: str = VOCABULARY, specials: bool = True) -> WordBpe:
     """One encoder for each worker process."""
