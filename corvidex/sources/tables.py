@@ -14,14 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through spark.checkpoint.dir; a temporary folder only where it is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset: a temporary one on a local master,
+    as in tests; on a cluster an error, as a machine's own folder wouldn't be seen by the others."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"corvidex-{uuid.uuid4().hex[:6]}-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="corvidex-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder: column form, with statistics, read again as often as needed."""
+    path = f"{shared_dir(df.sparkSession)}/corvidex-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Last writer wins: of each key the row with the greatest ``order``. Aggregates before it shuffles."""
     rest = [c for c in rows.columns if c not in keys]

@@ -5,20 +5,16 @@ Checkpoints and results lie in the folder of spark.checkpoint.dir, so a job that
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.sources.tables import additive_upsert
+from corvidex.sources.tables import additive_upsert, shared_dir
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvidex-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
