@@ -10,7 +10,13 @@ its size, the documents pass by once for each part, and no text is shuffled. A d
 before anything is decided.
 
 Null or empty texts have no words: n_hit 0, not contaminated. Null item_id counts as an empty string, rows with one
-item_id are one item. Repeated documents give repeated rows. Columns that clash with results give way to them.
+item_id are one item. Repeated documents give repeated rows. Very long texts are searched whole, in linear time. Empty
+tables: no documents give an empty result, no items leave every document clean. Columns that clash with results give way
+to them, others come back as they were, whatever their names.
+
+The benchmark is held by the driver part by part and by the workers as one broadcast each: its size, not that of the
+documents, bounds this, and each ``PART_WORDS`` words of it cost a pass over the documents. It is meant for test sets of up
+to some millions of words.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvidex.llm.common import table
+from corvidex.llm.common import fresh, table
 
 WINDOW = 13
 #: Words of benchmark items in one part: about 60 MB of tables in each worker.
@@ -141,7 +147,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, only_clean: bool = False) -> Dat
     """
     docs = docs.select(*[c for c in docs.columns if only_clean or c not in RESULTS])
     given = docs.schema
-    held = T.StructType([*given, T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+    at_spans, at_items = fresh(docs, "spans"), fresh(docs, "items")
+    held = T.StructType([*given, T.StructField(at_spans, T.ArrayType(T.LongType())), T.StructField(at_items, T.ArrayType(T.StringType()))])
     final = given if only_clean else T.StructType([*given, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
     names = given.names
 
@@ -152,7 +159,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, only_clean: bool = False) -> Dat
             classes = _classes(key, part)
             for batch in batches:
                 text = batch.column("text").to_pylist()
-                old = [([], [])] * len(text) if first else zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())
+                old = [([], [])] * len(text) if first else zip(batch.column(at_spans).to_pylist(), batch.column(at_items).to_pylist())
                 spans, items, n_words = [], [], []
                 for x, (flat, own) in zip(text, old):
                     words = words_of(x)
@@ -162,7 +169,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, only_clean: bool = False) -> Dat
                     items.append(more.union(own))
                 columns = {c: batch.column(c) for c in names}
                 if not last:
-                    columns |= {"__spans": pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int64())), "__items": pa.array([sorted(own) for own in items], pa.list_(pa.string()))}
+                    columns |= {at_spans: pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int64())), at_items: pa.array([sorted(own) for own in items], pa.list_(pa.string()))}
                     yield pa.RecordBatch.from_pydict(columns)
                     continue
                 n_hit = [sum(end - start for start, end in own) for own in spans]

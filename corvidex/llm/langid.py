@@ -13,7 +13,9 @@ documented bound), then the ``GRAMS_PER_LANGUAGE`` commonest n-grams of each. Pr
 without a shuffle; what is broadcast is the table of ``SLOTS`` masks, 8 MB for up to 64 languages.
 
 Null text or no letter: ``und`` with score 0. No n-gram known (or no labelled row at all: ``und``): the language with
-most labelled rows, score 0. Empty tables give empty results; repeated rows and other columns don't matter.
+most labelled rows, score 0. Of two languages with equal counts the first by name is taken. Texts count whole, however
+long; copies of one labelled text share its hash, so a text repeated very often is in the sample with all its copies or
+not at all, and counts are taken before anything is shuffled. Empty tables give empty results; repeated rows and other columns don't matter.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ A file is a sequence of groups, each closed by a newline: magic, sizes, document
 and checksum of each block, words. Files are written in ascending doc_id order, null doc_ids first, equal ones by a hash of the text.
 They are written and read by Spark's text and binaryFile sources, so any store that Spark knows will do.
 
-Null text: an empty one, the end id alone. Repeated rows are documents each; other columns are ignored; an empty table
-gives files without groups.
+Null text: an empty one, the end id alone. A very long text may fill a group by itself. Repeated rows are documents each,
+ties in doc_id are ordered by a hash of the text; other columns are ignored; an empty table gives files without groups.
+A file is read as one cell of Spark's binaryFile source, so that a partition's coded ids must stay below 2 GB.
 """
 
 from __future__ import annotations
@@ -302,7 +303,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "documents"), path)
     held = materialize(read(spark, path), "read")
     # One row for each group of a file.
-    before = Window.orderBy("file", "group").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "group").rowsBetween(Window.unboundedPreceding, -1)
     base = held.groupBy("file", "group").agg(F.sum("n_tokens").alias("n")).select("file", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return held.join(base, ["file", "group"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 

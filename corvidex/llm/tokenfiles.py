@@ -10,7 +10,9 @@ documents that cross borders: the ids that a block's first document has before i
 The scan runs over two numbers a block, partitioned by file.
 
 Special strings in texts are encoded as ordinary text, so the separator occurs only as one. Null and empty texts are
-documents without ids. Repeated rows are documents each. An empty table gives no document.
+documents without ids. Repeated rows are documents each, in the order of their rows. A very long text crosses blocks like
+any other. Other columns are ignored. An empty table gives no document. A file is read as one cell of Spark's binaryFile
+source, so that a partition's ids must stay below 2 GB.
 """
 
 from __future__ import annotations

@@ -51,3 +51,13 @@ def test_nulls_repeats_and_extra_columns(spark, docs_of):
     assert [r["n_tokens"] for r in rows] == [0, 0, 0, 2]
     assert rows[-1]["decoded"] == "a</w> b</w>"
     assert bpe.encode_decode(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["the cat sat, " * 60_000, "thandingblend" * 3_000, "日本語" * 4_000, "=-" * 8_000, "x" * 20_001 + " " * 100_000 + "y"], ids=["words", "one word", "no spaces", "signs", "blanks"])
+def test_very_long_texts(library, text):
+    own = bpe.load()
+    held = len(own.chunks), len(own.pieces)
+    ids = own.encode(text)
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.decode_bytes(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
+    assert len(own.chunks) <= held[0] + 3 and max(map(len, own.pieces)) <= bpe.LONGEST and max(map(len, own.chunks)) <= bpe.LONGEST

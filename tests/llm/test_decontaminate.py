@@ -61,8 +61,8 @@ def test_search_matches_brute_force(items, words):
 def test_parts_nulls_and_clashing_columns(spark, docs_of, monkeypatch):
     long = " ".join(f"w{i}" for i in range(40))
     items = [(1, long), (2, "One short É item"), (2, "other"), (None, "x y"), (4, None), (5, "..")]
-    texts = [None, "", "a one SHORT É item b", long.upper(), "other " * 3, "x, y", "clean words " * 9, "w3 w4 w5", None, "x, y"]
-    docs = docs_of(texts).selectExpr("*", "'old' AS n_hit", "1 AS __spans_")
+    texts = [None, "", "a one SHORT É item b", long.upper(), "other " * 3, "x, y", "clean words " * 90_000, "clean words " * 70_000 + long + " more" * 10_000, "w3 w4 w5", None, "x, y"]
+    docs = docs_of(texts).selectExpr("*", "'old' AS n_hit", "1 AS __spans", "2 AS spans", "3 AS items", "4 AS __items")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(texts, [(i if i is not None else "", t) for i, t in items])
     for words in (200_000, 15):
@@ -71,6 +71,7 @@ def test_parts_nulls_and_clashing_columns(spark, docs_of, monkeypatch):
         assert result(rows) == want
         kept = d.mark(docs, bench, only_clean=True)
         assert kept.columns == docs.columns
+        assert {(r["__spans"], r["spans"], r["items"], r["__items"]) for r in [*rows, *kept.collect()]} == {(1, 2, 3, 4)}
         assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[4]]
     assert d.mark(docs, bench.where("false")).where("contaminated OR n_hit > 0").count() == 0
     assert d.mark(docs.where("false"), bench).count() == 0

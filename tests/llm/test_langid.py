@@ -42,3 +42,39 @@ def test_nulls_letters_and_extra_columns(spark, docs_of):
     kept = langid.identify(docs, langid.learn(docs), keep=True, least=0.1)
     assert kept.columns == docs.columns and kept.count() == 2
     assert langid.identify(docs.where("false"), none).count() == 0
+
+
+def test_counts_scores_and_verdicts_against_exact_sets(spark):
+    """What the filters say, against plain sets of n-grams on whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL")
+    model = langid.learn(docs)
+    texts = [r["text"] for r in docs.select("text").collect()] + ["le chat " * 60_000, "die der das und the of and " * 3]
+    every = np.unique(np.concatenate([langid.grams([langid._folded(t)])[0] for t in texts]))
+    sets = {}
+    for i, name in enumerate(model.languages):  # a filter's members, found gram by gram
+        sets[name] = {int(g) for g in every if all(int(model.masks[s[0], i // 64]) >> i % 64 & 1 for s in langid.slots(np.array([g], np.uint32)))}
+    names, scores, known = model.read(texts)
+    for text, name, score, share in zip(texts, names, scores, known):
+        raw = langid._folded(text)
+        own = langid.grams([raw])[0].tolist()
+        counts = {}
+        for i, lang in enumerate(model.languages):
+            hits = sum(g in sets[lang] for g in own)
+            counts[lang] = max(0.0, (hits - len(own) * model.false[i]) / (1 - model.false[i]))
+        total = sum(counts.values())
+        if total:
+            best = max(model.languages, key=lambda x: counts[x])
+            assert name == best and abs(score - counts[best] / total) < 1e-9 and abs(share - counts[best] / len(own)) < 1e-9
+    padded = b" " + langid._folded("ab cd") + b" "
+    assert sorted(langid.grams([langid._folded("ab cd")])[0].tolist()) == sorted(int.from_bytes(x, "little") for x in (b" ab ", b" cd "))
+    assert padded == b" ab cd "
+
+
+def test_other_languages_and_noise_are_dropped(spark, docs_of):
+    """The pipeline's stage: documents that it must drop."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    planted = docs_of([(-1, "Minulla on koira ja kissa, jotka asuvat talossa meren rannalla. " * 5), (-2, "xq zvk qjj wxz kqv zzx " * 20), (-3, "12 34 %% !!"), (-4, None)]).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.union(planted), None).collect()}
+    assert not kept & {-1, -2, -3, -4} and len(kept) > 0.95 * docs.count()

@@ -56,3 +56,24 @@ def test_nulls_repeats_and_groups(spark, docs_of, tmp_path, monkeypatch):
     first = r.pack([1, None], [2, 1], np.array([5, 2, 2], np.uint32))
     groups = list(r.unpack(memoryview(first + b"\n" + first + b"\n")))
     assert len(groups) == 2 and groups[1][0] == [1, None] and groups[1][2].tolist() == [5, 2, 2]
+
+
+def test_files_in_number_order_long_texts_and_clashing_columns(spark, docs_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(r, "GROUP", 500)
+    monkeypatch.setattr(r, "table", lambda *_: docs_of([(i, f"w{i} the end") for i in range(40)] + [(50, "the cat sat " * 20_000), (51, None)]).selectExpr("*", "1 AS start", "2 AS file", "3 AS raw"))
+    rows = sorted(r.op7_token_files(spark, "").collect(), key=lambda x: x["doc_id"])
+    at = 0
+    for x in rows:
+        assert x["start"] == at
+        at += x["n_tokens"]
+    assert rows[-2]["n_tokens"] == 60_001 and rows[-1]["n_tokens"] == 1
+
+
+def test_real_ids_take_less_than_their_order_0_entropy():
+    from corvidex.llm.bpe import load
+
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    ids = np.concatenate([np.append(load().encode(t), 2) for t in texts]).astype(np.uint32)
+    n = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(n * np.log2(n)).sum()
+    assert 8 * sum(map(len, r.compress(ids))) / len(ids) < 0.98 * entropy

@@ -41,3 +41,10 @@ def test_nulls_repeats_and_specials(spark, docs_of, tmp_path):
     assert [r["n_tokens"] for r in rows][:4] == [0, 0, 2, 2] and len(rows) == 6 and rows[4]["n_tokens"] > 3
     tokenfiles.write(docs.where("false"), str(tmp_path / "e"))
     assert tokenfiles.count(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark, docs_of, tmp_path):
+    docs = docs_of(["the cat sat " * 20_000, "a", None]).selectExpr("*", "1 AS file", "2 AS raw", "3 AS value", "4 AS doc_no").coalesce(1)
+    tokenfiles.write(docs, str(tmp_path / "t"))
+    rows = sorted(tokenfiles.count(spark, str(tmp_path / "t"), block=1000).collect(), key=lambda r: r["doc_no"])
+    assert [r["n_tokens"] for r in rows] == [60_000, 1, 0]
