@@ -19,7 +19,18 @@ MASK = "[redacted]"
 #: Words in a change's subject, and the risk that they name.
 RISKS = {"revert": "revert", "hotfix|urgent": "hotfix", "security|vuln": "security", "fix|bug": "fix", "migration|schema": "migration"}
 #: Suffixes that the light stemmer takes off, the longest first.
-SUFFIXES = ("ations", "ation", "ments", "ment", "ings", "ing", "ers", "er", "ed", "es", "ly", "s")
+SUFFIXES = ("ingly", "edly", "ing", "ers", "ies", "ied", "ed", "es", "er", "ly", "s")
+#: Words that say nothing about what a statement is about.
+FUNCTION_WORDS = """
+a an the and or but if then else of in on at to for from by with without as is are was were be been being
+it its this that these those we you they he she i me my our your their them us not no nor do does did done
+has have had will would should shall can could must may might so than too very all any each every only also
+into onto over about after before when where which who whom what how there here via per just
+""".split()
+#: Families of languages by a file's extension.
+FAMILIES = {"py": "python", "pyi": "python", "js": "web", "jsx": "web", "ts": "web", "tsx": "web", "mjs": "web", "java": "jvm", "kt": "jvm", "scala": "jvm", "c": "native", "h": "native", "cc": "native", "cpp": "native", "hpp": "native", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "dotnet", "sql": "sql"}
+#: Kinds of files by extension.
+CATEGORIES = {"md": "document", "rst": "document", "txt": "document", "pdf": "paper", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "svg": "image", "json": "config", "toml": "config", "yaml": "config", "yml": "config"}
 
 
 def words(text: Column) -> Column:
@@ -51,9 +62,8 @@ def key(label: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    for pattern in SECRETS.values():
-        text = F.regexp_replace(text, pattern, MASK)
-    return text
+    """All shapes in one pass: at each place the first shape that fits."""
+    return F.regexp_replace(text, "|".join(f"(?:{p})" for p in SECRETS.values()), MASK)
 
 
 def secret_counts(text: Column) -> dict[str, Column]:
@@ -103,6 +113,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def content(words: Column) -> Column:
+    """The words that aren't function words, or all if there are no others."""
+    kept = F.filter(words, lambda x: ~x.isin(*FUNCTION_WORDS))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared words over those of the shorter array, as sets; 0 if either is empty."""
+    least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(least <= 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+
+
+def same_fact(a: Column, b: Column) -> Column:
+    """Whether two texts say the same: equal but for case and blanks, or three fifths of all words shared."""
+    return (F.lower(squeeze(a)) == F.lower(squeeze(b))) | (jaccard(words(a), words(b)) >= 0.6)
+
+
 def containment(a: Column, b: Column) -> Column:
     """Shared over the smaller set."""
     least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
@@ -148,3 +175,75 @@ def entropy(text: Column) -> Column:
     n = F.size(chars)
     share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
     return -F.aggregate(F.transform(F.array_distinct(chars), lambda c: share(c) * F.log2(share(c))), F.lit(0.0), lambda s, x: s + x)
+
+
+def plain_letters(text: Column) -> Column:
+    """Latin letters without their marks. The letters of Latin-1 and Latin Extended-A that have one."""
+    marked, bare = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĘęĚěĞğĪīŁłŃńŇňŌōŐőŘřŚśŞşŠšŤťŪūŮůŰűŹźŻżŽž", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeGgIiLlNnNnOoOoRrSsSsSsTtUuUuUuZzZzZz"
+    return F.translate(text, marked, bare)
+
+
+def lemmas(text: Column) -> Column:
+    """Words for BM25: identifiers apart, function words left out, stems."""
+    found = words(split_identifiers(text))
+    return F.transform(F.filter(found, lambda x: ~x.isin(*FUNCTION_WORDS)), stem)
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1))
+
+
+def _by_extension(path: Column, known: dict[str, str], other: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in known.items() for x in item]), extension(path)), F.lit(other))
+
+
+def family(path: Column) -> Column:
+    """The family of a file's language, ``other`` if unknown."""
+    return _by_extension(path, FAMILIES, "other")
+
+
+def category(path: Column) -> Column:
+    """code, document, paper, image, config or other."""
+    return F.when(family(path) != "other", "code").otherwise(_by_extension(path, CATEGORIES, "other"))
+
+
+def longest_prefix(name: Column, prices: dict[str, float]) -> Column:
+    """The value of the longest key that ``name`` begins with; null if none does."""
+    out = F.lit(None).cast("double")
+    for k in sorted(prices, key=len):
+        out = F.when(F.startswith(name, F.lit(k)), F.lit(float(prices[k]))).otherwise(out)
+    return out
+
+
+def densest_window(text: Column, keywords: list[str], size: int, steps: int = 40) -> Column:
+    """(at, hits): where a window of ``size`` characters has most occurrences of ``keywords``, the first of equal ones."""
+    n = F.length(text)
+    step = F.greatest(F.lit(1), ((n - size) / steps).cast("int"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - size), step)
+    low = F.lower(text)
+    part = lambda at: F.substr(low, at + 1, F.lit(size))
+    hits = lambda at: sum(((F.length(part(at)) - F.length(F.replace(part(at), F.lit(k), F.lit("")))) / len(k)).cast("int") for k in keywords)
+    found = F.transform(starts, lambda at: F.struct(hits(at).alias("hits"), (-at).alias("back")))
+    best = F.array_max(found)
+    return F.struct((-best["back"]).alias("at"), best["hits"].alias("hits"))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Optimal string alignment of two short words: Levenshtein with swaps of neighbours, one row of the table at a time."""
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    y = letters(b)
+
+    def row(acc, c):
+        # acc: the two rows before, the letter before, and how many rows are done.
+        def cell(done, j):
+            up, left, corner = F.get(acc["now"], j), F.element_at(done, -1), F.get(acc["now"], j - 1)
+            plain = F.least(up + 1, left + 1, corner + F.when(F.get(y, j - 1) == c, 0).otherwise(1))
+            swap = (j >= 2) & (acc["n"] >= 1) & (F.get(y, j - 2) == c) & (F.get(y, j - 1) == acc["c"])
+            return F.concat(done, F.array(F.when(swap, F.least(plain, F.get(acc["old"], j - 2) + 1)).otherwise(plain)))
+
+        grown = F.when(F.size(y) == 0, F.array(acc["n"] + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(y), F.lit(1))), F.array(acc["n"] + 1), cell))
+        return F.struct(acc["now"].alias("old"), grown.alias("now"), c.alias("c"), (acc["n"] + 1).alias("n"))
+
+    first = F.sequence(F.lit(0), F.size(y))
+    start = F.struct(first.alias("old"), first.alias("now"), F.lit("").alias("c"), F.lit(0).alias("n"))
+    return F.aggregate(letters(a), start, row, lambda acc: F.element_at(acc["now"], -1))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.functions import text as X
+
 DIMENSIONS = 384
 
 
@@ -23,10 +26,60 @@ def by_size(docs: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
 
 
 def messages(rows: DataFrame, key: str, order: str, text: str, size: int) -> DataFrame:
-    """Whole messages to chunks by the length of what is before them; a long one fills its chunk alone."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("chunk", F.floor(F.coalesce(F.sum(F.length(text)).over(w), F.lit(0)) / size))
-    return placed.groupBy(key, "chunk").agg(F.count("*").alias("turns"), F.sum(F.length(text)).alias("chars"))
+    """Whole messages to chunks in order: a new chunk begins where a message would make it longer than ``size``; only a single
+    message may exceed it. Of each conversation only the lengths are gathered, in one row."""
+    lengths = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n")))).alias("m"))
+    start = F.struct(F.array().cast("array<bigint>").alias("chunks"), F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("filled"))
+
+    def place(acc, x):
+        new = (acc["chunk"] < 0) | (acc["filled"] + x["n"] > size)
+        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
+        return F.struct(F.concat(acc["chunks"], F.array(chunk)).alias("chunks"), chunk.alias("chunk"), (F.when(new, 0).otherwise(acc["filled"]) + x["n"]).alias("filled"))
+
+    placed = lengths.select(key, "m", F.aggregate("m", start, place)["chunks"].alias("c"))
+    each = placed.select(key, F.explode(F.arrays_zip(F.col("c").alias("chunk"), F.transform("m", lambda x: x["n"]).alias("n"))).alias("z"))
+    return each.groupBy(key, F.col("z.chunk").alias("chunk")).agg(F.count("*").alias("turns"), F.sum("z.n").alias("chars"))
+
+
+def slices(text: str, size: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``size`` characters that give the text back, cut before the last heading, else behind the last blank
+    line, else behind the last line end."""
+    out, at = [], 0
+    while at < len(text) or not out:
+        end = min(at + size, len(text))
+        if end < len(text):
+            part = text[at:end]
+            heading, blank, line = part.rfind("\n#"), part.rfind("\n\n"), part.rfind("\n")
+            end = at + (heading + 1 if heading > 0 else blank + 2 if blank > 0 else line + 1 if line > 0 else size)
+        out.append((at, end))
+        at = end
+        if not text:
+            break
+    return out
+
+
+def by_lines(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """key, chunk, start, body: each text cut by ``slices``; a text's slices stay within its row's batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, i, a, t[a:b]) for k, t in zip(pdf[key], pdf[text].fillna("")) for i, (a, b) in enumerate(slices(t, size))]
+            yield pd.DataFrame(rows, columns=[key, "chunk", "start", "body"])
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, start int, body string")
+
+
+def worth_chunking(text: Column, least_tokens: int = 1000, density: float = 100.0) -> Column:
+    """Whether a text is large and has many capitalised words for its size."""
+    return (X.tokens(text) >= least_tokens) & (X.density(text) >= density)
+
+
+def fields(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row for each field of a record that isn't empty: id (key and field), field, text. A map, not a union of scans."""
+    listed = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in columns])
+    filled = F.filter(listed, lambda x: x["text"].isNotNull() & (x["text"] != ""))
+    each = rows.select(F.col(key), F.explode(filled).alias("f"))
+    return each.select(F.concat_ws("_", F.col(key).cast("string"), "f.field").alias("id"), key, "f.field", "f.text")
 
 
 def split_text(text: str, size: int, overlap: int) -> list[str]:
@@ -62,16 +115,37 @@ def json_elements(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, F.explode(F.when(F.trim(column).startswith("["), array).otherwise(fields)).alias("element"))
 
 
+#: Fixed value: the bucket's name for a text without words.
+NOTHING = "<empty>"
+
+
+def _slot(feature: str, dimensions: int) -> tuple[int, float]:
+    h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+    return h % dimensions, 1.0 if h >> 63 else -1.0
+
+
+def light_stem(word: str) -> str:
+    return next((word[: -len(x)] for x in X.SUFFIXES if word.endswith(x) and len(word) > len(x) + 2), word)
+
+
 def embed(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Words 1, pairs of words 0.5, letter triples 0.25, into signed buckets; of unit length."""
-    words = re.findall("[a-z0-9]+", text.lower())
-    features = [(w, 1.0) for w in words] + [(f"{a} {b}", 0.5) for a, b in zip(words, words[1:])] + [(f"#{w[i : i + 3]}", 0.25) for w in words for i in range(len(w) - 2)]
+    """Stems 1, pairs of stems 0.5, letter triples of padded stems 0.25, into signed buckets; of unit length. Identifiers are
+    taken apart; a text without words has one bucket of its own."""
+    split = re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", text or "").replace("_", " ").lower()
+    stems = [light_stem(w) for w in re.findall("[a-z0-9]+", split)]
+    weights = {f"w:{w}": float(n) for w, n in Counter(stems).items()}
+    weights |= {f"b:{a} {b}": 0.5 * n for (a, b), n in Counter(zip(stems, stems[1:])).items()}
+    triples = Counter(p[i : i + 3] for p in (f"#{w}#" for w in stems) for i in range(max(1, len(p) - 2)))
+    weights |= {f"c:{x}": 0.25 * n for x, n in triples.items()}
     out = np.zeros(dimensions)
-    for f, weight in features:
-        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
-        out[h % dimensions] += weight if h >> 63 else -weight
+    for feature, weight in weights.items():
+        at, sign = _slot(feature, dimensions)
+        out[at] += sign * weight
     size = np.linalg.norm(out)
-    return out / size if size else out
+    if size:
+        return out / size
+    out[_slot(NOTHING, dimensions)[0]] = 1.0
+    return out
 
 
 def hash_embed(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,10 +5,10 @@ Loops cut their lineage with checkpoints in spark.checkpoint.dir; the driver onl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvidex.sources.tables import checkpointed
+from corvidex.sources.tables import checkpointed, written
 
 #: Of label propagation: no graph has needed so many rounds; only labels that swing with a longer period get there.
 MOST_ROUNDS = 200
@@ -30,14 +30,14 @@ def hubs(edges: DataFrame, top: int) -> DataFrame:
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """id, depth of first visit, within ``depth`` steps. ``seeds``: id. ``reverse``: against the edges."""
     step = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("to")).distinct()
-    seen = checkpointed(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    now = seen
+    now = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    seen = now
     for d in range(1, depth + 1):
         new = now.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
-        now = checkpointed(new)
+        now = written(new, "frontier")  # the new nodes alone; what was seen is the union of what was written before
         if now.isEmpty():
             break
-        seen = checkpointed(seen.union(now))
+        seen = seen.union(now)
     return seen
 
 
@@ -217,3 +217,110 @@ def surprise(edges: DataFrame, groups: DataFrame) -> DataFrame:
         both = both.join(d.select(F.col("id").alias(end), F.col("degree").alias(f"d_{end}")), end).join(g.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}")), end)
     low, high = F.least("d_src", "d_dst"), F.greatest("d_src", "d_dst")
     return both.select("src", "dst", (F.when(F.col("c_src") != F.col("c_dst"), 1).otherwise(0) + F.when((low <= 2) & (high >= 5), 1).otherwise(0)).alias("score"))
+
+
+#: Relations that say where a thing is and not what it needs.
+STRUCTURE = ("contains", "method", "defines")
+
+
+def members(edges: DataFrame, seeds: DataFrame, most: int = 32) -> DataFrame:
+    """id, depth of everything inside ``seeds``: a walk along the structural relations, ``most`` levels deep."""
+    return frontier(edges.where(F.col("rel").isin(*STRUCTURE)), seeds, most)
+
+
+def dependents(edges: DataFrame, seeds: DataFrame, depth: int, relations: list[str] | None = None) -> DataFrame:
+    """id, depth of what breaks if ``seeds`` or their members change: against the edges, structural ones left out, or along
+    ``relations`` only; the start itself isn't shown."""
+    start = members(edges, seeds).select("id")
+    used = edges.where(F.col("rel").isin(*relations) if relations else ~F.col("rel").isin(*STRUCTURE))
+    return frontier(used, start, depth, reverse=True).where("depth > 0")
+
+
+def hub_bound(edges: DataFrame, least: int = 50, share: float = 0.99) -> int:
+    """The degree from which a node counts as a hub: that at ``share`` of all nodes in order of degree, ``least`` at least.
+    Exact, over a count of nodes for each degree, of which there are few."""
+    counts = sorted(tuple(r) for r in degree(edges.where("src <> dst")).groupBy("degree").agg(F.count("*").alias("n")).collect())
+    total, at = sum(n for _, n in counts), 0
+    for d, n in counts:
+        at += n
+        if at > int(total * share):
+            return max(least, d)
+    return least
+
+
+def around_seeds(edges: DataFrame, seeds: DataFrame, depth: int, contexts: list[str] | None = None, least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, depth; edges among them) within ``depth`` steps in either direction. Hubs are reached but not walked
+    through, unless they are seeds. ``contexts``: only edges whose ``context`` is one of them."""
+    used = edges.where(F.col("context").isin(*contexts)) if contexts else edges
+    both = undirected(used.where("src <> dst"))
+    bound = hub_bound(used, least)
+    big = degree(used.where("src <> dst")).where(F.col("degree") >= bound).select(F.col("id").alias("src")).join(seeds.select(F.col("id").alias("src")), "src", "left_anti")
+    nodes = frontier(both.join(big, "src", "left_anti"), seeds, depth)
+    ids = nodes.select("id")
+    inside = used.where("src <> dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return nodes, inside
+
+
+def focus(edges: DataFrame, centre, most: int, depth: int = 2) -> DataFrame:
+    """id, depth of the neighbourhood of one node, nearest first, those of high degree first, at most ``most``."""
+    seeds = edges.sparkSession.createDataFrame([(centre,)], f"id {edges.schema['src'].dataType.simpleString()}")
+    near = frontier(undirected(edges), seeds, depth)
+    return near.join(degree(edges), "id").orderBy("depth", F.desc("degree"), "id").limit(most).select("id", "depth", "degree")
+
+
+def facts_near(facts: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
+    """The facts (src, dst, ...) within ``depth`` hops of ``origins`` (id), along the facts in either direction."""
+    near = frontier(undirected(facts), origins, depth - 1).select("id")
+    hit = facts.join(near.select(F.col("id").alias("src")), "src", "left_semi").union(facts.join(near.select(F.col("id").alias("dst")), "dst", "left_semi").select(*facts.columns))
+    return hit.distinct()
+
+
+def condensed_layers(edges: DataFrame) -> DataFrame:
+    """id, layer of any graph: strongly connected nodes are one; 0 without successors outside, else one above the highest."""
+    parts = strong_components(edges)
+    c = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    between = edges.join(c("src"), "src").join(c("dst"), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
+    if between.isEmpty():
+        return parts.select("id", F.lit(0).alias("layer"))
+    placed = layers(between, most=10_000)
+    return parts.join(placed.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+def areas(groups: DataFrame, degrees: DataFrame, labels: DataFrame, best: int = 5) -> DataFrame:
+    """community, name (its member of highest degree), size and the labels of its ``best`` members by degree. groups: id,
+    community; degrees: id, degree; labels: id, label. A large community is cut to ``best`` rows a task before they meet."""
+    every = groups.join(degrees, "id", "left").join(labels, "id").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    place = Window.partitionBy("community").orderBy(F.desc("degree"), "id")
+    first = every.withColumn("k", F.row_number().over(place)).where(F.col("k") <= best)
+    top = first.groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]).alias("top"))
+    return every.groupBy("community").agg(F.count("*").alias("size")).join(top, "community").select("community", F.get("top", F.lit(0)).alias("name"), "size", "top")
+
+
+def remap(now: DataFrame, before: DataFrame) -> DataFrame:
+    """community, previous: which earlier community each one carries on, one to one by the largest overlap first.
+
+    Overlaps are counted in one join. In each round the pairs that are the best of both their sides are settled, ties by the
+    lesser ids; as the greatest overlap left always is, this gives what a greedy walk in descending order gives.
+    """
+    counted = now.join(before.select("id", F.col("community").alias("previous")), "id").groupBy("community", "previous").agg(F.count("*").alias("n"))
+    left, done = written(counted, "overlaps"), None
+    while not left.isEmpty():
+        rank = F.struct(F.col("n"), -F.col("community"), -F.col("previous"))
+        a = left.groupBy("community").agg(F.max(rank).alias("a"))
+        b = left.groupBy("previous").agg(F.max(rank).alias("b"))
+        won = written(left.join(a, "community").join(b, "previous").where((rank == F.col("a")) & (rank == F.col("b"))).select("community", "previous", "n"), "settled")
+        done = won if done is None else done.union(won)
+        left = written(left.join(won.select("community"), "community", "left_anti").join(won.select("previous"), "previous", "left_anti"), "overlaps")
+    return done if done is not None else left
+
+
+def impact_of(files: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: how many nodes and communities changed ``files`` (path) touch. nodes: id, path; groups: id, community."""
+    hit = nodes.join(files.select("path").distinct(), "path", "left_semi").join(groups, "id", "left")
+    return hit.agg(F.count_distinct("id").alias("nodes"), F.count_distinct("community").alias("communities"))
+
+
+def folders(edges: DataFrame, depth: int) -> DataFrame:
+    """src, dst, weight between folders: ids are paths, cut to their first ``depth`` parts; edges within one don't count."""
+    cut = lambda c: F.array_join(F.slice(F.split(c, "/"), 1, depth), "/")
+    return edges.select(cut("src").alias("src"), cut("dst").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))

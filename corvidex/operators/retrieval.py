@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvidex.functions import text as X
-from corvidex.sources.tables import checkpointed
+from corvidex.sources.tables import checkpointed, written
 
 K1, B = 1.2, 0.75
 MAX_TERMS = 12
@@ -25,29 +26,36 @@ def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys(found))[:MAX_TERMS]
 
 
-def _is(term: str):
-    return lambda x: x == term
+def term_counts(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
+    """key, n (words) and tf (how often each of ``terms`` occurs): one walk over a text's words."""
+    start = F.struct(F.lit(0).alias("n"), *[F.lit(0).alias(f"t{i}") for i in range(len(terms))])
+
+    def count(acc, word):
+        return F.struct((acc["n"] + 1).alias("n"), *[(acc[f"t{i}"] + F.when(word == t, 1).otherwise(0)).alias(f"t{i}") for i, t in enumerate(terms)])
+
+    counted = docs.select(key, F.aggregate(X.words(F.col(text)), start, count).alias("c"))
+    return counted.select(key, F.col("c.n").alias("n"), F.array(*[F.col(f"c.t{i}") for i in range(len(terms))]).alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """key, score of the documents that hold a term. One pass: document lengths and frequencies of the query's terms are
-    array functions in a row, what is aggregated is one row of counts; documents aren't shuffled."""
+    """key, score of the documents that hold a term. Texts are read once: lengths and counts of the query's terms, a few
+    numbers a document, are written and serve both the statistics and the scores; documents aren't shuffled. For many
+    queries over the same texts keep ``fts.postings`` instead."""
     terms = terms_of(query)
-    w = X.words(F.col(text))
-    rows = docs.select(F.col(key), w.alias("__w")).select(key, F.size("__w").alias("__n"), *[F.size(F.filter("__w", _is(t))).alias(f"__t{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), *[F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
-    joined = rows.where(sum([F.col(f"__t{i}") for i in range(len(terms))], F.lit(0)) > 0).join(F.broadcast(stats))  # one row of counts
+    rows = written(term_counts(docs, key, text, terms), "terms")
+    stats = rows.agg(F.count("*"), F.avg("n"), *[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).first()
+    n, average, *found = stats
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"__t{i}"), F.col(f"__d{i}")
-        idf = F.log((F.col("__docs") - df + 0.5) / (df + 0.5) + 1)
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__n") / F.col("__avg")))
-    return joined.select(key, score.alias("score"))
+    for i, df in enumerate(found):
+        tf = F.get("tf", F.lit(i))
+        idf = math.log((n - df + 0.5) / (df + 0.5) + 1)
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / (average or 1.0)))
+    return rows.where(F.exists("tf", lambda x: x > 0)).select(key, score.alias("score"))
 
 
 def sigmoid(score: Column, terms: int) -> Column:
     """BM25 to 0..1; longer queries have a later and flatter middle."""
-    middle, steep = (5.0, 0.7) if terms <= 3 else (7.0, 0.6) if terms <= 6 else (9.0, 0.5) if terms <= 9 else (10.0, 0.5)
+    middle, steep = (5.0, 0.7) if terms <= 3 else (7.0, 0.6) if terms <= 6 else (9.0, 0.5) if terms <= 9 else (10.0, 0.5) if terms <= 15 else (12.0, 0.5)
     return 1 / (1 + F.exp(-steep * (score - middle)))
 
 
@@ -143,10 +151,68 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, boosts: DataFrame, key: str,
     """
     rows = semantic.where(F.col("score") >= gate).select(key, F.col("score").alias("s"))
     rows = rows.join(lexical.select(key, F.col("score").alias("l")), key, "left").join(boosts.select(key, F.col("score").alias("b")), key, "left")
-    present = rows.agg(F.max(F.coalesce("l", F.lit(0.0)) > 0).alias("any_l"), F.max(F.coalesce("b", F.lit(0.0)) > 0).alias("any_b"))
-    full = 1.0 + F.when(F.col("any_l"), 1.0).otherwise(0.0) + F.when(F.col("any_b"), 0.5).otherwise(0.0)
+    rows = written(rows, "hybrid")
+    any_l, any_b = rows.agg(F.max(F.coalesce("l", F.lit(0.0)) > 0), F.max(F.coalesce("b", F.lit(0.0)) > 0)).first()
+    full = 1.0 + (1.0 if any_l else 0.0) + (0.5 if any_b else 0.0)
     total = F.col("s") + F.coalesce("l", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))
-    return rows.join(F.broadcast(present)).select(key, F.least(total / full, F.lit(1.0)).alias("score"))
+    return rows.select(key, F.least(total / full, F.lit(1.0)).alias("score"))
+
+
+def node_distance(candidates: DataFrame, edges: DataFrame, key: str, centre) -> DataFrame:
+    """key, score: 10 for the centre, 1 for its neighbours in either direction, 0 for the rest."""
+    near = edges.where(F.col("src") == F.lit(centre)).select(F.col("dst").alias(key)).union(edges.where(F.col("dst") == F.lit(centre)).select(F.col("src").alias(key))).distinct().withColumn("near", F.lit(True))
+    score = F.when(F.col(key) == F.lit(centre), 10.0).when(F.col("near"), 1.0).otherwise(0.0)
+    return candidates.select(key).distinct().join(near, key, "left").select(key, score.alias("score"))
+
+
+def mentions(candidates: DataFrame, mentioned: DataFrame, key: str) -> DataFrame:
+    """key, score: how many rows of ``mentioned`` name a candidate, 0 for none. Counted before it is joined."""
+    counted = mentioned.groupBy(key).agg(F.count("*").alias("score"))
+    return candidates.select(key).distinct().join(counted, key, "left").select(key, F.coalesce("score", F.lit(0)).alias("score"))
+
+
+def entity_boost(matches: DataFrame, links: DataFrame, weight: float = 0.5, least: float = 0.5) -> DataFrame:
+    """memory, boost: of the entities that a query matches (entity, similarity) from ``least`` on, similarity times ``weight``,
+    less for those that many memories share; the greatest of each memory. links: entity, memory."""
+    shared = links.groupBy("entity").agg(F.count("*").alias("n"))
+    boost = F.col("similarity") * weight / (1 + 0.001 * F.pow(F.col("n") - 1, F.lit(2)))
+    good = matches.where(F.col("similarity") >= least).join(shared, "entity").select("entity", boost.alias("boost"))
+    return good.join(links, "entity").groupBy("memory").agg(F.max("boost").alias("boost"))
+
+
+RERANKERS = ("rrf", "mmr", "node_distance", "mentions")
+
+
+def hybrid_search(lists: Sequence[DataFrame], key: str, limit: int, rerank: str = "rrf", constant: int = 1, **more) -> DataFrame:
+    """The best ``limit`` of several ranked lists (key, rank from 0), each of which should hold twice as many.
+
+    ``rerank``: rrf; mmr (vectors, vector, query); node_distance (edges, centre); mentions (mentioned). Lists are bounded by
+    their own limits, so what is ranked here is small. Ties by fused score, then by key.
+    """
+    fused = rrf(lists, key, constant)
+    if rerank == "rrf":
+        return top(fused, "score", key, limit)
+    if rerank == "mmr":
+        vectors = more["vectors"].join(fused.select(key), key, "left_semi")
+        scored = mmr(vectors, key, more["vector"], more["query"])
+    elif rerank == "node_distance":
+        scored = node_distance(fused, more["edges"], key, more["centre"])
+    elif rerank == "mentions":
+        scored = mentions(fused, more["mentioned"], key)
+    else:
+        raise ValueError(f"{rerank} is none of {', '.join(RERANKERS)}")
+    both = scored.join(fused.select(key, F.col("score").alias("fused")), key)
+    return both.orderBy(F.desc("score"), F.desc("fused"), key).limit(limit).select(key, "score")
+
+
+def search_all(searches: dict[str, DataFrame], key: str) -> DataFrame:
+    """The results of several kinds of search (facts, nodes, episodes, communities) as one table: kind, key, score. One plan,
+    whose branches run side by side."""
+    out = None
+    for kind, rows in searches.items():
+        named = rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias(key), F.col("score").cast("double").alias("score"))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 def label_score(rows: DataFrame, key: str, label: str, query: str) -> DataFrame:

@@ -138,3 +138,103 @@ def external_stubs(t: Tables) -> DataFrame:
 @query("""SELECT id, label, 3 AS tier FROM (SELECT p_partkey AS id, p_name AS label FROM part) WHERE contains(lower(label), 'idge') ORDER BY id LIMIT 5""")
 def node_resolution(t: Tables) -> DataFrame:
     return G.resolve(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), "idge")
+
+
+_TREE = """t AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'contains' AS rel FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'contains' FROM supplier
+UNION ALL SELECT DISTINCT 'c' || o_custkey, 's' || l_suppkey, 'uses' FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+
+
+def named_tree(t: Tables) -> DataFrame:
+    """src, dst, rel: regions contain nations, these customers and suppliers; customers use suppliers."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    inside = lambda rows, a, x, b, y: rows.select(name(a, x).alias("src"), name(b, y).alias("dst"), F.lit("contains").alias("rel"))
+    uses = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(name("c", "o_custkey").alias("src"), name("s", "l_suppkey").alias("dst"), F.lit("uses").alias("rel")).distinct()
+    return inside(t.nation, "r", "n_regionkey", "n", "n_nationkey").union(inside(t.customer, "n", "c_nationkey", "c", "c_custkey")).union(inside(t.supplier, "n", "s_nationkey", "s", "s_suppkey")).union(uses)
+
+
+def seeds_of(t: Tables, *ids: str) -> DataFrame:
+    return t.spark.createDataFrame([(x,) for x in ids], "id string")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT 'r1' AS id, 0 AS depth UNION SELECT t.dst, w.depth + 1 FROM w JOIN t ON t.src = w.id WHERE rel = 'contains') SELECT id, min(depth) AS depth FROM w GROUP BY 1""")
+def members_closure(t: Tables) -> DataFrame:
+    return G.members(named_tree(t), seeds_of(t, "r1"))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT 'n3' AS id UNION SELECT t.dst FROM w JOIN t ON t.src = w.id WHERE rel = 'contains')
+SELECT DISTINCT src AS id, 1 AS depth FROM t JOIN w ON dst = id WHERE rel = 'uses' AND src NOT IN (SELECT id FROM w)""")
+def dependents_of_members(t: Tables) -> DataFrame:
+    return G.dependents(named_tree(t), seeds_of(t, "n3"), 2, ["uses"])
+
+
+_NEAR = """d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM g UNION ALL SELECT dst FROM g) GROUP BY 1),
+b AS (SELECT greatest(50, list_sort(list(degree))[CAST(floor(count(*) * 0.99) AS INT) + 1]) AS bound FROM d),
+u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), x AS (SELECT u.* FROM u JOIN d ON d.id = u.src CROSS JOIN b WHERE degree < bound OR src = 'c1'),
+w AS (SELECT 'c1' AS id, 0 AS depth UNION SELECT x.dst, w.depth + 1 FROM w JOIN x ON x.src = w.id WHERE w.depth < 4)"""
+
+
+@query(f"WITH RECURSIVE {_TREE}, g AS (SELECT src, dst FROM t WHERE rel = 'contains'), {_NEAR} SELECT id, min(depth) AS depth FROM w GROUP BY 1")
+def bfs_with_hubs(t: Tables) -> DataFrame:
+    edges = named_tree(t).withColumnRenamed("rel", "context")
+    return G.around_seeds(edges, seeds_of(t, "c1"), 4, ["contains"])[0]
+
+
+@query(f"""WITH RECURSIVE {_TREE}, g AS (SELECT src, dst FROM t), {_NEAR.replace('w.depth < 4', 'w.depth < 1')}, s AS (SELECT DISTINCT id FROM w)
+SELECT src, dst, rel AS context FROM t WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)""")
+def context_subgraph(t: Tables) -> DataFrame:
+    edges = named_tree(t).withColumnRenamed("rel", "context")
+    return G.around_seeds(edges, seeds_of(t, "c1"), 1)[1]
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT 'n5' AS id, 0 AS depth UNION SELECT u.dst, w.depth + 1 FROM w JOIN u ON u.src = w.id WHERE w.depth < 2),
+m AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1), d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)
+SELECT id, depth, degree FROM m JOIN d USING (id) ORDER BY depth, degree DESC, id LIMIT 40""")
+def focus_neighbourhood(t: Tables) -> DataFrame:
+    return G.focus(places(t), "n5", 40)
+
+
+@query(f"""WITH {_TREE} SELECT src, dst FROM t WHERE rel = 'uses' AND (src = 'c1' OR dst = 'c1' OR dst IN (SELECT dst FROM t z WHERE z.rel = 'uses' AND z.src = 'c1'))""")
+def bfs_facts(t: Tables) -> DataFrame:
+    uses = named_tree(t).where("rel = 'uses'").select("src", "dst")
+    return G.facts_near(uses, seeds_of(t, "c1"), 2)
+
+
+@query("""SELECT 'r' || n_regionkey AS id, 0 AS layer FROM nation UNION SELECT 'n' || n_nationkey, 1 FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation)
+UNION SELECT 'c' || c_custkey, 2 FROM customer UNION SELECT 's' || s_suppkey, 2 FROM supplier""")
+def condensed_layers(t: Tables) -> DataFrame:
+    """The regions form a ring, which is one layer."""
+    regions = t.nation.select("n_regionkey").distinct()
+    ring = regions.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("r"), F.pmod(F.col("n_regionkey") + 1, F.lit(5))).alias("dst"))
+    return G.condensed_layers(places(t).union(ring))
+
+
+@query("""WITH d AS (SELECT o_custkey AS id, count(*) AS degree FROM orders GROUP BY 1), m AS (SELECT c_nationkey AS community, c_custkey AS id, c_name AS label, coalesce(degree, 0) AS degree FROM customer LEFT JOIN d ON d.id = c_custkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS k FROM m)
+SELECT community, max(label) FILTER (k = 1) AS name, count(*) AS size, string_agg(label, ',' ORDER BY k) FILTER (k <= 5) AS top FROM k GROUP BY 1""")
+def community_areas(t: Tables) -> DataFrame:
+    groups = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    labels = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
+    degrees = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("degree"))
+    return G.areas(groups, degrees, labels).withColumn("top", F.array_join("top", ","))
+
+
+@query()
+def community_remap(t: Tables) -> DataFrame:
+    """Communities by nation carried on from those by segment; against a greedy walk in the tests."""
+    now = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    before = t.customer.select(F.col("c_custkey").alias("id"), (F.ascii("c_mktsegment") * 1000 + F.length("c_mktsegment")).alias("community"))
+    return G.remap(now, before)
+
+
+@query("""SELECT count(DISTINCT p_partkey) AS nodes, count(DISTINCT p_size) AS communities FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_retailprice > 1500)""")
+def pr_impact(t: Tables) -> DataFrame:
+    files = t.part.where("p_retailprice > 1500").select(F.col("p_brand").alias("path"))
+    return G.impact_of(files, t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path")), t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("community")))
+
+
+@query("""WITH x AS (SELECT 'n' || c_nationkey AS a, 'n' || s_nationkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT a AS src, b AS dst, count(*) AS weight FROM x WHERE a <> b GROUP BY 1, 2""")
+def folder_dependencies(t: Tables) -> DataFrame:
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    path = lambda nation, kind, key: F.concat(F.lit("n"), nation, F.lit(f"/{kind}"), key)
+    return G.folders(rows.select(path("c_nationkey", "c", "c_custkey").alias("src"), path("s_nationkey", "s", "s_suppkey").alias("dst")), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.functions import text as X
+from corvidex.operators import fts
 from corvidex.operators import retrieval as R
 from corvidex.plans.base import Tables, query
 
@@ -110,3 +112,78 @@ def trigram_candidates(t: Tables) -> DataFrame:
 SELECT doc_id, CAST(line_no AS INT) AS line_no, md5(line) AS line_md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l WHERE contains(lower(line), 'thing') AND contains(lower(line), 'of')) WHERE k <= 3""")
 def line_grep(t: Tables) -> DataFrame:
     return R.grep(t.documents, "doc_id", "text", "thing of").select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_FTS = f"""a AS (SELECT p_partkey, unnest({_TOKENS.format('p_name')}) AS term, 4.0 AS w FROM part UNION ALL SELECT p_partkey, unnest({_TOKENS.format("p_type || ' ' || p_brand")}), 1.0 FROM part),
+l AS (SELECT p_partkey, count(*) AS n FROM a GROUP BY 1), s AS (SELECT (SELECT count(*) FROM part) AS docs, (SELECT count(*) FROM a) / (SELECT count(*) FROM part) AS average),
+q AS (SELECT unnest(['col', 'bolt', 'brand']) AS prefix), f AS (SELECT prefix, p_partkey, sum(w) AS tf FROM a JOIN q ON starts_with(term, prefix) GROUP BY 1, 2), d AS (SELECT prefix, count(*) AS df FROM f GROUP BY 1)"""
+
+
+def part_index(t: Tables) -> fts.Index:
+    return fts.build(t.part.select("p_partkey", F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("body")), "p_partkey", {"title": 4.0, "body": 1.0})
+
+
+@query(f"""WITH {_FTS} SELECT p_partkey, round(sum(greatest(1e-6, CASE WHEN docs > df THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))), 6) AS score
+FROM f JOIN d USING (prefix) JOIN l USING (p_partkey) CROSS JOIN s GROUP BY 1""")
+def fts_two_columns(t: Tables) -> DataFrame:
+    """Titles count four times; prefixes of col, bolt and brand."""
+    return fts.search(part_index(t), "col Bolt brand", "p_partkey").select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS x FROM documents)
+SELECT 'phrase' AS how, count(*) AS n FROM w WHERE contains(x, ' of the ') UNION ALL SELECT 'loose', count(*) FROM w WHERE contains(x, ' licens') OR contains(x, ' permiss')""")
+def fts_phrase_loose(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    index = fts.build(docs, "doc_id", {"text": 1.0}, expand=False)
+    exact = fts.phrase(index, docs, "doc_id", "text", "Of the").agg(F.lit("phrase").alias("how"), F.count("*").alias("n"))
+    return exact.union(fts.loose(index, "licens permiss", "doc_id").agg(F.lit("loose"), F.count("*")))
+
+
+_LISTS = f"""a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40),
+f AS (SELECT id, sum(1.0 / (r + 1)) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1)"""
+
+
+def two_lists(t: Tables) -> list[DataFrame]:
+    near = R.top(R.similar(t.embeddings.withColumnRenamed("vec_id", "id"), "id", "embedding", VECTOR), "score", "id", 40)
+    named = R.top(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("score")), "score", "id", 40)
+    return [R.ranked(near, "score", "id"), R.ranked(named, "score", "id")]
+
+
+@query(f"WITH {_LISTS} SELECT id, round(fused, 6) AS score FROM f ORDER BY fused DESC, id LIMIT 20")
+def hybrid_node_search(t: Tables) -> DataFrame:
+    return R.hybrid_search(two_lists(t), "id", 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_LISTS}, n AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_partkey = 7 UNION SELECT l_partkey FROM lineitem WHERE l_suppkey = 7)
+SELECT id, CASE WHEN id = 7 THEN 10.0 WHEN id IN (SELECT id FROM n) THEN 1.0 ELSE 0.0 END AS score FROM f ORDER BY score DESC, fused DESC, id LIMIT 20""")
+def node_distance_rerank(t: Tables) -> DataFrame:
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return R.hybrid_search(two_lists(t), "id", 20, "node_distance", edges=edges, centre=7)
+
+
+@query(f"""WITH {_LISTS}, m AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1) SELECT id, coalesce(n, 0) AS score FROM f LEFT JOIN m USING (id) ORDER BY score DESC, fused DESC, id LIMIT 20""")
+def mention_rerank(t: Tables) -> DataFrame:
+    return R.hybrid_search(two_lists(t), "id", 20, "mentions", mentioned=t.events.select(F.col("user_id").alias("id")))
+
+
+@query("""WITH m AS (SELECT p_brand AS entity, 0.4 + max(p_size) / 100.0 AS similarity FROM part GROUP BY 1), n AS (SELECT p_brand AS entity, count(*) AS n FROM part GROUP BY 1)
+SELECT p_type AS memory, round(max(similarity * 0.5 / (1 + 0.001 * power(n - 1, 2))), 8) AS boost FROM part JOIN m ON entity = p_brand JOIN n USING (entity) WHERE similarity >= 0.5 GROUP BY 1""")
+def entity_boost(t: Tables) -> DataFrame:
+    matches = t.part.groupBy(F.col("p_brand").alias("entity")).agg((0.4 + F.max("p_size") / 100.0).alias("similarity"))
+    return R.entity_boost(matches, t.part.select(F.col("p_brand").alias("entity"), F.col("p_type").alias("memory"))).select("memory", F.round("boost", 8).alias("boost"))
+
+
+@query(f"""WITH {_LISTS} SELECT 'nodes' AS kind, CAST(id AS VARCHAR) AS id, round(fused, 6) AS score FROM (SELECT * FROM f ORDER BY fused DESC, id LIMIT 10)
+UNION ALL SELECT 'facts', CAST(id AS VARCHAR), round(s, 6) AS s FROM (SELECT vec_id AS id, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10)""")
+def four_way_search(t: Tables) -> DataFrame:
+    facts = R.top(R.similar(t.embeddings.withColumnRenamed("vec_id", "id"), "id", "embedding", VECTOR), "score", "id", 10)
+    return R.search_all({"nodes": R.hybrid_search(two_lists(t), "id", 10), "facts": facts}, "id").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH p AS (SELECT page_id, lower(html) AS x, length(html) AS n FROM pages), w AS (SELECT page_id, x, unnest(range(0, 1 + greatest(0, n - 400), greatest(1, (n - 400) // 40))) AS pos FROM p),
+h AS (SELECT page_id, pos, len(string_split(substr(x, pos + 1, 400), 'href')) - 1 + len(string_split(substr(x, pos + 1, 400), 'class')) - 1 AS hits FROM w)
+SELECT page_id, arg_min(pos, (-hits, pos)) AS start_at, max(hits) AS hits FROM h GROUP BY 1""")
+def keyword_window(t: Tables) -> DataFrame:
+    best = X.densest_window(F.col("html"), ["href", "class"], 400)
+    return t.pages.select("page_id", best.alias("b")).select("page_id", F.col("b.at").cast("long").alias("start_at"), F.col("b.hits").cast("long").alias("hits"))

@@ -54,8 +54,10 @@ def chunk_by_size(t: Tables) -> DataFrame:
     return chunks.by_size(t.documents.select("doc_id", "text"), "text", 2200, 200).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "body")
 
 
-@query("""WITH r AS (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)
-SELECT conv_id, CAST(coalesce(before, 0) // 500 AS BIGINT) AS chunk, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM r GROUP BY 1, 2""")
+@query("""WITH RECURSIVE r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k, coalesce(length(text), 0) AS n FROM conversations),
+w AS (SELECT conv_id, k, n, CAST(0 AS BIGINT) AS chunk, n AS filled FROM r WHERE k = 1 UNION ALL
+SELECT r.conv_id, r.k, r.n, CASE WHEN w.filled + r.n > 500 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.filled + r.n > 500 THEN r.n ELSE w.filled + r.n END FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1)
+SELECT conv_id, chunk, count(*) AS turns, CAST(sum(n) AS BIGINT) AS chars FROM w GROUP BY 1, 2""")
 def chunk_messages(t: Tables) -> DataFrame:
     return chunks.messages(t.conversations, "conv_id", "turn", "text", 500)
 
@@ -98,3 +100,73 @@ def entity_dedup(t: Tables) -> DataFrame:
 @query()
 def hash_embed(t: Tables) -> DataFrame:
     return chunks.hash_embed(t.documents.select("doc_id", "text"), "doc_id", "text")
+
+
+_STEM = """CASE WHEN ends_with(w, 'ingly') AND length(w) > 7 THEN w[:-6] WHEN ends_with(w, 'edly') AND length(w) > 6 THEN w[:-5] WHEN ends_with(w, 'ing') AND length(w) > 5 THEN w[:-4] WHEN ends_with(w, 'ers') AND length(w) > 5 THEN w[:-4] WHEN ends_with(w, 'ies') AND length(w) > 5 THEN w[:-4] WHEN ends_with(w, 'ied') AND length(w) > 5 THEN w[:-4]
+WHEN ends_with(w, 'ed') AND length(w) > 4 THEN w[:-3] WHEN ends_with(w, 'es') AND length(w) > 4 THEN w[:-3] WHEN ends_with(w, 'er') AND length(w) > 4 THEN w[:-3] WHEN ends_with(w, 'ly') AND length(w) > 4 THEN w[:-3] WHEN ends_with(w, 's') AND length(w) > 3 THEN w[:-2] ELSE w END"""
+_FUNCTION = ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS)
+_LIST = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark) SELECT {_STEM} AS stem, count(*) AS n FROM w GROUP BY 1""")
+def stem_counts(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.explode(F.transform(X.words(F.col("text")), X.stem)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_FUNCTION}))) AS w FROM benchmark)
+SELECT item_id, count(*) AS n, count(DISTINCT {_STEM}) AS stems FROM w GROUP BY 1""")
+def lemma_counts(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", F.explode(X.lemmas(F.col("text"))).alias("w")).groupBy("item_id").agg(F.count("*").alias("n"), F.count_distinct("w").alias("stems"))
+
+
+@query("""SELECT doc_id, md5(strip_accents(translate(text, 'łŁßøØæÆœŒđĐħıĸŋŊŧŦþÞð', ''))) AS plain_md5 FROM documents""")
+def diacritics(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(X.plain_letters(F.translate("text", "łŁßøØæÆœŒđĐħıĸŋŊŧŦþÞð", ""))).alias("plain_md5"))
+
+
+@query("""SELECT p_partkey, damerau_levenshtein(p_brand, 'Brand#' || reverse(right(p_brand, 2))) AS swapped, damerau_levenshtein(p_name, p_name || 's') AS longer, levenshtein(p_type, p_brand) AS far FROM part""")
+def edit_distances(t: Tables) -> DataFrame:
+    swapped = X.edit_distance(F.col("p_brand"), F.concat(F.lit("Brand#"), F.reverse(F.right("p_brand", F.lit(2)))))
+    return t.part.select("p_partkey", swapped.cast("long").alias("swapped"), X.edit_distance(F.col("p_name"), F.concat("p_name", F.lit("s"))).cast("long").alias("longer"), F.levenshtein("p_type", "p_brand").cast("long").alias("far"))
+
+
+@query("""WITH p AS (SELECT p_partkey, ['py', 'tsx', 'kt', 'rs', 'md', 'png', 'toml', 'zip'][1 + CAST(p_size % 8 AS INT)] AS ext FROM part)
+SELECT CASE ext WHEN 'py' THEN 'python' WHEN 'tsx' THEN 'web' WHEN 'kt' THEN 'jvm' WHEN 'rs' THEN 'rust' ELSE 'other' END AS family, CASE WHEN ext IN ('py', 'tsx', 'kt', 'rs') THEN 'code' WHEN ext = 'md' THEN 'document' WHEN ext = 'png' THEN 'image' WHEN ext = 'toml' THEN 'config' ELSE 'other' END AS category, count(*) AS n FROM p GROUP BY 1, 2""")
+def language_families(t: Tables) -> DataFrame:
+    path = F.concat(F.lit("src/File"), "p_partkey", F.lit("."), F.upper(F.element_at(F.array(*[F.lit(x) for x in ("py", "tsx", "kt", "rs", "md", "png", "toml", "zip")]), (1 + F.col("p_size") % 8).cast("int"))))
+    return t.part.groupBy(X.family(path).alias("family"), X.category(path).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_brand, CASE WHEN starts_with(p_brand, 'Brand#22') THEN 9.0 WHEN starts_with(p_brand, 'Brand#2') THEN 2.5 WHEN starts_with(p_brand, 'Brand#1') THEN 1.5 END AS price, count(*) AS n FROM part GROUP BY 1""")
+def price_lookup(t: Tables) -> DataFrame:
+    price = X.longest_prefix(F.col("p_brand"), {"Brand#1": 1.5, "Brand#2": 2.5, "Brand#22": 9.0})
+    return t.part.groupBy("p_brand").agg(F.count("*").alias("n")).select("p_brand", price.alias("price"), "n")
+
+
+@query(f"""WITH w AS (SELECT p_partkey, {_LIST.format("p_name || ' of the ' || p_type")} AS a, {_LIST.format("p_type || ' and ' || p_brand")} AS b, p_name || ' of the ' || p_type AS x, p_type || ' and ' || p_brand AS y FROM part),
+c AS (SELECT *, list_filter(a, lambda x: x NOT IN ({_FUNCTION})) AS ca, list_filter(b, lambda x: x NOT IN ({_FUNCTION})) AS cb FROM w)
+SELECT p_partkey, round(len(list_intersect(ca, cb)) / least(len(ca), len(cb)), 6) AS overlap, lower(x) = lower(y) OR len(list_intersect(a, b)) / len(list_distinct(a || b)) >= 0.6 AS same FROM c""")
+def content_overlap(t: Tables) -> DataFrame:
+    x, y = F.concat("p_name", F.lit(" of the "), "p_type"), F.concat("p_type", F.lit(" and "), "p_brand")
+    return t.part.select("p_partkey", F.round(X.overlap(X.content(X.words(x)), X.content(X.words(y))), 6).alias("overlap"), X.same_fact(x, y).alias("same"))
+
+
+@query("""SELECT count(*) FILTER (t >= 1000 AND 1000 * d / greatest(1, length(text) // 4) >= 100) AS dense, count(*) AS n FROM (SELECT text, greatest(1, length(text) // 4) AS t, len(regexp_extract_all(text, '(^|[ \\n])[A-Z]')) AS d FROM documents)""")
+def chunk_gate(t: Tables) -> DataFrame:
+    return t.documents.agg(F.count_if(chunks.worth_chunking(F.col("text"))).alias("dense"), F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) || '_' || f AS id, p_partkey, f AS field, x AS text FROM (SELECT p_partkey, unnest(['p_name', 'p_type', 'p_size']) AS f, unnest([p_name, p_type, CAST(p_size AS VARCHAR)]) AS x FROM part) WHERE x <> ''""")
+def doc_fan_out(t: Tables) -> DataFrame:
+    return chunks.fields(t.part, "p_partkey", ["p_name", "p_type", "p_size"])
+
+
+@query()
+def file_slices(t: Tables) -> DataFrame:
+    """Documents cut near line ends; the tests put the slices together again."""
+    return chunks.by_lines(t.documents, "doc_id", "text", 2000)
+
+
+@query("""SELECT source, CAST(sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))) AS BIGINT) AS words FROM documents GROUP BY 1""")
+def word_counts(t: Tables) -> DataFrame:
+    return t.documents.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+"))).cast("long").alias("words"))

@@ -32,10 +32,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: column form, with statistics, read again as often as needed."""
+def written(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, in folders ``by`` columns: column form, with statistics, read again as
+    often as needed. It lives as long as that folder does, like a checkpoint."""
     path = f"{shared_dir(df.sparkSession)}/corvidex-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
