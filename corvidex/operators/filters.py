@@ -7,6 +7,7 @@ dict of operators; ``$and``, ``$or`` and ``$not`` hold lists of filters. A missi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -123,3 +124,19 @@ def direct_child(path: str, folder: str) -> Column:
 def in_repo(path: str) -> Column:
     """Relative, without climbing and without a drive letter."""
     return ~F.col(path).rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)") & (F.col(path) != "")
+
+
+def workflow_predicate(text: str) -> Column:
+    """A condition as workflows write it, {{ a == "x" and not (b in [1, 2]) }}, as a Column: its operators are put in SQL's
+    spelling and Spark reads it. Text within quotes stays as it is."""
+    body = re.sub(r"^\s*\{\{|\}\}\s*$", "", text).strip()
+    parts = re.split(r"(\"[^\"]*\"|'[^']*')", body)
+    for i, part in enumerate(parts):
+        if i % 2:
+            parts[i] = "'" + part[1:-1].replace("'", "''") + "'"
+        else:
+            part = re.sub(r"\[", "(", re.sub(r"\]", ")", part.replace("==", "=")))
+            parts[i] = re.sub(r"\|\s*default\(", "?? (", part)
+    sql = "".join(parts)
+    sql = re.sub(r"(\w+)\s*\?\?\s*(\([^()]*\))", r"coalesce(\1, \2)", sql)
+    return F.expr(sql)

@@ -29,11 +29,11 @@ def hubs(edges: DataFrame, top: int) -> DataFrame:
 
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """id, depth of first visit, within ``depth`` steps. ``seeds``: id. ``reverse``: against the edges."""
-    step = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("to")).distinct()
+    step = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("to"))
     now = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = now
     for d in range(1, depth + 1):
-        new = now.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        new = now.join(step, "id").select(F.col("to").alias("id")).join(seen.select("id"), "id", "left_anti").distinct().withColumn("depth", F.lit(d))
         now = written(new, "frontier")  # the new nodes alone; what was seen is the union of what was written before
         if now.isEmpty():
             break
@@ -324,3 +324,87 @@ def folders(edges: DataFrame, depth: int) -> DataFrame:
     """src, dst, weight between folders: ids are paths, cut to their first ``depth`` parts; edges within one don't count."""
     cut = lambda c: F.array_join(F.slice(F.split(c, "/"), 1, depth), "/")
     return edges.select(cut("src").alias("src"), cut("dst").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def propagate_by_group(edges: DataFrame, group: str, weight: str | None = None) -> DataFrame:
+    """group, id, label: label propagation for each group on its own, all in one run: ids carry their group."""
+    key = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("v"))
+    named = edges.select(key("src").alias("src"), key("dst").alias("dst"), *([F.col(weight)] if weight else []))
+    out = label_propagation(named, weight=weight)
+    return out.select(F.col("id.g").alias(group), F.col("id.v").alias("id"), F.col("label.v").alias("label"))
+
+
+def community_of_new(new: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """id, community for new entities: the one that it has, else the commonest among its neighbours, ties to the least.
+    edges: id (new), to. Votes are counted before they are compared."""
+    votes = edges.join(groups.select(F.col("id").alias("to"), "community"), "to").groupBy("id", "community").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id").agg(F.max(F.struct("n", -F.col("community"))).alias("b")).select("id", (-F.col("b.col2")).alias("near"))
+    own = groups.select("id", F.col("community").alias("own"))
+    return new.select("id").distinct().join(own, "id", "left").join(best, "id", "left").select("id", F.coalesce("own", "near").alias("community"))
+
+
+def chain_by_time(rows: DataFrame, group: str, ts: str, key: str) -> DataFrame:
+    """group, key, previous: each episode of a chain with the one before it by time."""
+    return rows.select(group, key, F.lag(key).over(Window.partitionBy(group).orderBy(ts, key)).alias("previous"))
+
+
+def namespaced(graphs: dict[str, DataFrame], held: DataFrame | None = None) -> DataFrame:
+    """Edges of several repositories as one graph with ids repo::id; a repository that is added again replaces its edges in
+    ``held`` (repo, src, dst)."""
+    out = None if held is None else held.where(~F.col("repo").isin(*graphs))
+    for repo, edges in graphs.items():
+        named = edges.select(F.lit(repo).alias("repo"), F.concat(F.lit(f"{repo}::"), F.col("src").cast("string")).alias("src"), F.concat(F.lit(f"{repo}::"), F.col("dst").cast("string")).alias("dst"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def collapsed_view(edges: DataFrame, ranks: DataFrame, most: int, other: str) -> DataFrame:
+    """src, dst, weight of a view with the first ``most`` elements (id, rank: the higher the better) as they are and all
+    others as one, ``other``; what lies within one element isn't shown."""
+    shown = ranks.orderBy(F.desc("rank"), "id").limit(most).select("id", F.lit(True).alias("shown"))
+    at = lambda end: shown.select(F.col("id").alias(end), F.col("shown").alias(f"s_{end}"))
+    placed = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    end = lambda c: F.when(F.col(f"s_{c}"), F.col(c)).otherwise(F.lit(other))
+    return placed.select(end("src").alias("src"), end("dst").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def scoped_symbol(nodes: DataFrame, target: str, limit: int = 5) -> DataFrame:
+    """Nodes (id, label, path) for path::symbol: the path ends in the given one, by whole parts; an equal label before one
+    that holds the symbol."""
+    path, _, symbol = target.partition("::")
+    low, want = F.lower("label"), symbol.lower()
+    fits = (F.col("path") == path) | F.col("path").endswith("/" + path)
+    tier = F.when(low == want, 0).when(low.contains(want), 1)
+    return nodes.where(fits).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "id").limit(limit).select("id", "tier")
+
+
+def surprise_full(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, relation, score of edges (src, dst, relation, confidence) by how little they are to be expected. nodes: id,
+    category, folder, family, community.
+
+    3, 2 or 1 for ambiguous, inferred or extracted; 2 across kinds of files, 2 across top folders, 1 across communities; one
+    and a half times that for likeness of meaning; 1 more where an end of at most two edges meets one of five or more. An
+    inferred call across languages, or between code and a document, gets nothing for these but the last.
+    """
+    d = degree(edges)
+    both = edges
+    for end in ("src", "dst"):
+        side = nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("category", "folder", "family", "community")])
+        both = both.join(side, end).join(d.select(F.col("id").alias(end), F.col("degree").alias(f"d_{end}")), end)
+    other = lambda c: F.col(f"{c}_src") != F.col(f"{c}_dst")
+    papers = other("category") & F.col("category_src").isin("code", "document") & F.col("category_dst").isin("code", "document")
+    noise = (F.col("confidence") == "INFERRED") & F.col("relation").isin("calls", "uses") & ((other("family") & (F.col("family_src") != "other") & (F.col("family_dst") != "other")) | papers)
+    base = F.when(F.col("confidence") == "AMBIGUOUS", 3).when(F.col("confidence") == "INFERRED", 2).otherwise(1)
+    score = F.when(noise, 0).otherwise(base + F.when(other("category"), 2).otherwise(0) + F.when(other("folder"), 2).otherwise(0) + F.when(other("community"), 1).otherwise(0))
+    score = F.when(F.col("relation") == "semantically_similar_to", F.floor(score * 1.5)).otherwise(score)
+    edge = F.when((F.least("d_src", "d_dst") <= 2) & (F.greatest("d_src", "d_dst") >= 5), 1).otherwise(0)
+    return both.select("src", "dst", "relation", (score + edge).cast("long").alias("score"))
+
+
+def open_questions(nodes: DataFrame, edges: DataFrame, groups: DataFrame, top: int = 5) -> DataFrame:
+    """kind, id of what a graph leaves open: ambiguous edges (src), nodes that join most communities (bridge), and nodes with
+    no edge or one (isolated), at most ``top`` each."""
+    doubtful = edges.where("confidence = 'AMBIGUOUS'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(top)
+    other = undirected(edges).join(groups.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id")).agg(F.count_distinct("community").alias("n")).where("n > 1").orderBy(F.desc("n"), "id").limit(top)
+    lone = nodes.select("id").join(degree(edges), "id", "left").where("coalesce(degree, 0) <= 1").orderBy("id").limit(top)
+    return doubtful.select(F.lit("ambiguous").alias("kind"), "id").union(other.select(F.lit("bridge"), "id")).union(lone.select(F.lit("isolated"), "id"))

@@ -83,25 +83,30 @@ def budget_prefix(rows: DataFrame, keys: Sequence[str], order: Sequence[str], co
 
 
 def greedy_pack(items: DataFrame, pack: str, section: str, score: str, cost: str, key: str, budget: int) -> DataFrame:
-    """Two of each section by score, then the rest by score; what doesn't fit is skipped.
+    """Two of each section by score, then the rest by score; what doesn't fit is skipped. ``key`` is unique, costs are whole.
 
-    The choice is sequential within a pack. No more than ``budget`` items can be in a pack, as each costs 1 at least: of
-    each pack only its first ``budget`` candidates by (cost, order) reach the one task that chooses.
+    The choice is sequential within a pack. Once an item of some cost is skipped, so are all later ones of that cost: of one
+    cost c the first budget / c in order can be taken and no others. Only these reach the task that chooses, whatever a
+    pack holds: budget x (1 + 1/2 + ... + 1/budget) items at most, besides those that cost nothing.
     """
+    fits = items.where(F.col(cost).between(0, budget))
     by = Window.partitionBy(pack, section).orderBy(F.desc(score), key)
-    ranked = items.withColumn("__first", (F.row_number().over(by) > 2).cast("int"))
-    order = ["__first", F.desc(score), key]
-    placed = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(pack).orderBy(*order)))
+    # Two of each section that fits or not: a costly one takes its section's place as well.
+    first = items.withColumn("__k", F.row_number().over(by)).where("__k <= 2").select(key, F.lit(0).alias("__later"))
+    ranked = fits.join(first, key, "left").withColumn("__later", F.coalesce("__later", F.lit(1)))
+    order = [F.col("__later"), F.desc(score), F.col(key)]
+    able = ranked.withColumn("__k", F.row_number().over(Window.partitionBy(pack, cost).orderBy(*order))).where((F.col(cost) == 0) | (F.col("__k") * F.col(cost) <= budget))
     schema = items.schema
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__later", score, key], ascending=[True, False, True])
         left, keep = budget, []
-        for c in pdf.sort_values("__n")[cost]:
+        for c in pdf[cost]:
             keep.append(c <= left)
             left -= c if c <= left else 0
-        return pdf.sort_values("__n")[keep][schema.names]
+        return pdf[keep][schema.names]
 
-    return placed.where(F.col(cost) <= budget).groupBy(pack).applyInPandas(choose, schema)
+    return able.drop("__k").groupBy(pack).applyInPandas(choose, schema)
 
 
 def path_rollup(rows: DataFrame, path: str) -> DataFrame:

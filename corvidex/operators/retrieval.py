@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvidex.functions import text as X
-from corvidex.sources.tables import checkpointed, written
+from corvidex.sources.tables import checkpointed, spread, written
 
 K1, B = 1.2, 0.75
 MAX_TERMS = 12
@@ -27,14 +28,13 @@ def terms_of(query: str) -> list[str]:
 
 
 def term_counts(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """key, n (words) and tf (how often each of ``terms`` occurs): one walk over a text's words."""
-    start = F.struct(F.lit(0).alias("n"), *[F.lit(0).alias(f"t{i}") for i in range(len(terms))])
-
-    def count(acc, word):
-        return F.struct((acc["n"] + 1).alias("n"), *[(acc[f"t{i}"] + F.when(word == t, 1).otherwise(0)).alias(f"t{i}") for i, t in enumerate(terms)])
-
-    counted = docs.select(key, F.aggregate(X.words(F.col(text)), start, count).alias("c"))
-    return counted.select(key, F.col("c.n").alias("n"), F.array(*[F.col(f"c.t{i}") for i in range(len(terms))]).alias("tf"))
+    """key, n (words) and tf (how often each of ``terms`` occurs). A text is split once, for its length; a term is counted
+    only where the text holds its letters at all."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    parts = F.split(low, "[^a-z0-9]+")
+    n = F.size(parts) - F.when(F.element_at(parts, 1) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    count = lambda t: F.when(low.contains(t), F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))).otherwise(0)
+    return docs.select(key, n.alias("n"), F.array(*[count(t) for t in terms]).alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -42,7 +42,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     numbers a document, are written and serve both the statistics and the scores; documents aren't shuffled. For many
     queries over the same texts keep ``fts.postings`` instead."""
     terms = terms_of(query)
-    rows = written(term_counts(docs, key, text, terms), "terms")
+    rows = written(term_counts(spread(docs.select(key, text)), key, text, terms), "terms")
     stats = rows.agg(F.count("*"), F.avg("n"), *[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).first()
     n, average, *found = stats
     score = F.lit(0.0)
@@ -230,15 +230,41 @@ def label_score(rows: DataFrame, key: str, label: str, query: str) -> DataFrame:
 
 
 def trigram_candidates(rows: DataFrame, key: str, label: str, needle: str) -> DataFrame:
-    """Rows whose label has all trigrams of the needle; a needle of fewer than three letters is looked for as it is."""
+    """Rows whose label has all trigrams of the needle; a needle of fewer than three letters is looked for as it is. For
+    many needles over the same labels keep ``trigram_postings``."""
     low, needle = F.lower(F.col(label)), needle.lower()
     if len(needle) < 3:
         return rows.where(low.contains(needle)).select(key)
-    grams = sorted({needle[i : i + 3] for i in range(len(needle) - 2)})
-    condition = F.lit(True)
-    for g in grams:
-        condition = condition & low.contains(g)
-    return rows.where(condition).select(key)
+    return rows.where(reduce(lambda a, g: a & low.contains(g), sorted(grams_of(needle)), F.lit(True))).select(key)
+
+
+def grams_of(needle: str) -> set[str]:
+    return {needle[i : i + 3] for i in range(len(needle) - 2)}
+
+
+def trigram_postings(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """gram, key: each different trigram of a label once."""
+    low = F.lower(F.coalesce(F.col(label), F.lit("")))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))
+    return rows.select(key, F.explode(F.array_distinct(grams)).alias("gram")).where(F.length("gram") == 3)
+
+
+def by_trigrams(postings: DataFrame, rows: DataFrame, key: str, label: str, needles: Sequence[str], common: float = 0.1) -> DataFrame:
+    """key of the rows that may hold one of ``needles``: those whose postings have all its trigrams. Where a needle is shorter
+    than a trigram, or its rarest one is in more than ``common`` of all rows, all rows are looked at instead."""
+    lows = [n.lower() for n in needles]
+    wanted = sorted(set().union(*[grams_of(n) for n in lows]))
+    counts = {r["gram"]: r["n"] for r in postings.where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.count("*").alias("n")).collect()} if wanted else {}
+    most = common * rows.count()
+    if any(len(n) < 3 or min(counts.get(g, 0) for g in grams_of(n)) > most for n in lows):
+        low = F.lower(F.col(label))
+        return rows.where(reduce(lambda a, n: a | low.contains(n), lows, F.lit(False))).select(key)
+    out = None
+    for n in lows:
+        own = sorted(grams_of(n))
+        hit = postings.where(F.col("gram").isin(own)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(own)).select(key)
+        out = hit if out is None else out.union(hit)
+    return out.distinct()
 
 
 def grep(docs: DataFrame, key: str, text: str, query: str, per_doc: int = 3) -> DataFrame:

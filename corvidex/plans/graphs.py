@@ -238,3 +238,67 @@ def folder_dependencies(t: Tables) -> DataFrame:
     rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     path = lambda nation, kind, key: F.concat(F.lit("n"), nation, F.lit(f"/{kind}"), key)
     return G.folders(rows.select(path("c_nationkey", "c", "c_custkey").alias("src"), path("s_nationkey", "s", "s_suppkey").alias("dst")), 1)
+
+
+@query("""WITH v AS (SELECT o_custkey AS id, s_nationkey AS community, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+b AS (SELECT id, arg_max(community, (n, -community)) AS near FROM v GROUP BY 1) SELECT c_custkey AS id, coalesce(CASE WHEN c_acctbal > 9000 THEN c_nationkey END, near) AS community FROM customer LEFT JOIN b ON id = c_custkey""")
+def community_of_new(t: Tables) -> DataFrame:
+    """Suppliers and rich customers are in the community of their nation; the others are new."""
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = rows.select(F.col("o_custkey").alias("id"), (1_000_000_000 + F.col("l_suppkey")).alias("to"))
+    groups = t.supplier.select((1_000_000_000 + F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("community"))
+    return G.community_of_new(t.customer.select(F.col("c_custkey").alias("id")), edges, groups.union(t.customer.where("c_acctbal > 9000").select("c_custkey", "c_nationkey")))
+
+
+@query("SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders")
+def saga_chain(t: Tables) -> DataFrame:
+    return G.chain_by_time(t.orders, "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("""SELECT 'buyers' AS repo, 'buyers::' || c_custkey AS src, 'buyers::' || c_nationkey AS dst FROM customer UNION ALL SELECT 'sellers', 'sellers::' || s_suppkey, 'sellers::' || s_nationkey FROM supplier""")
+def global_graph(t: Tables) -> DataFrame:
+    """The buyers are added again, which replaces what they had."""
+    edges = lambda rows, a, b: rows.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    held = G.namespaced({"buyers": edges(t.nation, "n_nationkey", "n_regionkey"), "sellers": edges(t.supplier, "s_suppkey", "s_nationkey")})
+    return G.namespaced({"buyers": edges(t.customer, "c_custkey", "c_nationkey")}, held)
+
+
+@query(f"""WITH {_TREE}, e AS (SELECT src, dst FROM t WHERE rel = 'contains'), d AS (SELECT id, count(*) AS r FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), k AS (SELECT id FROM d ORDER BY r DESC, id LIMIT 12)
+SELECT a AS src, b AS dst, count(*) AS weight FROM (SELECT CASE WHEN src IN (SELECT id FROM k) THEN src ELSE 'more' END AS a, CASE WHEN dst IN (SELECT id FROM k) THEN dst ELSE 'more' END AS b FROM e) WHERE a <> b GROUP BY 1, 2""")
+def view_collapse(t: Tables) -> DataFrame:
+    edges = named_tree(t).where("rel = 'contains'").select("src", "dst")
+    return G.collapsed_view(edges, G.degree(edges).withColumnRenamed("degree", "rank"), 12, "more")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN lower(p_name) = 'bolt' THEN 0 ELSE 1 END AS tier FROM part WHERE contains(lower(p_name), 'bolt') AND p_brand = 'Brand#2' ORDER BY tier, id LIMIT 5""")
+def scoped_symbol(t: Tables) -> DataFrame:
+    nodes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.concat(F.lit("src/"), "p_brand").alias("path"))
+    return G.scoped_symbol(nodes, "Brand#2::Bolt")
+
+
+@query("""WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'AMBIGUOUS' WHEN 'A' THEN 'INFERRED' ELSE 'EXTRACTED' END AS conf, CASE WHEN l_linestatus = 'O' THEN 'calls' WHEN l_tax > 0.06 THEN 'semantically_similar_to' ELSE 'imports' END AS rel FROM lineitem),
+d AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1),
+n AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'code' ELSE 'document' END AS cat, p_brand AS folder, CASE WHEN p_size > 40 THEN 'python' WHEN p_size > 25 THEN 'web' ELSE 'other' END AS fam, p_size // 3 AS com FROM part
+UNION ALL SELECT 1000000 + s_suppkey, 'code', 'Brand#' || (10 + s_nationkey), 'python', s_nationkey FROM supplier),
+b AS (SELECT e.*, a.cat <> z.cat AS oc, a.folder <> z.folder AS f, a.com <> z.com AS oo, a.fam <> z.fam AND a.fam <> 'other' AND z.fam <> 'other' AS l, x.d AS dx, y.d AS dy FROM e JOIN n a ON a.id = src JOIN n z ON z.id = dst JOIN d x ON x.id = src JOIN d y ON y.id = dst),
+s AS (SELECT *, CASE WHEN conf = 'INFERRED' AND rel = 'calls' AND (l OR oc) THEN 0 ELSE CASE conf WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + 2 * CAST(oc AS INT) + 2 * CAST(f AS INT) + CAST(oo AS INT) END AS s FROM b)
+SELECT rel AS relation, CASE WHEN rel = 'semantically_similar_to' THEN CAST(floor(s * 1.5) AS BIGINT) ELSE s END + CASE WHEN least(dx, dy) <= 2 AND greatest(dx, dy) >= 5 THEN 1 ELSE 0 END AS score, count(*) AS n FROM s GROUP BY 1, 2""")
+def surprise_full(t: Tables) -> DataFrame:
+    conf = F.when(F.col("l_returnflag") == "R", "AMBIGUOUS").when(F.col("l_returnflag") == "A", "INFERRED").otherwise("EXTRACTED")
+    rel = F.when(F.col("l_linestatus") == "O", "calls").when(F.col("l_tax") > 0.06, "semantically_similar_to").otherwise("imports")
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), (1_000_000 + F.col("l_suppkey")).alias("dst"), conf.alias("confidence"), rel.alias("relation"))
+    size = F.col("p_size")
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.when(size > 25, "code").otherwise("document").alias("category"), F.col("p_brand").alias("folder"), F.when(size > 40, "python").when(size > 25, "web").otherwise("other").alias("family"), F.floor(size / 3).cast("int").alias("community"))
+    sellers = t.supplier.select((1_000_000 + F.col("s_suppkey")).alias("id"), F.lit("code").alias("category"), F.concat(F.lit("Brand#"), 10 + F.col("s_nationkey")).alias("folder"), F.lit("python").alias("family"), F.col("s_nationkey").cast("int").alias("community"))
+    return G.surprise_full(edges, parts.union(sellers)).groupBy("relation", "score").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, l_returnflag FROM lineitem WHERE l_quantity > 40), g AS (SELECT 1000000 + s_suppkey AS dst, s_nationkey AS c FROM supplier UNION ALL SELECT p_partkey, 100 + p_size FROM part),
+u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)
+(SELECT 'ambiguous' AS kind, src AS id FROM e WHERE l_returnflag = 'R' GROUP BY src ORDER BY count(*) DESC, src LIMIT 5) UNION ALL
+(SELECT 'bridge', src FROM u JOIN g USING (dst) GROUP BY src HAVING count(DISTINCT c) > 1 ORDER BY count(DISTINCT c) DESC, src LIMIT 5) UNION ALL
+(SELECT 'isolated', p_partkey FROM part LEFT JOIN d ON id = p_partkey WHERE coalesce(d, 0) <= 1 ORDER BY p_partkey LIMIT 5)""")
+def open_questions(t: Tables) -> DataFrame:
+    edges = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("src"), (1_000_000 + F.col("l_suppkey")).alias("dst"), F.when(F.col("l_returnflag") == "R", "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
+    groups = t.supplier.select((1_000_000 + F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("community")).union(t.part.select("p_partkey", 100 + F.col("p_size")))
+    return G.open_questions(t.part.select(F.col("p_partkey").alias("id")), edges, groups)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvidex.functions import text as X
 from corvidex.operators import fts
 from corvidex.operators import retrieval as R
+from corvidex.operators import vectors as V
 from corvidex.plans.base import Tables, query
 
 QUESTION = "thing ention license"
@@ -187,3 +188,25 @@ SELECT page_id, arg_min(pos, (-hits, pos)) AS start_at, max(hits) AS hits FROM h
 def keyword_window(t: Tables) -> DataFrame:
     best = X.densest_window(F.col("html"), ["href", "class"], 400)
     return t.pages.select("page_id", best.alias("b")).select("page_id", F.col("b.at").cast("long").alias("start_at"), F.col("b.hits").cast("long").alias("hits"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_name), 'bolt')")
+def trigram_postings(t: Tables) -> DataFrame:
+    """Words that more than a tenth of all parts hold: all labels are looked at."""
+    return R.by_trigrams(R.trigram_postings(t.part, "p_partkey", "p_name"), t.part, "p_partkey", "p_name", ["widget", "bolt"])
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(c_name, '00123')")
+def trigram_rare(t: Tables) -> DataFrame:
+    return R.by_trigrams(R.trigram_postings(t.customer, "c_custkey", "c_name"), t.customer, "c_custkey", "c_name", ["#000000123", "00123", "#00000123"]).join(t.customer.where(F.col("c_name").contains("00123")).select("c_custkey"), "c_custkey", "left_semi")
+
+
+@query("""WITH s AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings) SELECT id, round(list_sum(list_transform(v, lambda x: abs(x))), 5) AS size FROM (SELECT id, CASE WHEN label = 3 THEN list_transform(e, lambda x: -x / sqrt(list_inner_product(e, e))) ELSE list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) END AS v FROM s WHERE label NOT IN (5, 7))""")
+def vector_store(t: Tables) -> DataFrame:
+    """Everything is added, cleared and added again; label 3 is replaced, labels 5 and 7 are deleted."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    journal = t.spark.createDataFrame([], f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>, op string, seq long")
+    journal = V.add(V.clear(V.add(journal, rows.withColumn("id", F.col("id") + 1_000_000), 1), 2), rows, 3)
+    journal = V.add(journal, rows.where("label = 3").withColumn("vector", F.transform("vector", lambda x: -x)), 4)
+    journal = V.delete(journal, rows.where("label IN (5, 7)"), 5)
+    return V.state(journal).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.abs(x)), 5).alias("size"))

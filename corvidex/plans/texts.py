@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvidex.functions import text as X
 from corvidex.operators import chunks, dedup
 from corvidex.plans.base import Tables, query
+from corvidex.sources.tables import spread
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(p_name, ' ', '_') || 'Widget' || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')) AS parts FROM part""")
@@ -23,7 +24,7 @@ md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
 FROM documents""")
 def redact_secrets(t: Tables) -> DataFrame:
     found = X.secret_counts(F.col("text"))
-    return t.documents.select("doc_id", *[found[k].alias(k) for k in ("aws_key", "card", "assignment")], F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", *[found[k].alias(k) for k in ("aws_key", "card", "assignment")], F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
 
 
 @query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),

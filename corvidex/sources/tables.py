@@ -40,6 +40,13 @@ def written(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files give fewer tasks than half of them (one small file that can't be split),
+    before work that is heavy for each row. Larger inputs have enough tasks and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Last writer wins: of each key the row with the greatest ``order``. Aggregates before it shuffles."""
     rest = [c for c in rows.columns if c not in keys]
