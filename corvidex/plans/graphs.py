@@ -270,10 +270,10 @@ def view_collapse(t: Tables) -> DataFrame:
     return G.collapsed_view(edges, G.degree(edges).withColumnRenamed("degree", "rank"), 12, "more")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN lower(p_name) = 'bolt' THEN 0 ELSE 1 END AS tier FROM part WHERE contains(lower(p_name), 'bolt') AND p_brand = 'Brand#2' ORDER BY tier, id LIMIT 5""")
+@query("""SELECT p_partkey AS id, CASE WHEN lower(p_name) = 'ol' THEN 0 ELSE 1 END AS tier FROM part WHERE contains(lower(p_name), 'ol') AND p_brand = 'Brand#2' ORDER BY tier, id LIMIT 5""")
 def scoped_symbol(t: Tables) -> DataFrame:
     nodes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.concat(F.lit("src/"), "p_brand").alias("path"))
-    return G.scoped_symbol(nodes, "Brand#2::Bolt")
+    return G.scoped_symbol(nodes, "Brand#2::Ol")
 
 
 @query("""WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, CASE l_returnflag WHEN 'R' THEN 'AMBIGUOUS' WHEN 'A' THEN 'INFERRED' ELSE 'EXTRACTED' END AS conf, CASE WHEN l_linestatus = 'O' THEN 'calls' WHEN l_tax > 0.06 THEN 'semantically_similar_to' ELSE 'imports' END AS rel FROM lineitem),
