@@ -7,13 +7,12 @@ multisets agree at a position with the probability of their weighted Jaccard sim
 in rising time, and a process stops once it is later than the latest position: about one draw a shingle in long texts.
 
 Candidates. Equal texts are one node. Nodes that agree in all rows of a band share a bucket: at similarity 0.8 all 32
-bands miss with probability 6e-5. A bucket is never expanded into all pairs; links are found in three steps, and after
-each only pairs of different components count:
+bands miss with probability 6e-5. A bucket is never expanded into all pairs; links are found in two steps, and in
+the second only pairs of different components count:
 
-1. Each member of a bucket is held against the bucket's pivot, its most connected member; of the pivots of its buckets the
-   one that it shares most buckets with. At most one pair a node.
-2. The other pivots of its buckets, where they lie in another component yet. At most ``BANDS`` pairs a node.
-3. What still lies in several components of one bucket is exhausted. Shingles are told apart by how many of these open
+1. Each member of a bucket is held against the bucket's pivot, its most connected member. A pair counts once over all
+   buckets, so that is ``BANDS`` pairs a node at most, and about two where copies share most buckets.
+2. What still lies in several components of one bucket is exhausted. Shingles are told apart by how many of these open
    nodes have them: at most ``RARE`` is rare. An overlap is at most the lesser number of common shingles plus the number of
    equal rare ones, and 0.8 asks for 4/9 of both sizes (and 0.8 of the larger). Nodes whose common shingles reach 0.8 of
    their size are joined by bucket under that bound. A node below must share rare shingles, so its rarest ones, one more
@@ -305,8 +304,8 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _exhausted(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) across components that may reach 0.8: see step 3 above."""
-    known = materialize(open_.select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "known")
+    """The pairs (a, b) across components that may reach 0.8: see step 2 above."""
+    known = open_.select("node", "root").distinct().join(nodes.select("node", "n"), "node")
     each = materialize(elements(texts_of(known.select("node"), texts)), "elements")
     rare = materialize(each.join(each.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "h"), "rare")
     of_node = rare.groupBy("node").agg(F.count("*").alias("r"), F.count_if(F.col("df") > 1).alias("r2"), F.collect_list(F.when(F.col("df") > 1, F.hash("h"))).alias("rare"))
@@ -320,7 +319,7 @@ def _exhausted(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     # By bucket: all against the members outside the component that most of a bucket lies in.
     heavy = open_.select("node", "hash").join(held.where(common), "node")
     main = heavy.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("hash", "main")
-    heavy = materialize(heavy.join(main, "hash"), "heavy")
+    heavy = heavy.join(main, "hash")
     x, y = heavy.where("root <> main").alias("x"), heavy.alias("y")
     within = both * (F.least("x.c", "y.c") + F.size(F.array_intersect("x.rare", "y.rare"))) >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root"))
@@ -346,24 +345,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialize(rows.join(sizes, "hash"), "buckets")
     fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
     pivots = shared.join(fame, "node").groupBy("hash").agg(F.max_by("node", F.struct("fame", "node")).alias("p"))
-    offered = materialize(shared.join(pivots, "hash").where("node <> p").groupBy("node", "p").agg(F.count("*").alias("times")), "offered")
-    pairs = materialize(offered.groupBy("node").agg(F.max_by("p", F.struct("times", "p")).alias("p")).select(*_pair("node", "p")).distinct(), "pairs")
+    pairs = materialize(shared.join(pivots, "hash").where("node <> p").select(*_pair("node", "p")).distinct(), "pairs")
     found = materialize(verify(pairs, docs), "links")
     roots = materialize(components(found), "roots")
-    for other in (lambda: _across(offered, roots), lambda: _exhausted(_open(shared, roots), nodes, docs)):
-        more = materialize(other().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        proved = materialize(verify(more, docs), "links")
-        pairs, found, roots = pairs.union(more), found.union(proved), merged(roots, proved)
-    return found, roots
-
-
-def _across(offered: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (node, p) of ``offered`` that lie in different components, as (a, b)."""
-    at = roots.select(F.col("node").alias("p"), F.col("root").alias("rp"))
-    placed = offered.join(roots, "node", "left").join(at, "p", "left")
-    return placed.where(F.coalesce("root", "node") != F.coalesce("rp", "p")).select(*_pair("node", "p")).distinct()
+    more = materialize(_exhausted(_open(shared, roots), nodes, docs).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return found, roots
+    proved = materialize(verify(more, docs), "links")
+    return found.union(proved), merged(roots, proved)
 
 
 def with_node(docs: DataFrame) -> DataFrame:
