@@ -26,7 +26,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Like a checkpoint it stays in the shared folder until whoever owns that folder clears it: a later job of the same
+    session may still read it."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
@@ -41,13 +44,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that ``shared_path`` gave, through the file system that it names."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size in bytes; of files it is their size on disk."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
