@@ -45,7 +45,9 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: str.split() also cuts at these four; the tokenizer's white space lacks them.
 _NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+#: What the tokenizer takes for white space beyond ASCII, and all of it.
+RARE_SPACE = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = regex.compile(r"[\t-\r " + RARE_SPACE[1:-1] + "]+")
 _UNIT = 0x100
 
 
@@ -212,7 +214,7 @@ class WordBpe:
         """The ids of a whole text as little-endian 32-bit integers."""
         if not text:
             return b""
-        chunks = text.split() if not _NOT_SPACE.search(text) else [x for x in _SPACE.split(text) if x]
+        chunks = text.split() if not _NOT_SPACE.search(text) else [x for x in SPACE.split(text) if x]
         return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str | None) -> np.ndarray:

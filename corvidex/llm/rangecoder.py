@@ -5,10 +5,11 @@ All blocks of a group run in lockstep: one vectorised step codes the next id of
 
 Model of an id x after ids a, b:
 - order 2: the id that last followed (a, b), with a confidence of 0 to 3; order 1: likewise after b.
-- "x is the guess of order 2 (of order 1 where order 2 has none)" is one binary event. Its probability mixes what both
-  orders say in the logistic domain, with weights that follow the coding error. "x is the guess of order 1" is a second
-  event, where that guess differs.
-- otherwise x is coded by order 0: the group's id frequencies, kept in its header.
+- order 0: the group's id frequencies, kept in its header.
+- "x is the guess of order 2 (of order 1 where order 2 has none)" is one binary event. Its probability mixes what all three
+  orders say of that id in the logistic domain, with weights that follow the coding error. "x is the guess of order 1" is a
+  second event, where that guess differs.
+- otherwise x is coded by order 0 alone.
 All arithmetic is on integers, so files don't depend on a machine's floating point.
 
 The coder keeps 56 bits and moves 16 at a time; carries are added to words already put out and spread at the end.
@@ -27,22 +28,24 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.llm.bpe import VOCABULARY, load
+from corvidex.llm.bpe import VOCABULARY
 from corvidex.llm.common import materialize, shared_path, table
+from corvidex.llm.lockstep import load_lockstep
 
 END = 2
 BLOCK = 1024
-#: Ids of a group: what a worker holds at once.
-GROUP = 1 << 22
+#: Bytes of texts of a group: what a worker holds at once. A byte gives an id at most, with the end id of each document.
+GROUP = 3 << 23
 _SLOTS = 512
-_MAGIC = b"CVXR1"
+_MAGIC = b"CVXR2"
 _HEAD = struct.Struct("<5sIIQIII")
 _U = np.uint64
 #: From 12-bit probabilities to the logistic domain (8 fractional bits) and back.
@@ -51,51 +54,53 @@ _SQUASH = np.array([min(4080, max(16, round(4096 / (1 + math.exp(-z / 256))))) f
 
 
 class _Model:
-    """The state of all blocks of a group."""
+    """The state of all blocks of a group. A slot of an order holds the id that it expects, times 4, plus its confidence."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, share_of: np.ndarray) -> None:
         self.at = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.guess1, self.guess2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.sure1, self.sure2 = np.zeros(lanes * _SLOTS, np.int8), np.zeros(lanes * _SLOTS, np.int8)
-        self.a = self.b = np.zeros(lanes, np.int32)
-        self.lane4 = np.arange(lanes) * 8
+        self.slots1, self.slots2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
+        # Of the ids before: products that the slots are computed from.
+        self.near, self.far, self.next_far = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.lane8 = np.arange(lanes, dtype=np.int64) * 8
         self.p1, self.p2, self.pb = (np.full(lanes * 8, 2048, np.int32) for _ in range(3))
-        self.w1 = self.w2 = np.full(lanes, 32768, np.int32)
+        self.w0, self.w1, self.w2 = np.full(lanes, 6144, np.int32), np.full(lanes, 32768, np.int32), np.full(lanes, 32768, np.int32)
+        self.zero = _STRETCH[np.minimum(share_of >> 4, 4095)]
 
     def guess(self) -> None:
-        b = self.b.astype(np.int64)
-        self.s1 = self.at + (b * 40503 >> 4 & _SLOTS - 1)
-        self.s2 = self.at + ((b * 40503 + self.a.astype(np.int64) * 60493) >> 5 & _SLOTS - 1)
-        self.g1, self.g2 = self.guess1[self.s1], self.guess2[self.s2]
-        self.c1, self.c2 = self.sure1[self.s1], self.sure2[self.s2]
+        self.s1 = (self.near >> 4 & _SLOTS - 1) + self.at
+        self.s2 = (self.near + self.far >> 5 & _SLOTS - 1) + self.at
+        self.v1, self.v2 = self.slots1.take(self.s1), self.slots2.take(self.s2)
+        self.g1, self.g2 = self.v1 >> 2, self.v2 >> 2
+        self.c1, self.c2 = self.v1 & 3, self.v2 & 3
         self.g = np.where(self.c2 > 0, self.g2, self.g1)
         same = self.g1 == self.g
         # What each order says of the joint guess.
-        self.k1, self.k2 = self.lane4 + self.c1 + 4 * same, self.lane4 + self.c2
-        self.t1, self.t2 = _STRETCH[self.p1[self.k1]], _STRETCH[self.p2[self.k2]]
-        z = self.w1 * self.t1 + self.w2 * self.t2 >> 16
-        self.pa = _SQUASH[np.minimum(np.maximum(z, -2047), 2047) + 2047]
+        self.kb = self.lane8 + self.c1
+        self.k1, self.k2 = self.kb + (same.view(np.int8) << 2), self.lane8 + self.c2
+        self.q1, self.q2 = self.p1.take(self.k1), self.p2.take(self.k2)
+        self.t0, self.t1, self.t2 = self.zero.take(self.g), _STRETCH.take(self.q1), _STRETCH.take(self.q2)
+        z = self.w0 * self.t0 + self.w1 * self.t1 + self.w2 * self.t2 >> 16
+        self.pa = _SQUASH.take(z + 2047, mode="clip")
         self.other = ~same & (self.c1 > 0)
-        self.kb = self.lane4 + self.c1
-        self.pb_now = np.minimum(np.maximum(self.pb[self.kb], 32), 4064)
+        self.qb = self.pb.take(self.kb)
+        self.pb_now = np.minimum(np.maximum(self.qb, 32), 4064)
 
     def learn(self, x: np.ndarray, hit: np.ndarray, second: np.ndarray) -> None:
         """``second``: the id was order 1's guess, of those that missed."""
         bit = hit.astype(np.int32) << 12
         err = bit - self.pa
-        self.w1 = self.w1 + (self.t1 * err >> 10)
-        self.w2 = self.w2 + (self.t2 * err >> 10)
-        self.w1, self.w2 = (np.minimum(np.maximum(w, -(1 << 18)), 1 << 18) for w in (self.w1, self.w2))
-        for table, k in ((self.p1, self.k1), (self.p2, self.k2)):
-            old = table[k]
-            table[k] = np.minimum(np.maximum(old + (bit - old >> 4), 16), 4080)
-        old = self.pb[self.kb]
-        self.pb[self.kb] = np.where(self.other & ~hit, old + ((second.astype(np.int32) << 12) - old >> 4), old)
-        for guess, sure, s, g, c in ((self.guess1, self.sure1, self.s1, self.g1, self.c1), (self.guess2, self.sure2, self.s2, self.g2, self.c2)):
-            right = (g == x) & (c > 0)
-            guess[s] = np.where(right | (c > 1), g, x)
-            sure[s] = np.where(right, np.minimum(c + 1, 3), np.where(c > 1, c - 1, 1))
-        self.a, self.b = self.b, x
+        for w, t in ((self.w0, self.t0), (self.w1, self.t1), (self.w2, self.t2)):
+            w += t * err >> 10
+            np.minimum(w, 1 << 17, out=w)
+            np.maximum(w, -(1 << 17), out=w)
+        self.p1[self.k1] = self.q1 + (bit - self.q1 >> 4)
+        self.p2[self.k2] = self.q2 + (bit - self.q2 >> 4)
+        self.pb[self.kb] = np.where(self.other & ~hit, self.qb + ((second.astype(np.int32) << 12) - self.qb >> 4), self.qb)
+        fresh = (x << 2) + 1
+        for slots, s, v, g, c in ((self.slots1, self.s1, self.v1, self.g1, self.c1), (self.slots2, self.s2, self.v2, self.g2, self.c2)):
+            # Surer by one, or less sure by one, or anew; an empty slot that expects id 0 comes to the same.
+            slots[s] = np.where(g == x, v + (c < 3), np.where(c > 1, v - 1, fresh))
+        self.near, self.far, self.next_far = x * np.int64(40503), self.next_far, x * np.int64(60493)
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,28 +120,28 @@ def compress(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     padded[: len(ids)] = ids
     x_of = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     seen, share = frequencies(ids)
-    size = int(max(seen[-1], 0)) + 1
-    start_of, share_of = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+    size = int(seen[-1]) + 1
+    start_of, share_of = np.zeros(size, np.uint64), np.zeros(size, np.int64)
     share_of[seen] = share
     start_of[seen] = np.cumsum(share) - share
-    model = _Model(lanes)
+    model = _Model(lanes, share_of)
+    share_of = share_of.astype(np.uint64)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    # At most 12 + 12 + 16 bits an id; far fewer on the whole, so the table of words grows as needed.
-    out, n_out, lane = np.zeros((BLOCK + 64, lanes), np.int32), np.zeros(lanes, np.int64), np.arange(lanes)
+    # At most 12 + 12 + 16 bits an id, so at most 2.5 words; pages that nothing is written to take no memory.
+    most = BLOCK * 5 // 2 + 8
+    out, n_out, lane = np.zeros(lanes * most, np.int32), np.arange(lanes, dtype=np.int64) * most, np.arange(lanes)
     top = _U((1 << 56) - 1)
 
     def put(some: np.ndarray) -> None:
-        nonlocal out
-        carry = some[low[some] > top]
-        if len(carry):
-            out[n_out[carry] - 1, carry] += 1
-            low[carry] &= top
-        out[n_out[some], some] = (low[some] >> _U(40)).astype(np.int32)
-        n_out[some] += 1
-        low[some] = (low[some] & _U((1 << 40) - 1)) << _U(16)
+        at, due = n_out[some], low[some]
+        carry = due > top
+        if carry.any():
+            out[at[carry] - 1] += 1
+            due &= top
+        out[at] = (due >> _U(40)).astype(np.int32)
+        n_out[some] = at + 1
+        low[some] = (due & _U((1 << 40) - 1)) << _U(16)
         wide[some] <<= _U(16)
-        if n_out.max() >= len(out) - 8:
-            out = np.concatenate((out, np.zeros((len(out) // 2, lanes), np.int32)))
 
     for t in range(int(length.max())):
         x = x_of[t]
@@ -160,16 +165,16 @@ def compress(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     for _ in range(4):
         put(lane)
     # The last block may be shorter than the others: what it coded beyond, a reader leaves alone.
-    for k in range(len(out) - 1, 0, -1):
-        over = out[k] >> 16
+    out, n_out = out.reshape(lanes, most), n_out - lane * most
+    for k in range(int(n_out.max()) - 1, 0, -1):
+        over = out[:, k] >> 16
         if over.any():
-            out[k - 1] += over
-            out[k] &= 0xFFFF
+            out[:, k - 1] += over
+            out[:, k] &= 0xFFFF
     crc = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(lanes)]
     table_ = zlib.compress(seen.astype("<u4").tobytes() + share.astype("<u4").tobytes(), 1)
     blocks = np.stack([n_out, crc], 1).astype("<u4").tobytes()
-    words = out.T.astype("<u2")
-    return table_, blocks, b"".join(words[k, : n_out[k]].tobytes() for k in range(lanes))
+    return table_, blocks, b"".join(out[k, :n].astype("<u2").tobytes() for k, n in enumerate(n_out.tolist()))
 
 
 def decompress(n: int, table_: bytes, blocks: bytes, words: bytes) -> np.ndarray:
@@ -183,7 +188,9 @@ def decompress(n: int, table_: bytes, blocks: bytes, words: bytes) -> np.ndarray
     start = np.cumsum(share) - share
     index_of = np.repeat(np.arange(len(seen)), share)
     seen32, start64, share64 = seen.astype(np.int32), start.astype(np.uint64), share.astype(np.uint64)
-    model = _Model(lanes)
+    share_of = np.zeros(int(seen[-1]) + 1, np.int64)
+    share_of[seen] = share
+    model = _Model(lanes, share_of)
     last = begin + sizes
     flat = np.concatenate((flat, np.zeros(8, "<u2"))).astype(np.uint64)
     wide = np.full(lanes, 1 << 56, np.uint64)
@@ -213,8 +220,9 @@ def decompress(n: int, table_: bytes, blocks: bytes, words: bytes) -> np.ndarray
         out[t] = x
         while len(some := np.flatnonzero(wide < _U(1 << 40))):
             wide[some] <<= _U(16)
-            at[some] += 1
-            word = flat[np.minimum(at[some], last[some])]
+            here = at[some] + 1
+            at[some] = here
+            word = flat[np.minimum(here, last[some])]
             value[some] = value[some] << _U(16) | rest[some] << _U(8) | word >> _U(8)
             rest[some] = word & _U(0xFF)
     ids = out.T.reshape(-1)[:n].astype(np.uint32)
@@ -224,7 +232,7 @@ def decompress(n: int, table_: bytes, blocks: bytes, words: bytes) -> np.ndarray
     return ids
 
 
-def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def pack(doc_ids: list[int | None], lengths: Sequence[int], ids: np.ndarray) -> bytes:
     """One group of a file."""
     known = np.array([x is not None for x in doc_ids], np.uint8).tobytes()
     index = zlib.compress(known + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes(), 1)
@@ -251,31 +259,30 @@ def unpack(content: memoryview) -> Iterator[tuple[list[int | None], np.ndarray,
         at += 1  # the writer's newline
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, group: int = GROUP) -> None:
     """Encode whole texts, close each with ``end``, and write them in ascending doc_id order."""
     # The hash in place of the text: keys are sampled to the driver.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    closing = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
-        names, lengths, held, size = [], [], [], 0
+        bpe = load_lockstep(vocabulary)
+        names, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"raw": pa.array([pack(names, lengths, np.frombuffer(b"".join(held), "<u4"))], pa.binary())})
+            lengths, ids = bpe.texts(texts, end)
+            return pa.RecordBatch.from_pydict({"raw": pa.array([pack(names, lengths, ids)], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = bpe.encode_bytes(text) + closing
-                names.append(doc_id)
-                lengths.append(len(raw) // 4)
-                held.append(raw)
-                size += lengths[-1]
-                if size >= GROUP:
+            sizes = pc.binary_length(batch.column("text")).to_pylist()
+            for doc_id, text, n in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), sizes):
+                if texts and size + n > group:
                     yield flush()
-                    names, lengths, held, size = [], [], [], 0
-        if held:
+                    names, texts, size = [], [], 0
+                names.append(doc_id)
+                texts.append(text)
+                size += n
+        if texts:
             yield flush()
 
     dealt.mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value")).write.option("compression", "none").text(path)

@@ -77,3 +77,26 @@ def test_real_ids_take_less_than_their_order_0_entropy():
     n = np.unique(ids, return_counts=True)[1] / len(ids)
     entropy = -(n * np.log2(n)).sum()
     assert 8 * sum(map(len, r.compress(ids))) / len(ids) < 0.98 * entropy
+def test_real_ids_take_less_than_order_0(sf):
+    from corvidex.llm.lockstep import load_lockstep
+
+    texts = [x or "" for (x,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()]
+    _, ids = load_lockstep().texts(texts, 2)
+    n = np.unique(ids, return_counts=True)[1]
+    entropy = -(n / len(ids) * np.log2(n / len(ids))).sum() * len(ids) / 8
+    table, blocks, words = r.compress(ids)
+    # Without the group's table, which is a third of so small a group.
+    assert len(blocks) + len(words) < 0.97 * entropy
+    assert (r.decompress(len(ids), table, blocks, words) == ids).all()
+
+
+def test_groups_of_a_file(spark, docs_of, tmp_path):
+    docs = docs_of([(i, f"text number {i} " * (i % 5)) for i in range(60)] + [(99, "a long text of its own group " * 50)]).coalesce(1)
+    got, groups = {}, {}
+    for size in (1 << 24, 200):
+        r.write(docs, str(tmp_path / str(size)), group=size)
+        rows = r.read(spark, str(tmp_path / str(size))).collect()
+        got[size] = sorted((x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in rows)
+        groups[size] = len({(x["file"], x["group"]) for x in rows})
+    assert got[200] == got[1 << 24] and len(got[200]) == 61
+    assert groups[200] > groups[1 << 24]
