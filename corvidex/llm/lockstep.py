@@ -132,9 +132,9 @@ class Lockstep:
         start[order] = np.cumsum(length[order]) - length[order]
         return start, length, np.concatenate(pool) if pool else np.zeros(0, np.int32)
 
-    def strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def strings(self, strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each, ids) of strings without white space that hold no special string."""
-        joined = " ".join(strings)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), " ")[0].as_py()
         if joined.isascii():
             cut = _ASCII_PIECE.findall(joined.lower())
         else:
@@ -170,7 +170,7 @@ class Lockstep:
             at = np.flatnonzero(mask)
             if not len(at):
                 continue
-            n, ids = self.strings(strings.take(pa.array(at)).to_pylist())
+            n, ids = self.strings(strings.take(pa.array(at)))
             length[at + 1], start[at + 1] = n, held + np.cumsum(n) - n
             pool.append(ids)
             held += len(ids)

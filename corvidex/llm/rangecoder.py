@@ -43,7 +43,7 @@ from corvidex.llm.lockstep import load_lockstep
 END = 2
 BLOCK = 1024
 #: Bytes of texts of a group: what a worker holds at once. A byte gives an id at most, with the end id of each document.
-GROUP = 3 << 23
+GROUP = 1 << 24
 _SLOTS = 512
 _MAGIC = b"CVXR2"
 _HEAD = struct.Struct("<5sIIQIII")
@@ -82,11 +82,15 @@ class _Model:
         z = self.w0 * self.t0 + self.w1 * self.t1 + self.w2 * self.t2 >> 16
         self.pa = _SQUASH.take(z + 2047, mode="clip")
         self.other = ~same & (self.c1 > 0)
-        self.qb = self.pb.take(self.kb)
-        self.pb_now = np.minimum(np.maximum(self.qb, 32), 4064)
+
+    def ask(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the second event is coded, and the probability of order 1's guess there."""
+        self.asked = np.flatnonzero(self.other & ~hit)
+        self.qb = self.pb.take(self.kb.take(self.asked))
+        return self.asked, np.minimum(np.maximum(self.qb, 32), 4064).astype(np.uint64)
 
     def learn(self, x: np.ndarray, hit: np.ndarray, second: np.ndarray) -> None:
-        """``second``: the id was order 1's guess, of those that missed."""
+        """``second``: the id was order 1's guess, of those that were asked for."""
         bit = hit.astype(np.int32) << 12
         err = bit - self.pa
         for w, t in ((self.w0, self.t0), (self.w1, self.t1), (self.w2, self.t2)):
@@ -95,7 +99,7 @@ class _Model:
             np.maximum(w, -(1 << 17), out=w)
         self.p1[self.k1] = self.q1 + (bit - self.q1 >> 4)
         self.p2[self.k2] = self.q2 + (bit - self.q2 >> 4)
-        self.pb[self.kb] = np.where(self.other & ~hit, self.qb + ((second.astype(np.int32) << 12) - self.qb >> 4), self.qb)
+        self.pb[self.kb.take(self.asked)] = self.qb + ((second.astype(np.int32) << 12) - self.qb >> 4)
         fresh = (x << 2) + 1
         for slots, s, v, g, c in ((self.slots1, self.s1, self.v1, self.g1, self.c1), (self.slots2, self.s2, self.v2, self.g2, self.c2)):
             # Surer by one, or less sure by one, or anew; an empty slot that expects id 0 comes to the same.
@@ -105,7 +109,9 @@ class _Model:
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur and their shares of 65536, at least 1 each."""
-    seen, n = np.unique(ids, return_counts=True)
+    n = np.bincount(ids)
+    seen = np.flatnonzero(n)
+    n = n[seen]
     share = 1 + (n * (65536 - len(seen)) // n.sum())
     share[np.argmax(n)] += 65536 - share.sum()
     return seen, share
@@ -133,7 +139,7 @@ def compress(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     top = _U((1 << 56) - 1)
 
     def put(some: np.ndarray) -> None:
-        at, due = n_out[some], low[some]
+        at, due = n_out.take(some), low.take(some)
         carry = due > top
         if carry.any():
             out[at[carry] - 1] += 1
@@ -147,18 +153,20 @@ def compress(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         x = x_of[t]
         model.guess()
         hit = model.g == x
-        second = model.other & ~hit & (model.g1 == x)
         bound = (wide >> _U(12)) * model.pa.astype(np.uint64)
         low += np.where(hit, _U(0), bound)
         wide = np.where(hit, bound, wide - bound)
-        asked = model.other & ~hit
-        bound = (wide >> _U(12)) * model.pb_now.astype(np.uint64)
-        low += np.where(asked & ~second, bound, _U(0))
-        wide = np.where(asked, np.where(second, bound, wide - bound), wide)
-        plain = ~hit & ~second
+        plain = ~hit
+        asked, pb = model.ask(hit)
+        second = model.g1.take(asked) == x.take(asked)
+        part = wide.take(asked)
+        bound = (part >> _U(12)) * pb
+        low[asked] += np.where(second, _U(0), bound)
+        wide[asked] = np.where(second, bound, part - bound)
+        plain[asked[second]] = False
         unit = wide >> _U(16)
-        low += np.where(plain, start_of[x] * unit, _U(0))
-        wide = np.where(plain, share_of[x] * unit, wide)
+        low += np.where(plain, start_of.take(x) * unit, _U(0))
+        wide = np.where(plain, share_of.take(x) * unit, wide)
         model.learn(x, hit, second)
         while len(some := np.flatnonzero(wide < _U(1 << 40))):
             put(some)
@@ -205,25 +213,31 @@ def decompress(n: int, table_: bytes, blocks: bytes, words: bytes) -> np.ndarray
         hit = value < bound
         value -= np.where(hit, _U(0), bound)
         wide = np.where(hit, bound, wide - bound)
-        asked = model.other & ~hit
-        bound = (wide >> _U(12)) * model.pb_now.astype(np.uint64)
-        second = asked & (value < bound)
-        value -= np.where(asked & ~second, bound, _U(0))
-        wide = np.where(asked, np.where(second, bound, wide - bound), wide)
-        plain = ~hit & ~second
-        unit = wide >> _U(16)
-        k = index_of[np.minimum(value // unit, _U(65535)).astype(np.int64)]
-        x = np.where(hit, model.g, np.where(second, model.g1, seen32[k]))
-        value -= np.where(plain, start64[k] * unit, _U(0))
-        wide = np.where(plain, share64[k] * unit, wide)
+        plain = ~hit
+        asked, pb = model.ask(hit)
+        part, due = wide.take(asked), value.take(asked)
+        bound = (part >> _U(12)) * pb
+        second = due < bound
+        value[asked] = np.where(second, due, due - bound)
+        wide[asked] = np.where(second, bound, part - bound)
+        plain[asked[second]] = False
+        # Whoever was asked and isn't plain has order 1's guess; so a copy of the guesses, mended, is the result.
+        x = model.g.copy()
+        x[asked] = model.g1.take(asked)
+        some = np.flatnonzero(plain)
+        unit, due = wide.take(some) >> _U(16), value.take(some)
+        k = index_of.take(np.minimum(due // unit, _U(65535)).astype(np.int64))
+        x[some] = seen32.take(k)
+        value[some] = due - start64.take(k) * unit
+        wide[some] = share64.take(k) * unit
         model.learn(x, hit, second)
         out[t] = x
         while len(some := np.flatnonzero(wide < _U(1 << 40))):
             wide[some] <<= _U(16)
-            here = at[some] + 1
+            here = at.take(some) + 1
             at[some] = here
-            word = flat[np.minimum(here, last[some])]
-            value[some] = value[some] << _U(16) | rest[some] << _U(8) | word >> _U(8)
+            word = flat.take(np.minimum(here, last.take(some)))
+            value[some] = value.take(some) << _U(16) | rest.take(some) << _U(8) | word >> _U(8)
             rest[some] = word & _U(0xFF)
     ids = out.T.reshape(-1)[:n].astype(np.uint32)
     for k in range(lanes):
