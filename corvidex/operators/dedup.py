@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,22 @@ def bands(signature: Column, permutations: int = PERMUTATIONS, rows: int = ROWS)
     return F.array(*[F.xxhash64(F.lit(i), *[signature[j] for j in range(i, i + rows)]) for i in range(0, permutations, rows)])
 
 
+def lsh_parameters(threshold: float, permutations: int, steps: int = 1000) -> tuple[int, int]:
+    """(bands, rows) with the least sum of two areas: pairs below the threshold that meet in a band, and pairs above that don't.
+
+    Both weigh the same; of equal sums the one with fewer bands. Arithmetic on numbers alone, for the driver.
+    """
+    s = (np.arange(steps) + 0.5) / steps
+    far = s < threshold
+    choices = [(b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)]
+
+    def wrong(choice: tuple[int, int]) -> float:
+        apart = (1 - s ** choice[1]) ** choice[0]
+        return float(np.where(far, 1 - apart, apart).sum())
+
+    return min(choices, key=wrong)
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0

@@ -62,3 +62,17 @@ def test_query_takes_all_whole_names(spark, sf):
     names = read("supplier", "s", "s_suppkey", "s_name").union(read("customer", "c", "c_custkey", "c_name")).union(read("part", "p", "p_partkey", "p_name"))
     got = mapping(QUERIES["entity_dedup"](spark, sf))
     assert len(got) == names.count() and got == by_hand(names)
+
+
+def test_lsh_parameters():
+    for threshold, permutations in ((0.5, 128), (0.8, 128), (0.3, 20), (0.9, 32)):
+        bands, rows = dedup.lsh_parameters(threshold, permutations)
+        assert bands * rows <= permutations
+
+        def wrong(b, r, n=400):
+            meet = [1 - (1 - ((i + 0.5) / n) ** r) ** b for i in range(n)]
+            return sum(p if (i + 0.5) / n < threshold else 1 - p for i, p in enumerate(meet)) / n
+
+        least = min(wrong(b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1))
+        assert wrong(bands, rows) <= least + 1e-3
+    assert dedup.lsh_parameters(1.0, 4) == (1, 4) and dedup.lsh_parameters(0.0, 4) == (4, 1) and dedup.lsh_parameters(0.5, 1) == (1, 1)
