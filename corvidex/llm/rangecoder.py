@@ -1,6 +1,6 @@
 """Token-id files by an adaptive context-mixing range coder (operator 7).
 
-Ids are coded in blocks of ``BLOCK``; each starts from a reset model and coder, has a checksum, and can be decoded alone.
+Ids are coded in blocks of ``BLOCK``; each starts from a reset model and coder, has a checksum, and needs nothing but its group's header to be decoded.
 All blocks of a group run in lockstep: one vectorised step codes the next id of every block.
 
 Model of an id x after ids a, b:
