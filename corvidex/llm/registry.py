@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvidex.llm import aligning, bpe, chat, decontaminate, exactdedup, langid, minhash, quality, rangecoder, sharding, tokenfiles, warc
+from corvidex.llm import aligning, bpe, chat, decontaminate, exactdedup, langid, minhash, quality, rangecoder, ranked, sharding, tokenfiles, warc
 
-_MODULES = (bpe, tokenfiles, minhash, warc, langid, decontaminate, rangecoder, sharding, chat, quality, exactdedup, aligning)
+_MODULES = (bpe, tokenfiles, minhash, warc, langid, decontaminate, rangecoder, sharding, chat, quality, exactdedup, ranked, aligning)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
