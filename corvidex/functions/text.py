@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shapes of credentials, with the name that a hit is reported by.
-SECRETS = {
-    "aws_key": "AKIA[0-9A-Z]{16}",
-    "github_token": "gh[pousr]_[A-Za-z0-9]{36}",
-    "slack_token": "xox[abprs]-[A-Za-z0-9-]{10,}",
-    "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "bearer": "[Bb]earer [A-Za-z0-9._-]{20,}",
-    "assignment": "(?i:password|secret|token|api_key)[\"']? *[:=] *[\"'][^\"']{8,}[\"']",
-    "card": "[0-9]{16}",
-}
-MASK = "[redacted]"
 #: Words in a change's subject, and the risk that they name.
 RISKS = {"revert": "revert", "hotfix|urgent": "hotfix", "security|vuln": "security", "fix|bug": "fix", "migration|schema": "migration"}
 #: Suffixes that the light stemmer takes off, the longest first.
@@ -61,16 +50,6 @@ def key(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def redact(text: Column) -> Column:
-    """All shapes in one pass: at each place the first shape that fits."""
-    return F.regexp_replace(text, "|".join(f"(?:{p})" for p in SECRETS.values()), MASK)
-
-
-def secret_counts(text: Column) -> dict[str, Column]:
-    """Whether each shape occurs, 0 or 1."""
-    return {k: text.rlike(p).cast("long") for k, p in SECRETS.items()}
-
-
 def risk_tags(subject: Column) -> Column:
     low = F.lower(subject)
     return F.array_sort(F.filter(F.array(*[F.when(low.rlike(p), tag) for p, tag in RISKS.items()]), lambda x: x.isNotNull()))

@@ -1,6 +1,6 @@
 """The registered queries with their SQL twins."""
 
-from corvidex.plans import catalog, graphs, lifecycle, linking, relational, retrieval, temporal, texts  # noqa: F401
+from corvidex.plans import catalog, graphs, lifecycle, linking, masking, relational, retrieval, temporal, texts  # noqa: F401
 from corvidex.plans.base import ORACLES, QUERIES
 
 

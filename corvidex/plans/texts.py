@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corvidex.functions import text as X
 from corvidex.operators import chunks, dedup
 from corvidex.plans.base import Tables, query
-from corvidex.sources.tables import spread
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(p_name, ' ', '_') || 'Widget' || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')) AS parts FROM part""")
@@ -16,17 +15,6 @@ def identifier_split(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.trim(X.split_identifiers(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("Widget"), F.col("p_type")))).alias("parts"))
 
 
-@query("""SELECT doc_id, CAST(regexp_matches(text, 'AKIA[0-9A-Z]{16}') AS BIGINT) AS aws_key, CAST(regexp_matches(text, '[0-9]{16}') AS BIGINT) AS card,
-CAST(regexp_matches(text, '(?i:password|secret|token|api_key)["'']? *[:=] *["''][^"'']{8,}["'']') AS BIGINT) AS assignment,
-md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[redacted]', 'g'),
-'gh[pousr]_[A-Za-z0-9]{36}', '[redacted]', 'g'), 'xox[abprs]-[A-Za-z0-9-]{10,}', '[redacted]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----', '[redacted]', 'g'),
-'[Bb]earer [A-Za-z0-9._-]{20,}', '[redacted]', 'g'), '(?i:password|secret|token|api_key)["'']? *[:=] *["''][^"'']{8,}["'']', '[redacted]', 'g'), '[0-9]{16}', '[redacted]', 'g')) AS redacted_md5
-FROM documents""")
-def redact_secrets(t: Tables) -> DataFrame:
-    found = X.secret_counts(F.col("text"))
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", *[found[k].alias(k) for k in ("aws_key", "card", "assignment")], F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
-
-
 @query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
 '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) AS text_md5 FROM pages""")
 def html_strip(t: Tables) -> DataFrame:
