@@ -10,7 +10,7 @@ is one row of a written table, with its documents' different pairs as numbers in
 by pair and summed, the sums go back to the batches that have the pair (one row a batch and pair, however many documents),
 and each batch then works out its documents' results.
 
-Tokenizer A is a byte-level BPE file, encoded by ``bpe.ByteBpe``; B a sentencepiece model with byte fallback. Both encode
+Tokenizer A is a byte-level BPE file (its merges are given to tiktoken as ranks); B a sentencepiece model with byte fallback. Both encode
 strings between spaces, which a cache holds; that no merge crosses such a border is checked of the vocabulary at load, and
 whole texts are encoded where it doesn't hold.
 
@@ -24,26 +24,35 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm.bpe import CACHED, LONGEST, RARE_SPACE, ByteBpe, load_bytes, resolve
+from corvidex.llm.bpe import LONGEST, RARE_SPACE, byte_letters, resolve
 from corvidex.llm.common import materialize, table
 
 BYTES = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once; a longer text is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
+#: Different chunks whose ids a worker keeps, twice over; longer ones than ``LONGEST`` aren't kept.
+CACHED = 200_000
+#: Tokens whose digits are written at once, but for those of a longer document.
+WRITTEN = 200_000
 #: Groups of more links than this give their pairs from different ids and counts.
 LARGE = 1024
 
+#: Fixed value: how A's tokenizer cuts texts.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The white space of tokenizer A's pattern, and that of it which is no border: all but a newline and a plain space.
 _SPACE = "\\t-\\r " + RARE_SPACE[1:-1]
 _OTHER = "\\t\\x0b-\\r" + RARE_SPACE[1:-1]
@@ -51,62 +60,87 @@ _OTHER = "\\t\\x0b-\\r" + RARE_SPACE[1:-1]
 _CHUNK = re.compile(f"[{_SPACE}]*(?:[^{_SPACE}]+(?:[{_OTHER}][{_SPACE}]*)?)+|[{_SPACE}]+")
 
 
+class Bytes:
+    """A byte-level BPE file; its ids are the ranks of its merges, which is checked at load."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(byte_of[c] for c in name): i for name, i in model["vocab"].items() if all(c in byte_of for c in name)}
+        pairs = (x.split(" ") if isinstance(x, str) else x for x in model["merges"])
+        if any(model["vocab"][left + right] != 256 + i for i, (left, right) in enumerate(pairs)):
+            raise ValueError("ids aren't in the order of merges")
+        ranks = {raw: i for raw, i in ranks.items() if i < 256 + len(model["merges"])}
+        self.encode = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.lengths = np.zeros(1 + max(ranks.values()), np.int64)
+        self.lengths[list(ranks.values())] = [len(x) for x in ranks]
+
+
 class Pieces:
-    """A sentencepiece model that encodes chunks of a text: ``encode(chunk)`` as if the chunk stood within a text."""
+    """A sentencepiece model that encodes chunks of texts: ``encode(chunks)`` as if each stood within a text."""
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.names = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(names)]
+        self.lengths = np.array([len(x) for x in self.names], np.int64)
         plain = [x for i, x in enumerate(names) if not self.model.is_byte(i) and not self.model.is_control(i)]
         # Borders hold if a space stands in no piece behind another character, and a newline in none at all.
         self.chunked = not any("\n" in x or re.search("[^\u2581]\u2581", x) for x in plain)
 
-    def encode(self, chunk: str) -> list[int]:
+    def encode(self, chunks: list[str]) -> list[list[int]]:
         """The model puts a space before what it is given: take one off, or take its token off."""
-        if chunk[0] == " ":
-            return self.model.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self.model.piece_to_id("\u2581")]
-        return self.model.encode(chunk, num_threads=1)[1:]
+        spaced = [x[0] == " " for x in chunks]
+        found = self.model.encode([x[1:] if s else x for x, s in zip(chunks, spaced)], num_threads=1)
+        space = self.model.piece_to_id("\u2581")
+        return [(ids or [space]) if s else ids[1:] for ids, s in zip(found, spaced)]
 
 
 class Pair(dict):
-    """Ids of both tokenizers by chunk, as little-endian 32-bit integers; at most two generations of ``CACHED`` chunks."""
+    """Ids of both tokenizers by chunk, as little-endian 32-bit integers. Two generations of ``CACHED`` chunks are kept."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.a: ByteBpe = load_bytes(a)
-        self.b = Pieces(resolve(b))
-        self.lengths = (self.a.bytes_of, np.array([len(x) for x in self.b.names], np.int64))
+        self.a, self.b = Bytes(resolve(a)), Pieces(resolve(b))
+        self.lengths = (self.a.lengths, self.b.lengths)
         self.bad: set[str] = set()
         self.old: dict[str, tuple[bytes, bytes]] = {}
         self.digits = [_Digits(len(x)) for x in self.lengths]
 
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
-        got = self.old.pop(chunk, None) or self._encode(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= CACHED:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = got
-        return got
-
-    def _encode(self, chunk: str) -> tuple[bytes, bytes]:
-        b = self.b.encode(chunk)
-        if b"".join([self.b.names[t] for t in b]) != chunk.encode():
-            if len(self.bad) >= CACHED:
-                self.bad.clear()  # the caches go with it: what they hold may be bad
-                self.clear()
-                self.old.clear()
-            self.bad.add(chunk)
-        return self.a.encode_bytes(chunk), np.array(b, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks that aren't held; ``bad`` gets those that B doesn't give back."""
+        for chunk, a, b in zip(chunks, map(self.a.encode, chunks), self.b.encode(chunks)):
+            if b"".join([self.b.names[t] for t in b]) != chunk.encode():
+                self.bad.add(chunk)
+            self[chunk] = struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Ids of both for space + text and the length in bytes; none if the tokens don't give the bytes back."""
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        cut = _CHUNK.findall if self.b.chunked else lambda x: [x]
+        chunks = [cut(" " + x) if x else [] for x in texts]
+        new = list(set().union(*chunks).difference(self))
+        self.update({x: self.old[x] for x in new if x in self.old})
+        self.learn([x for x in new if x not in self])
+        out = [self._one(text, x) for text, x in zip(texts, chunks)]
+        for x in new:
+            if len(x) > LONGEST:
+                del self[x]
+                self.bad.discard(x)
+        if len(self.bad) > CACHED:
+            self.bad.clear()  # what the caches hold may be bad
+            self.clear()
+            self.old.clear()
+        return out
+
+    def _one(self, text: str | None, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         none = np.zeros(0, np.uint32)
         if not text:
             return none, none, 0
-        chunks = _CHUNK.findall(" " + text) if self.b.chunked else [" " + text]
-        got = [self[x] for x in chunks]
-        a, b = (np.frombuffer(b"".join([x[side] for x in got]), "<u4") for side in (0, 1))
+        got = list(map(self.__getitem__, chunks))
+        a, b = (np.frombuffer(b"".join(x), "<u4") for x in zip(*got))
         size = len(text.encode()) + 1
         if self.lengths[0][a].sum() != size or self.lengths[1][b].sum() != size:
             return none, none, 0
@@ -139,7 +173,7 @@ class Aligned:
     """Documents of one block: groups, links, digests, and the different pairs of each with their number of links."""
 
     def __init__(self, pair: Pair, texts: list[str | None]) -> None:
-        encoded = [pair.encode(x) for x in texts]
+        encoded = pair.encode(texts)
         a, b = (np.concatenate([x[side] for x in encoded]).astype(np.int64) for side in (0, 1))
         self.n = [np.array([len(x[side]) for x in encoded], np.int64) for side in (0, 1)]
         borders = np.concatenate(([0], np.cumsum([x[2] for x in encoded]))).astype(np.int64)
@@ -161,24 +195,36 @@ class Aligned:
         return sums[cuts[borders[1:]]] - sums[cuts[borders[:-1]]]
 
     def _digests(self, pair: Pair, a: np.ndarray, b: np.ndarray, group: list, count: list, cuts: np.ndarray, borders: np.ndarray) -> list[str]:
-        """SHA-256 of each document's groups in writing: A's ids of a group stand before B's."""
+        """SHA-256 of each document's groups in writing, a run of documents at a time."""
+        tokens = [np.concatenate(([0], np.cumsum(x))) for x in self.n]
+        groups = cuts[borders]
+        runs = np.unique(np.searchsorted(tokens[0] + tokens[1], np.arange(0, tokens[0][-1] + tokens[1][-1], WRITTEN)))
+        out = []
+        for i, j in zip(runs.tolist(), [*runs[1:].tolist(), len(self.n[0])]):
+            mine = [slice(x[i], x[j]) for x in tokens]
+            of = slice(groups[i], groups[j])
+            ends = np.cumsum(self.n[0][i:j] + self.n[1][i:j])
+            out += self._written(pair, (a[mine[0]], b[mine[1]]), [g[x] - groups[i] for g, x in zip(group, mine)], [x[of] for x in count], ends)
+        return out + [""] * (len(self.n[0]) - len(out))
+
+    @staticmethod
+    def _written(pair: Pair, ids: tuple[np.ndarray, np.ndarray], group: list, count: list, ends: np.ndarray) -> list[str]:
+        """A's ids of a group stand before B's, a sign behind each."""
         before = [np.concatenate(([0], np.cumsum(x))) for x in count]
-        place = np.arange(len(a)) + before[1][group[0]], np.arange(len(b)) + before[0][group[1] + 1]
-        tokens = len(a) + len(b)
-        length, start, signs = np.zeros(tokens, np.int64), np.zeros(tokens, np.int64), np.full(tokens, ord(","), np.uint8)
-        for side, ids in ((0, a), (1, b)):
-            length[place[side]], start[place[side]] = pair.digits[side].length[ids], pair.digits[side].start[ids]
+        place = np.arange(len(ids[0])) + before[1][group[0]], np.arange(len(ids[1])) + before[0][group[1] + 1]
+        n = len(ids[0]) + len(ids[1])
+        length, start, signs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, ord(","), np.uint8)
+        for side in (0, 1):
+            length[place[side]], start[place[side]] = pair.digits[side].length[ids[side]], pair.digits[side].start[ids[side]]
         signs[place[0][before[0][1:] - 1]] = ord("|")
         signs[place[1][before[1][1:] - 1]] = ord(";")
         written = np.cumsum(length)
-        out = np.zeros(written[-1] if tokens else 0, np.uint8)
-        for side, ids in ((0, a), (1, b)):
-            where = place[side]
+        out = np.zeros(written[-1] if n else 0, np.uint8)
+        for side, where in enumerate(place):
             out[_ranged(written[where] - length[where], length[where])] = pair.digits[side].letters[_ranged(start[where], length[where])]
         out[written - 1] = signs
-        raw, last = out.tobytes(), np.concatenate(([0], np.cumsum(self.n[0] + self.n[1])))
-        written = np.concatenate(([0], written))
-        return [hashlib.sha256(raw[x : y - 1]).hexdigest() if y else "" for x, y in ((written[i], written[j]) if j > i else (0, 0) for i, j in zip(last[:-1].tolist(), last[1:].tolist()))]
+        raw, written, ends = out.tobytes(), np.concatenate(([0], written)), [0, *ends.tolist()]
+        return [hashlib.sha256(raw[written[x] : written[y] - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, group: list, count: list, links: np.ndarray, cuts: np.ndarray, borders: np.ndarray) -> None:
         document = np.repeat(np.arange(len(self.n_groups)), self.n_groups)

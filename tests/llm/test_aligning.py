@@ -95,7 +95,7 @@ def test_chunks_give_what_whole_texts_give():
     draw = random.Random(5)
     for _ in range(1500):
         text = "".join(draw.choices(["a", "B", "the", " ", "  ", "\n", "\r", "\t", ";", "}", "1", "é", "　", "\xa0", "日", "'s", "_"], k=draw.randint(1, 25)))
-        a, b, _ = pair.encode(text)
+        [(a, b, _)] = pair.encode([text])
         assert (a.tolist(), b.tolist()) == tokens(text)
 
 
