@@ -44,6 +44,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def plainly(docs: DataFrame, work: Callable[[DataFrame], DataFrame], used: tuple[str, ...] = DOCUMENT_COLUMNS) -> DataFrame:
+    """``work(docs)``, which returns the columns of its input, with every column but ``used`` under a name of no meaning
+    meanwhile: names with dots, or that differ from others only in case, don't matter to ``work``."""
+    names = docs.columns
+    return work(docs.toDF(*[c if c in used else f"other{k}" for k, c in enumerate(names)])).toDF(*names)
+
+
+def without(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` without the columns that Spark can't tell from ``names``, whatever the case of their letters."""
+    kept = [(k, c) for k, c in enumerate(docs.columns) if c.lower() not in {x.lower() for x in names}]
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).select(*[f"c{k}" for k, _ in kept]).toDF(*[c for _, c in kept])
+
+
 def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size in bytes; of files it is their size on disk."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

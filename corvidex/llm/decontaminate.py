@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvidex.llm.common import fresh, table
+from corvidex.llm.common import fresh, plainly, table, without
 
 WINDOW = 13
 #: Words of benchmark items in one part: about 60 MB of tables in each worker.
@@ -145,7 +145,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, only_clean: bool = False) -> Dat
 
     A chain of ``mapInArrow`` passes, one for each part of the benchmark; nothing is shuffled.
     """
-    docs = docs.select(*[c for c in docs.columns if only_clean or c not in RESULTS])
+    if only_clean:
+        return plainly(docs, lambda x: _marked(x, benchmark, True))
+    return _marked(without(docs, RESULTS), benchmark, False)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, only_clean: bool) -> DataFrame:
     given = docs.schema
     at_spans, at_items = fresh(docs, "spans"), fresh(docs, "items")
     held = T.StructType([*given, T.StructField(at_spans, T.ArrayType(T.LongType())), T.StructField(at_items, T.ArrayType(T.StringType()))])

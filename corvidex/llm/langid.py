@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvidex.llm.common import table
+from corvidex.llm.common import plainly, table, without
 
 ROWS_PER_LANGUAGE = 2_000
 GRAMS_PER_LANGUAGE = 40_000
@@ -204,7 +204,12 @@ def _learn(picked: DataFrame, share: dict[str, int]) -> Model:
 def identify(docs: DataFrame, model: Model, keep: bool = False, least: float = 0.0, least_known: float = 0.0) -> DataFrame:
     """``docs`` with lang_pred and score; or, with ``keep``, the rows with a language, a score of at least ``least`` and a
     share of known n-grams of at least ``least_known``."""
-    docs = docs.select(*[c for c in docs.columns if keep or c not in ("lang_pred", "score")])
+    if keep:
+        return plainly(docs, lambda x: _read(x, model, True, least, least_known))
+    return _read(without(docs, ("lang_pred", "score")), model, False, least, least_known)
+
+
+def _read(docs: DataFrame, model: Model, keep: bool, least: float, least_known: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = docs.schema if keep else T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

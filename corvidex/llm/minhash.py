@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.llm.common import fresh, materialize, table
+from corvidex.llm.common import fresh, materialize, plainly, table
 
 SHINGLE = 5
 ROWS, BANDS = 6, 32
@@ -308,8 +308,8 @@ def _exhausted(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     known = open_.select("node", "root").distinct().join(nodes.select("node", "n"), "node")
     each = materialize(elements(texts_of(known.select("node"), texts)), "elements")
     rare = materialize(each.join(each.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "h"), "rare")
-    of_node = rare.groupBy("node").agg(F.count("*").alias("r"), F.count_if(F.col("df") > 1).alias("r2"), F.collect_list(F.when(F.col("df") > 1, F.hash("h"))).alias("rare"))
-    nothing = F.array().cast("array<int>")
+    of_node = rare.groupBy("node").agg(F.count("*").alias("r"), F.count_if(F.col("df") > 1).alias("r2"), F.collect_list(F.when(F.col("df") > 1, F.col("h"))).alias("rare"))
+    nothing = F.array().cast("array<bigint>")
     held = known.join(of_node, "node", "left").select("node", "root", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("r2", F.lit(0)).alias("r2"), F.coalesce("rare", nothing).alias("rare"))
     held = materialize(held, "bounds")
     common = DENOMINATOR * F.col("c") >= NUMERATOR * F.col("n")
@@ -383,7 +383,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class of near-duplicates, with the columns of ``docs``; rows with null text all stay."""
+    """One row of each class of near-duplicates, with the columns of ``docs``; rows with null text all stay. Of repeated
+    rows whose other columns differ the one stays whose columns, as JSON text, are the least."""
+    return plainly(docs, _keepers)
+
+
+def _keepers(docs: DataFrame) -> DataFrame:
     node, count = fresh(docs, "node"), fresh(docs, "count")
     _, every = classes(docs)
     keepers = materialize(every.select("class_id", "keeper"), "keepers")
@@ -391,7 +396,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     same = rows.groupBy("doc_id", node).agg(F.count("*").alias(count)).where((F.col(count) > 1) & F.col(node).isNotNull())
     kept = rows.alias("r").join(keepers.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("k.class_id")) & (F.col(f"r.{node}") == F.col("k.keeper")), "left_semi")
     if not same.isEmpty():  # repeated rows of a keeper
-        kept = kept.dropDuplicates(["doc_id", node])
+        whole = F.struct(*docs.columns)
+        kept = kept.groupBy("doc_id", node).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*", node)
     return kept.drop(node).union(docs.where("text IS NULL"))
 
 

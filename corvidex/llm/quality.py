@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.llm.common import fresh, materialize, table
+from corvidex.llm.common import fresh, materialize, plainly, table
 
 #: Words of a window that is looked for twice in a text.
 WINDOW = 8
@@ -217,9 +217,13 @@ def judged(df: DataFrame, model: Model, name: str = "quality") -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the method keeps, with their columns as they were."""
-    name = fresh(docs, "quality")
-    held = materialize(with_signals(docs, name), "quality")
-    return judged(held, fit(held, name), name).where(F.col(name)["kept"]).select(*docs.columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        name = fresh(rows, "quality")
+        held = materialize(with_signals(rows, name), "quality")
+        return judged(held, fit(held, name), name).where(F.col(name)["kept"]).select(*rows.columns)
+
+    return plainly(docs, kept)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import duckdb
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from corvidex.llm import decontaminate, langid, minhash
 from corvidex.llm.common import DOCUMENT_COLUMNS, materialize
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_minhash import brute_classes
@@ -54,3 +56,22 @@ def test_nulls_ties_repeats_long_texts_clashing_columns_and_empty_tables(spark,
             assert len(ids) == len(set(ids))
         docs = out
     assert docs.count() >= 5
+
+
+def test_columns_with_dots_and_names_of_the_operators(spark, docs_of, sf):
+    (text,) = duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' WHERE lang = 'en' AND n_chars > 1500 ORDER BY doc_id LIMIT 1").fetchone()
+    names = ["a.b", "N_HIT", "Score", "Text_", "lang_PRED", "Contaminated", "x`y", "node"]
+    docs = docs_of([(1, text), (2, text), (2, text)]).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, sf), "test")
+        if name != "bpe":
+            assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}
+    assert {"n_hit", "contaminated"} <= set(decontaminate.mark(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit = 0").columns)
+    assert langid.identify(docs, langid.learn(spark.read.parquet(f"{sf}/documents.parquet"))).where("score >= 0").count() == 3
+
+
+def test_which_of_repeated_rows_stays(spark, docs_of):
+    docs = docs_of([(1, "a b c d e f g")] * 3).withColumn("source", F.element_at(F.array(F.lit("z"), F.lit("a"), F.lit("k")), (F.monotonically_increasing_id() % 3 + 1).cast("int")))
+    docs = docs.coalesce(1)
+    want = min(r["source"] for r in docs.collect())
+    assert [r["source"] for r in minhash.keep_one(docs).collect()] == [want]
