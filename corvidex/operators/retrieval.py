@@ -249,21 +249,20 @@ def trigram_postings(rows: DataFrame, key: str, label: str) -> DataFrame:
     return rows.select(key, F.explode(F.array_distinct(grams)).alias("gram")).where(F.length("gram") == 3)
 
 
-def by_trigrams(postings: DataFrame, rows: DataFrame, key: str, label: str, needles: Sequence[str], common: float = 0.1) -> DataFrame:
-    """key of the rows that may hold one of ``needles``: those whose postings have all its trigrams. Where a needle is shorter
-    than a trigram, or its rarest one is in more than ``common`` of all rows, all rows are looked at instead."""
-    lows = [n.lower() for n in needles]
-    wanted = sorted(set().union(*[grams_of(n) for n in lows]))
-    counts = {r["gram"]: r["n"] for r in postings.where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.count("*").alias("n")).collect()} if wanted else {}
-    most = common * rows.count()
-    if any(len(n) < 3 or min(counts.get(g, 0) for g in grams_of(n)) > most for n in lows):
-        low = F.lower(F.col(label))
-        return rows.where(reduce(lambda a, n: a | low.contains(n), lows, F.lit(False))).select(key)
-    out = None
-    for n in lows:
+def by_trigrams(postings: DataFrame, rows: DataFrame, key: str, label: str, needles: Sequence[str]) -> DataFrame:
+    """key of the rows whose label holds one of ``needles``, whatever the case of its letters.
+
+    Candidates of a needle are the keys in the postings of all its trigrams, counted from the rarest ones; they are compared
+    with the needle itself, as trigrams may lie apart. Needles without a trigram are looked for in all rows."""
+    low = F.lower(F.col(label))
+    holds = lambda some: reduce(lambda a, n: a | low.contains(n), some, F.lit(False))
+    lows = sorted({n.lower() for n in needles})
+    short, long = [n for n in lows if len(n) < 3], [n for n in lows if len(n) >= 3]
+    out = rows.where(holds(short)).select(key)
+    for n in long:
         own = sorted(grams_of(n))
         hit = postings.where(F.col("gram").isin(own)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(own)).select(key)
-        out = hit if out is None else out.union(hit)
+        out = out.union(rows.join(hit, key, "left_semi").where(low.contains(n)).select(key))
     return out.distinct()
 
 

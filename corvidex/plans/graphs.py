@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.operators import betweenness as B
+from corvidex.operators import communities as C
 from corvidex.operators import graph as G
 from corvidex.plans.base import Tables, query
 
@@ -302,3 +304,29 @@ def open_questions(t: Tables) -> DataFrame:
     edges = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("src"), (1_000_000 + F.col("l_suppkey")).alias("dst"), F.when(F.col("l_returnflag") == "R", "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
     groups = t.supplier.select((1_000_000 + F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("community")).union(t.part.select("p_partkey", 100 + F.col("p_size")))
     return G.open_questions(t.part.select(F.col("p_partkey").alias("id")), edges, groups)
+
+
+@query()
+def communities(t: Tables) -> DataFrame:
+    """All part-supplier edges by their counts; the tests hold modularity against a plain single-machine run."""
+    return C.communities(weighted_supply(t.lineitem), "n")
+
+
+@query("SELECT count(DISTINCT id) AS nodes, count(DISTINCT id) AS placed, 0 AS disconnected FROM (SELECT l_suppkey AS id FROM lineitem UNION ALL SELECT 1000000 + l_partkey FROM lineitem)")
+def communities_sound(t: Tables) -> DataFrame:
+    """Every node in one community, and every community connected, counted from the communities themselves."""
+    edges = weighted_supply(t.lineitem)
+    found = C.written(C.communities(edges, "n"), "found")
+    ends = found.groupBy("community").agg(F.count("*").alias("n"))
+    parts = G.components(C._within(C.both_ways(edges), found)).join(found, "id").groupBy("community").agg(F.count_distinct("component").alias("parts"))
+    broken = ends.join(parts, "community", "left").agg(F.count_if((F.col("n") > 1) & (F.coalesce("parts", F.lit(0)) != 1)).alias("disconnected"))
+    return found.agg(F.count_distinct("id").alias("nodes"), F.count("*").alias("placed")).crossJoin(F.broadcast(broken))
+
+
+@query(f"""WITH RECURSIVE {_LOOP}, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+w AS (SELECT src AS s, dst AS t, [src, dst] AS p FROM u UNION ALL SELECT w.s, u.dst, list_append(p, u.dst) FROM w JOIN u ON u.src = w.t WHERE len(p) < 6 AND NOT list_contains(p, u.dst)),
+best AS (SELECT s, t, p FROM (SELECT *, min(len(p)) OVER (PARTITION BY s, t) AS m FROM w) WHERE len(p) = m), n AS (SELECT s, t, p, count(*) OVER (PARTITION BY s, t) AS n FROM best),
+x AS (SELECT unnest(list_transform(range(1, len(p)), lambda i: [least(p[i], p[i + 1]), greatest(p[i], p[i + 1])])) AS edge, n FROM n), k AS (SELECT count(DISTINCT src) AS k FROM u)
+SELECT edge[1] AS a, edge[2] AS b, round(sum(1.0 / n) / any_value(k * (k - 1)), 6) AS betweenness FROM x, k GROUP BY 1, 2""")
+def edge_betweenness(t: Tables) -> DataFrame:
+    return B.edge_betweenness(loops(t)).select("a", "b", F.round("betweenness", 6).alias("betweenness"))

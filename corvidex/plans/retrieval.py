@@ -192,13 +192,13 @@ def keyword_window(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_name), 'bolt')")
 def trigram_postings(t: Tables) -> DataFrame:
-    """Words that more than a tenth of all parts hold: all labels are looked at."""
     return R.by_trigrams(R.trigram_postings(t.part, "p_partkey", "p_name"), t.part, "p_partkey", "p_name", ["widget", "bolt"])
 
 
-@query("SELECT c_custkey FROM customer WHERE contains(c_name, '00123')")
+@query("SELECT c_custkey FROM customer WHERE contains(c_name, '00123') OR contains(c_name, '0101') OR contains(c_name, '77')")
 def trigram_rare(t: Tables) -> DataFrame:
-    return R.by_trigrams(R.trigram_postings(t.customer, "c_custkey", "c_name"), t.customer, "c_custkey", "c_name", ["#000000123", "00123", "#00000123"]).join(t.customer.where(F.col("c_name").contains("00123")).select("c_custkey"), "c_custkey", "left_semi")
+    """Needles whose trigrams others have too, and one shorter than a trigram."""
+    return R.by_trigrams(R.trigram_postings(t.customer, "c_custkey", "c_name"), t.customer, "c_custkey", "c_name", ["00123", "0101", "77"])
 
 
 @query("""WITH s AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings) SELECT id, round(list_sum(list_transform(v, lambda x: abs(x))), 5) AS size FROM (SELECT id, CASE WHEN label = 3 THEN list_transform(e, lambda x: -x / sqrt(list_inner_product(e, e))) ELSE list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) END AS v FROM s WHERE label NOT IN (5, 7))""")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvidex.functions.text import recency
 from corvidex.operators import temporal as T
 from corvidex.plans.base import Tables, query
-from corvidex.streaming import jobs
+from corvidex.sources.mirror import Mirror, Source
+from corvidex.streaming import jobs, timers
 
 
 def _facts(t: Tables) -> DataFrame:
@@ -82,3 +83,46 @@ def stateful_merge(t: Tables) -> DataFrame:
 def two_watermarks(t: Tables) -> DataFrame:
     """What is new is told by arrival (the key), so back-dated rows count; the event-time mark only rises."""
     return t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("valid_mark"), F.max("o_orderkey").alias("ingest_mark"), F.count_if(F.col("o_orderkey") >= 100).alias("late_included"))
+
+
+@query("""WITH x AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms, event_type FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_type) AS k FROM
+(SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_type) <= 21600000 THEN 0 ELSE 1 END AS new FROM x)),
+f AS (SELECT user_id, k, event_type, min(ms) AS ms FROM b GROUP BY ALL), p AS (SELECT user_id, k, string_agg(event_type, ',' ORDER BY ms, event_type) AS paths FROM f GROUP BY ALL)
+SELECT user_id, min(ms) AS first, max(ms) AS last, count(*) AS n, paths FROM b JOIN p USING (user_id, k) GROUP BY user_id, k, paths HAVING max(ms) + 21600000 < (SELECT max((epoch_us(ts) // 1000)) - 600000 FROM events)""")
+def change_bursts(t: Tables) -> DataFrame:
+    """A streaming query: what each user did without a pause of six hours, once that pause is over."""
+    stream = timers.bursts(jobs.source(t.spark, f"{t.sf_dir}/events.parquet"), "user_id", "event_type", "ts", 21_600)
+    done = timers.finished(t.spark, stream, "bursts")
+    return done.select(F.col("group").alias("user_id"), "first", "last", "n", F.array_join("paths", ",").alias("paths"))
+
+
+@query("""SELECT user_id, event_id, position, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+CASE WHEN event_type = 'error' THEN 'ValueError: error' ELSE coalesce(CAST(last_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS VARCHAR), 'first') END AS result
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS position FROM events) WHERE (epoch_us(ts) // 1000) < (SELECT max((epoch_us(ts) // 1000)) - 600000 FROM events)""")
+def group_queues(t: Tables) -> DataFrame:
+    """A streaming query: each user's events in turn; a step says which one worked before, errors fail."""
+
+    def step(memory: dict, payload: str) -> tuple[dict, str]:
+        name, kind = payload.split(":")
+        if kind == "error":
+            raise ValueError(kind)
+        return {"last": name}, memory.get("last", "first")
+
+    rows = jobs.source(t.spark, f"{t.sf_dir}/events.parquet").withColumn("payload", F.concat_ws(":", F.col("event_id").cast("string"), "event_type"))
+    stream = timers.in_turn(rows, "user_id", "ts", "event_id", "payload", step)
+    done = timers.finished(t.spark, stream, "queues")
+    return done.select(F.col("group").alias("user_id"), F.col("key").alias("event_id"), "position", "status", "result")
+
+
+@query("""WITH l AS (SELECT 'event:' || event_id AS id, 'event' AS source, event_type AS kind, 'user:' || user_id AS target FROM events UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderstatus, 'user:' || o_custkey FROM orders)
+SELECT source, kind, count(*) AS entities, count(DISTINCT target) AS targets FROM l GROUP BY 1, 2""")
+def read_model(t: Tables) -> DataFrame:
+    """Two sources mirrored in two runs, an older part first; the read tables joined as a reader sees them."""
+    events = t.events.select("event_id", "ts", F.col("event_type").alias("kind"), F.concat(F.lit("user:"), "user_id").alias("target"), F.concat(F.lit("event:"), "event_id").alias("id"))
+    orders = t.orders.select("o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("kind"), F.concat(F.lit("user:"), "o_custkey").alias("target"), F.concat(F.lit("order:"), "o_orderkey").alias("id"))
+    derive = lambda rows: {"entities": rows.select("id", "kind"), "links": rows.select(F.col("id").alias("src"), F.col("target").alias("dst"))}
+    mirror = Mirror(t.spark, jobs.folder(t.spark, "mirror"), {"entities": ["id"], "links": ["src", "dst"]})
+    for old, rest in (("ts < '2024-01-10'", "o_orderdate < '1995-01-01'"), ("true", "true")):
+        mirror.sync({"event": Source(events.where(old), "ts", "event_id", derive), "order": Source(orders.where(rest), "o_orderdate", "o_orderkey", derive)})
+    both = mirror.table("entities").join(mirror.table("links").withColumnRenamed("src", "id").drop("source"), "id")
+    return both.groupBy("source", "kind").agg(F.count("*").alias("entities"), F.count_distinct("dst").alias("targets"))
