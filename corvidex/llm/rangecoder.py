@@ -44,6 +44,8 @@ END = 2
 BLOCK = 1024
 #: Bytes of texts of a group: what a worker holds at once. A byte gives an id at most, with the end id of each document.
 GROUP = 1 << 24
+#: Groups of a file, which is read as one cell: so it stays below 2 GB whatever the number of documents.
+GROUPS = 64
 _SLOTS = 512
 _MAGIC = b"CVXR2"
 _HEAD = struct.Struct("<5sIIQIII")
@@ -273,7 +275,7 @@ def unpack(content: memoryview) -> Iterator[tuple[list[int | None], np.ndarray,
         at += 1  # the writer's newline
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, group: int = GROUP) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, group: int = GROUP, groups: int = GROUPS) -> None:
     """Encode whole texts, close each with ``end``, and write them in ascending doc_id order."""
     # The hash in place of the text: keys are sampled to the driver.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -299,7 +301,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         if texts:
             yield flush()
 
-    dealt.mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value")).write.option("compression", "none").text(path)
+    dealt.mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", groups).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -324,8 +326,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "documents"), path)
     held = materialize(read(spark, path), "read")
     # One row for each group of a file.
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    before = Window.orderBy(number, "group").rowsBetween(Window.unboundedPreceding, -1)
+    number = [F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)")]
+    before = Window.orderBy(*number, "group").rowsBetween(Window.unboundedPreceding, -1)
     base = held.groupBy("file", "group").agg(F.sum("n_tokens").alias("n")).select("file", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return held.join(base, ["file", "group"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -1,7 +1,7 @@
 """Flat token files and counting in them by a separator scan (operator 2).
 
 A token file is nothing but ids as little-endian 16-bit integers, each document closed by the end-of-document id: no
-header, no index. Documents lie in it in the order of the table's rows, one file for each partition.
+header, no index. Documents lie in them in the order of the table's rows, the files of a partition one after the other.
 
 Counting takes a file in blocks of ``BLOCK`` bytes that know nothing of documents. In each block one vectorised search
 finds the separators; documents that lie within it are done. A block hands on only two numbers, the ids after its last
@@ -11,8 +11,8 @@ The scan runs over two numbers a block, partitioned by file.
 
 Special strings in texts are encoded as ordinary text, so the separator occurs only as one. Null and empty texts are
 documents without ids. Repeated rows are documents each, in the order of their rows. A very long text crosses blocks like
-any other. Other columns are ignored. An empty table gives no document. A file is read as one cell of Spark's binaryFile
-source, so that a partition's ids must stay below 2 GB.
+any other. Other columns are ignored. An empty table gives no document. A partition is written as files of ``FILE`` documents
+at most, since a file is read as one cell of Spark's binaryFile source: below 2 GB for documents of 64,000 ids in the mean.
 """
 
 from __future__ import annotations
@@ -30,17 +30,19 @@ from corvidex.llm.common import by_batch, shared_path, table
 #: The end-of-document id of the vocabulary.
 END = 49407
 BLOCK = 1 << 22
+#: Documents in a file.
+FILE = 16_384
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
-    """Write the token files of whole texts. The text writer gives bytes as they are, and the separator as its line end."""
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, file: int = FILE) -> None:
+    """Write the token files of whole texts, ``file`` documents each at most. The text writer gives bytes as they are, and the separator as its line end."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(vocabulary, False)
         return pa.RecordBatch.from_pydict({"raw": pa.array([bpe.encode(x).astype("<u2").tobytes() for x in batch.column("text").to_pylist()], pa.binary())})
 
     raw = by_batch(docs.select("text"), run, "raw binary").select(F.col("raw").cast("string").alias("value"))
-    raw.write.option("lineSep", end.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    raw.write.option("lineSep", end.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", file).text(path)
 
 
 def count(spark: SparkSession, path: str, end: int = END, block: int = BLOCK) -> DataFrame:
@@ -71,19 +73,24 @@ def count(spark: SparkSession, path: str, end: int = END, block: int = BLOCK) ->
     return docs.select("file", (F.col("doc_base") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("base") + F.col("at.ends") - start).alias("n_tokens"))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the documents as token files, counts in these alone, then names the documents by file and place.
+def named(spark: SparkSession, docs: DataFrame, path: str, file: int = FILE) -> DataFrame:
+    """The counts of the files of ``docs`` at ``path``, with doc_id.
 
-    Part k of the files has the rows of partition k of the table in their order, and so has monotonically_increasing_id
-    over the same scan: number k in its upper bits, the place in the lower 33.
+    The files of part k have the rows of partition k of the table in their order, ``file`` each, and so has
+    monotonically_increasing_id over the same scan: number k in its upper bits, the place in the lower 33.
     """
+    counted = count(spark, path).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long")).withColumn("place", F.regexp_extract("file", r"-c(\d+)", 1).cast("long") * file + F.col("doc_no"))
+    at = F.monotonically_increasing_id()
+    ids = docs.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place"))
+    return ids.join(counted, ["part", "place"]).select("doc_id", "file", "doc_no", "start", "n_tokens")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the documents as token files, counts in these alone, then names the documents by file and place."""
     docs = table(spark, sf_dir, "documents")
     path = shared_path(spark, "tokens")
     write(docs, path)
-    counted = count(spark, path).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
-    at = F.monotonically_increasing_id()
-    named = docs.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("doc_no"))
-    return named.join(counted, ["part", "doc_no"]).select("doc_id", "file", "doc_no", "start", "n_tokens")
+    return named(spark, docs, path)
 
 
 QUERIES = {"op2_token_counts": op2_token_counts}

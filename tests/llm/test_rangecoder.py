@@ -100,3 +100,10 @@ def test_groups_of_a_file(spark, docs_of, tmp_path):
         groups[size] = len({(x["file"], x["group"]) for x in rows})
     assert got[200] == got[1 << 24] and len(got[200]) == 61
     assert groups[200] > groups[1 << 24]
+
+
+def test_several_files_a_partition(spark, sf, monkeypatch):
+    want = {tuple(x) for x in r.op7_token_files(spark, sf).collect()}
+    write = r.write
+    monkeypatch.setattr(r, "write", lambda docs, path: write(docs, path, group=3000, groups=2))
+    assert {tuple(x) for x in r.op7_token_files(spark, sf).collect()} == want

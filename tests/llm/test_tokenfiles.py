@@ -48,3 +48,14 @@ def test_long_texts_and_clashing_columns(spark, docs_of, tmp_path):
     tokenfiles.write(docs, str(tmp_path / "t"))
     rows = sorted(tokenfiles.count(spark, str(tmp_path / "t"), block=1000).collect(), key=lambda r: r["doc_no"])
     assert [r["n_tokens"] for r in rows] == [60_000, 1, 0]
+
+
+def test_several_files_a_partition(spark, docs_of, tmp_path):
+    texts = ["a " * (i % 5) for i in range(50)]
+    path = str(tmp_path / "docs")
+    docs_of(texts).coalesce(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    tokenfiles.write(docs, str(tmp_path / "t"), file=4)
+    rows = tokenfiles.named(spark, docs, str(tmp_path / "t"), 4).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: i % 5 for i in range(50)} and len(rows) == 50
+    assert len({r["file"] for r in rows}) >= 13
