@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words in a change's subject, and the risk that they name.
-RISKS = {"revert": "revert", "hotfix|urgent": "hotfix", "security|vuln": "security", "fix|bug": "fix", "migration|schema": "migration"}
-#: Suffixes that the light stemmer takes off, the longest first.
+#: Words of a change that name a risk; of its subject, those that say that it only looks like one, and what
+#: then doesn't count.
+RISK = r"(?i)\b(revert(?:ed|s)?|hot-?fix|fix(?:es|ed)?|bug|regression|incident|outage|rollback|roll back|security|cve-\d+|vuln|crash|data loss|race condition|deadlock|leak)\b"
+COSMETIC = r"(?i)\b(?:typos?|spelling|docs?|documentation|readme|changelog|lint(?:ing)?|format(?:ting)?|style|whitespace|comments?|wording|grammar)\b"
+NO_RISK = ("fix", "fixes", "fixed", "bug")
+#: Suffixes that the light stemmer takes off, the longest first.
 SUFFIXES = ("ingly", "edly", "ing", "ers", "ies", "ied", "ed", "es", "er", "ly", "s")
 #: Words that say nothing about what a statement is about.
 FUNCTION_WORDS = """
@@ -50,9 +53,14 @@ def key(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def risk_tags(subject: Column) -> Column:
-    low = F.lower(subject)
-    return F.array_sort(F.filter(F.array(*[F.when(low.rlike(p), tag) for p, tag in RISKS.items()]), lambda x: x.isNotNull()))
+def risk_tags(subject: Column, body: Column | None = None) -> Column:
+    """Sorted names of the risks that a change's subject and body speak of, as whole words; of a fix to wording, comments or
+    style the fix doesn't count. Null counts as empty."""
+    subject = F.coalesce(subject, F.lit(""))
+    text = F.concat(subject, F.lit("\n"), F.coalesce(body, F.lit("")) if body is not None else F.lit(""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(RISK), F.lit(1)), lambda x: F.replace(F.split(F.lower(x), "-")[0], F.lit(" "), F.lit("_")))
+    plain = F.when(subject.rlike(COSMETIC), F.filter(found, lambda x: ~x.isin(*NO_RISK))).otherwise(found)
+    return F.array_sort(F.array_distinct(F.concat(plain, F.when(subject.rlike(r"(?i)\brevert"), F.array(F.lit("revert"))).otherwise(F.array().cast("array<string>")))))
 
 
 def trailers(body: Column, name: str) -> Column:

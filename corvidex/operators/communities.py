@@ -1,7 +1,7 @@
 """Communities of a weighted graph by modularity: parallel local moves, a refinement, and a quotient graph a level.
 
 In a round every node looks at the communities of its neighbours and goes where modularity grows most, ties to the least
-community. Only half of the nodes have their turn in a round, by a hash of their id and the round, and a node alone joins
+community. Only half of the nodes have their turn in a round, the other half in the next, by a hash of their id, and a node alone joins
 another one alone only if that one's community is the lesser, so that neighbours don't swap for ever; a state that is worse
 than the best one so far isn't kept. Then each community is cut into parts by the same moves, from single nodes on and along
 its own edges only; the parts are the nodes of the next level, which starts from the communities. It ends when a level
@@ -22,8 +22,11 @@ from corvidex.sources.tables import written
 #: Communities above this share of all nodes, and of this size at least, are cut again; so are those of this
 #: size whose cohesion is below this bound.
 SHARE, LEAST_CUT, LEAST_COHESION, LEAST_SPARSE = 0.25, 10, 0.05, 50
-#: Growth of modularity that counts as such.
-GROWTH = 1e-5
+#: Growth of modularity that counts as such: at least this, and this share of what a level has gained; rounds without it
+#: that end a level's moves, so that each node had a turn.
+GROWTH, OF_GAINED, STALE = 1e-4, 0.05, 2
+#: Rounds of a refinement: each node has one turn.
+REFINING = 2
 
 
 def both_ways(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -42,10 +45,10 @@ def _nodes(both: DataFrame, group: DataFrame | None = None) -> DataFrame:
     return k.join(k.groupBy("g").agg(F.sum("k").alias("m2")), "g").select("id", "k", "m2", F.col("id").alias("community"))
 
 
-def _moved(both: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
-    """``nodes`` with the communities of the best state that local moves reach."""
+def _moved(both: DataFrame, nodes: DataFrame, resolution: float, rounds: int | None = None) -> DataFrame:
+    """``nodes`` with the communities of the best state that local moves reach, or of that after ``rounds``."""
     edges = both.where("src <> dst")
-    now, best, best_q, stale, turn = nodes, nodes, None, 0, 0
+    now, best, best_q, first_q, stale, turn = nodes, nodes, None, None, 0, 0
     while True:
         total = now.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("size"))
         near = edges.join(now.select(F.col("id").alias("dst"), "community"), "dst").select(F.col("src").alias("id"), "community", "w")
@@ -57,18 +60,23 @@ def _moved(both: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
         held = lambda c: F.max(F.when(own, F.col(c))).alias(f"own_{c}")
         choice = seen.groupBy("id", "k", "m2", "own").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community", "size")).alias("to"), held("gain"), held("w"), held("size"), held("total"))
         better = (-F.col("to.loss") > F.col("own_gain") + 1e-9) & ~((F.col("own_size") == 1) & (F.col("to.size") == 1) & (F.col("to.community") > F.col("own")))
-        mine = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        mine = F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn % 2, F.lit(2)) == 0
         # Each node has its share of what the state before its move is worth.
         share = (F.col("own_w") - resolution * F.col("k") * F.col("own_total") / F.col("m2")) / F.col("m2")
         step = written(choice.select("id", "k", "m2", "own", F.when(better & mine, F.col("to.community")).otherwise(F.col("own")).alias("community"), better.alias("better"), F.round(share, 15).cast("decimal(38,15)").alias("share")), "moves")
-        q, left = step.agg(F.sum("share"), F.count_if("better")).first()
-        if best_q is None or q > best_q + type(q)(str(GROWTH)):
-            best_q, best, stale = q, step.select("id", "k", "m2", F.col("own").alias("community")), 0
-        else:
-            stale += 1
-        if not left or stale == 3:
-            return best if left else step.select("id", "k", "m2", F.col("own").alias("community"))
+        if turn + 1 == rounds:
+            return step.select("id", "k", "m2", "community")
         now, turn = step.select("id", "k", "m2", "community"), turn + 1
+        if rounds is not None:
+            continue
+        q, left = step.agg(F.sum("share"), F.count_if("better")).first()
+        q = float(q)
+        first_q = q if first_q is None else first_q
+        stale = 0 if best_q is None or q > best_q + max(GROWTH, OF_GAINED * (best_q - first_q)) else stale + 1
+        if best_q is None or q > best_q:
+            best_q, best = q, step.select("id", "k", "m2", F.col("own").alias("community"))
+        if not left or stale == STALE:
+            return best
 
 
 def _within(both: DataFrame, groups: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def _leiden(both: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
     while True:
         found = written(_moved(both, nodes, resolution), "communities")
         n = found.count()
-        parts = written(_moved(_within(both, found), found.withColumn("community", F.col("id")), resolution).select("id", F.col("community").alias("part")), "parts")
+        parts = written(_moved(_within(both, found), found.withColumn("community", F.col("id")), resolution, REFINING).select("id", F.col("community").alias("part")), "parts")
         known = found.join(parts, "id")
         if parts.select("part").distinct().count() == n:
             return place.join(found.select(F.col("id").alias("at"), "community"), "at").select("id", "community")
@@ -104,6 +112,13 @@ def connected(both: DataFrame, groups: DataFrame) -> DataFrame:
     return written(named, "connected")
 
 
+def partition(both: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """id, community of the nodes of ``both_ways`` edges: the partition of greatest modularity that is found, connected."""
+    if both.isEmpty():
+        return both.select(F.col("src").alias("id"), F.col("src").alias("community"))
+    return connected(both, _leiden(both, written(_nodes(both), "start"), resolution))
+
+
 def _cut(both: DataFrame, groups: DataFrame, large: DataFrame, resolution: float) -> DataFrame:
     """``groups`` with the communities of ``large`` cut by a run of their own each, all at once."""
     chosen = written(groups.join(large.select("community"), "community", "left_semi").select("id", "community"), "to-cut")
@@ -138,8 +153,7 @@ def communities(edges: DataFrame, weight: str | None = None, nodes: DataFrame |
         used = written(both.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst", "w"), "used")
     if not count:
         return every.select("id", F.col("id").alias("community"))
-    groups = _leiden(used, written(_nodes(used), "start"), resolution) if not used.isEmpty() else every.limit(0).select("id", F.col("id").alias("community"))
-    groups = connected(used, groups)
+    groups = partition(used, resolution)
     if left_out is not None:
         groups = _rejoined(both, groups, left_out)
     alone = every.join(groups.select("id"), "id", "left_anti").select("id", F.col("id").alias("community"))

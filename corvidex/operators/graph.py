@@ -5,6 +5,8 @@ Loops cut their lineage with checkpoints in spark.checkpoint.dir; the driver onl
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,14 @@ def hubs(edges: DataFrame, top: int) -> DataFrame:
     return degree(edges).orderBy(F.desc("degree"), "id").limit(top)
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """id, depth of first visit, within ``depth`` steps. ``seeds``: id. ``reverse``: against the edges."""
+def frontier(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
+    """id, depth of first visit, within ``depth`` steps, or of all that can be reached. ``seeds``: id. ``reverse``: against
+    the edges. The edges are written once, so that a step reads two narrow columns and not what they come from."""
     step = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("to"))
+    step = step if depth == 1 else written(step.distinct(), "steps")
     now = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = now
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         new = now.join(step, "id").select(F.col("to").alias("id")).join(seen.select("id"), "id", "left_anti").distinct().withColumn("depth", F.lit(d))
         now = written(new, "frontier")  # the new nodes alone; what was seen is the union of what was written before
         if now.isEmpty():
@@ -41,8 +45,9 @@ def frontier(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = Fal
     return seen
 
 
-def shortest_path(edges: DataFrame, a, b, most: int = 8) -> DataFrame:
-    """step, id of one shortest path between two ids, edges in either direction; empty if there is none within ``most``.
+def shortest_path(edges: DataFrame, a, b, most: int | None = None) -> DataFrame:
+    """step, id of one shortest path between two ids, edges in either direction; empty if there is none (within ``most``
+    steps, if given).
 
     Each visited node keeps its least predecessor; the path is then walked back, a join a step.
     """
@@ -50,7 +55,7 @@ def shortest_path(edges: DataFrame, a, b, most: int = 8) -> DataFrame:
     spark = edges.sparkSession
     seen = spark.createDataFrame([(a, 0)], f"id {edges.schema['src'].dataType.simpleString()}, depth int").withColumn("prev", F.col("id"))
     now = seen
-    for d in range(1, most + 1):
+    for d in itertools.count(1) if most is None else range(1, most + 1):
         new = now.join(both, now["id"] == both["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("prev")).join(seen.select("id"), "id", "left_anti")
         now = checkpointed(new.select("id", F.lit(d).alias("depth"), "prev"))
         if now.isEmpty():
@@ -60,7 +65,7 @@ def shortest_path(edges: DataFrame, a, b, most: int = 8) -> DataFrame:
             break
     at = seen.where(F.col("id") == F.lit(b))
     path = at
-    for _ in range(most):
+    while True:
         at = checkpointed(at.where("depth > 0").select(F.col("prev").alias("id")).join(seen, "id").select("id", "depth", "prev"))
         if at.isEmpty():
             break
@@ -113,18 +118,19 @@ def label_propagation(edges: DataFrame, rounds: int | None = None, weight: str |
     return labels
 
 
-def layers(edges: DataFrame, most: int = 64) -> DataFrame:
-    """id, layer of a DAG: 0 without successors, else one above the highest successor."""
+def layers(edges: DataFrame) -> DataFrame:
+    """id, layer of a DAG: 0 without successors, else one above the highest successor. A chain has no more layers than the
+    graph has nodes; more rounds than that are a cycle, which is an error."""
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     now, held = checkpointed(ids.withColumn("layer", F.lit(0))), None
-    for _ in range(most):
+    for _ in range(ids.count() + 1):
         above = edges.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("up"))
         now = checkpointed(now.join(above, "id", "left").select("id", F.coalesce("up", F.lit(0)).alias("layer")))
         total = now.agg(F.sum("layer")).first()
         if total == held:
             return now
         held = total
-    raise ValueError("more layers than allowed, or a cycle")
+    raise ValueError("a cycle")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -223,8 +229,8 @@ def surprise(edges: DataFrame, groups: DataFrame) -> DataFrame:
 STRUCTURE = ("contains", "method", "defines")
 
 
-def members(edges: DataFrame, seeds: DataFrame, most: int = 32) -> DataFrame:
-    """id, depth of everything inside ``seeds``: a walk along the structural relations, ``most`` levels deep."""
+def members(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """id, depth of everything inside ``seeds``: a walk along the structural relations, to their end or ``most`` levels deep."""
     return frontier(edges.where(F.col("rel").isin(*STRUCTURE)), seeds, most)
 
 
@@ -282,7 +288,7 @@ def condensed_layers(edges: DataFrame) -> DataFrame:
     between = edges.join(c("src"), "src").join(c("dst"), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
     if between.isEmpty():
         return parts.select("id", F.lit(0).alias("layer"))
-    placed = layers(between, most=10_000)
+    placed = layers(between)
     return parts.join(placed.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 

@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 #: Seconds that a claimed message may take.
 LEASE = 600
 MOST_RETRIES = 3
-#: What a prompt begins with, or holds, that tells an agent that it was wrong.
-CORRECTION_START = "^(no|nope|wrong|stop|wait|undo|revert|actually|don't|do not)\\b"
-CORRECTION_ANYWHERE = "\\b(that's not|that is not|not what i|you broke|still broken|doesn't work|does not work|should have|why did you)\\b"
-CORRECTION_MOST = 400
+#: What a prompt begins with, or holds, that tells an agent that it was wrong; what begins like that and
+#: doesn't; and the longest prompt that is one.
+CORRECTION_START = (
+    r"(?i)^\W*(?:no\b|nope\b|wrong\b|stop\b|don't\b|do not\b|dont\b|never\b|that's (?:not|wrong)|that is (?:not|wrong)|that isn't"
+    r"|not (?:that|what|like)|revert\b|undo\b|why did you|you (?:shouldn't|should not|broke|forgot|missed|misunderstood))"
+)
+CORRECTION_ANYWHERE = (
+    r"(?i)\bnot what i (?:asked|wanted|meant|said)\b|\bthat'?s wrong\b|\bi (?:told|asked) you (?:to|not)\b"
+    r"|\byou (?:broke|deleted|removed|changed) (?:the |my |it)\b|\bwrong (?:file|approach|function)\b"
+)
+NO_CORRECTION = (
+    r"(?i)^\W*(?:no (?:problem|worries|rush|need|hurry|thanks)|nope,? (?:that'?s|all) (?:fine|good|ok)|don'?t forget|do not forget"
+    r"|don'?t hesitate|don'?t worry|never mind|stop by|no,? (?:that'?s|it'?s) (?:fine|good|great|perfect|ok|okay)|stop (?:and|to) (?:think|explain))"
+)
+CORRECTION_MOST = 600
 
 
 def claim(messages: DataFrame, now: float, limit: int = 1) -> DataFrame:
@@ -83,8 +94,8 @@ def watermarks(episodes: DataFrame, group: str, created: str, valid: str, state:
 
 def is_correction(text: Column, number: Column) -> Column:
     """Whether a prompt (not the first, numbers from 1; not a long one) tells that the work before was wrong."""
-    flat = F.lower(F.trim(F.regexp_replace(text, "\\s+", " ")))
-    return F.coalesce((number >= 2) & (F.length(flat).between(1, CORRECTION_MOST)) & (flat.rlike(CORRECTION_START) | flat.rlike(CORRECTION_ANYWHERE)), F.lit(False))
+    flat = F.trim(F.regexp_replace(text, "\\s+", " "))
+    return F.coalesce((number >= 2) & (F.length(flat).between(1, CORRECTION_MOST)) & ~flat.rlike(NO_CORRECTION) & (flat.rlike(CORRECTION_START) | flat.rlike(CORRECTION_ANYWHERE)), F.lit(False))
 
 
 def evidence(calls: DataFrame, turn: list[str], most: int = 20) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.operators import catalog as C
+from corvidex.operators.sequences import error_fixes as error_fixes_of
 from corvidex.plans.base import Tables, query
 
 
@@ -147,6 +148,17 @@ def retry_loops(t: Tables) -> DataFrame:
     return C.retry_loops(rows, ["user_id", "day"], "signature", "error")
 
 
+@query("""WITH c AS (SELECT user_id, event_id AS seq, event_type AS signature, props AS target, length(props) > 8 AS failed, event_type = 'purchase' AND length(props) <= 8 AS edited FROM events),
+r AS (SELECT *, coalesce(sum(CAST(edited AS INT)) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+n AS (SELECT *, first_value(CASE WHEN NOT failed THEN {'seq': seq, 'target': target, 'before': before} END IGNORE NULLS) OVER (PARTITION BY user_id, signature ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fix FROM r)
+SELECT user_id, seq, signature, fix.seq AS fixed_by, CAST(fix.before - before AS BIGINT) AS edits, fix.target <> target AS changed FROM n WHERE failed AND fix IS NOT NULL AND (fix.before > before OR fix.target <> target)""")
+def error_fixes(t: Tables) -> DataFrame:
+    """A user's whole history is one turn."""
+    short = F.length("props") <= 8
+    calls = t.events.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("signature"), F.col("props").alias("target"), (~short).alias("failed"), short.alias("worked"), (F.col("event_type") == "purchase").alias("edit"))
+    return error_fixes_of(calls, ["user_id"])
+
+
 @query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, 'order' AS kind, o_orderkey AS id FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE), 'line', l_orderkey * 10 + l_linenumber FROM lineitem)
 SELECT day, count(*) FILTER (kind = 'order') AS orders, count(*) FILTER (kind = 'line') AS lines, min(id) AS first_id FROM a GROUP BY 1""")
 def timeline_by_day(t: Tables) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from corvidex.operators import betweenness as B
 from corvidex.operators import communities as C
+from corvidex.operators import flows as W
 from corvidex.operators import graph as G
 from corvidex.plans.base import Tables, query
 
 _EDGES = """e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
-_SUPPLY = "e AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS src, CAST(1000000 + l_partkey AS BIGINT) AS dst FROM lineitem WHERE l_quantity >= 48)"
 
 
 def places(t: Tables) -> DataFrame:
@@ -58,14 +58,15 @@ def connected_components(t: Tables) -> DataFrame:
     return G.components(supply(t))
 
 
-@query(f"""WITH {_SUPPLY}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l0 AS (SELECT DISTINCT src AS id, src AS label FROM u),
-v1 AS (SELECT src AS id, label, count(*) AS n FROM u JOIN l0 ON dst = id GROUP BY 1, 2),
-l1 AS (SELECT l0.id, CASE WHEN m.n > 1 THEN m.label ELSE greatest(m.label, l0.label) END AS label FROM l0 JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label DESC) AS k FROM v1) m ON l0.id = m.id AND k = 1),
-v2 AS (SELECT src AS id, label, count(*) AS n FROM u JOIN l1 ON dst = id GROUP BY 1, 2)
-SELECT l1.id, CASE WHEN m.n > 1 THEN m.label ELSE greatest(m.label, l1.label) END AS label FROM l1 JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label DESC) AS k FROM v2) m ON l1.id = m.id AND k = 1""")
+_ROUND = """v{k} AS (SELECT src AS id, label, sum(n) AS n FROM u JOIN l{j} ON dst = id GROUP BY 1, 2),
+l{k} AS (SELECT l{j}.id, CASE WHEN m.n > 1 THEN m.label ELSE greatest(m.label, l{j}.label) END AS label FROM l{j} JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label DESC) AS k FROM v{k}) m ON l{j}.id = m.id AND k = 1)"""
+
+
+@query(f"""WITH e AS (SELECT CAST(l_suppkey AS BIGINT) AS src, CAST(1000000 + l_partkey AS BIGINT) AS dst, count(*) AS n FROM lineitem GROUP BY 1, 2), u AS (SELECT src, dst, n FROM e UNION ALL SELECT dst, src, n FROM e),
+l0 AS (SELECT DISTINCT src AS id, src AS label FROM u), {', '.join(_ROUND.format(k=k, j=k - 1) for k in (1, 2, 3))} SELECT id, label FROM l3""")
 def label_propagation(t: Tables) -> DataFrame:
-    """Two rounds over large orders only, as its SQL twin says; ``label_propagation_whole`` is the whole job."""
-    return G.label_propagation(weighted_supply(t.lineitem.where("l_quantity >= 48")).select("src", "dst"), 2)
+    """Three rounds over all part-supplier edges, each voting by its count; ``label_propagation_whole`` goes on to the end."""
+    return G.label_propagation(weighted_supply(t.lineitem), 3, weight="n")
 
 
 @query()
@@ -195,7 +196,8 @@ def focus_neighbourhood(t: Tables) -> DataFrame:
     return G.focus(places(t), "n5", 40)
 
 
-@query(f"""WITH {_TREE} SELECT src, dst FROM t WHERE rel = 'uses' AND (src = 'c1' OR dst = 'c1' OR dst IN (SELECT dst FROM t z WHERE z.rel = 'uses' AND z.src = 'c1'))""")
+@query(f"""WITH {_TREE}, u AS (SELECT src, dst FROM t WHERE rel = 'uses'), z AS (SELECT DISTINCT dst FROM u WHERE src = 'c1')
+SELECT src, dst FROM u WHERE src = 'c1' UNION SELECT src, dst FROM u WHERE dst = 'c1' UNION SELECT u.src, u.dst FROM u JOIN z ON u.dst = z.dst""")
 def bfs_facts(t: Tables) -> DataFrame:
     uses = named_tree(t).where("rel = 'uses'").select("src", "dst")
     return G.facts_near(uses, seeds_of(t, "c1"), 2)
@@ -295,13 +297,13 @@ def surprise_full(t: Tables) -> DataFrame:
     return G.surprise_full(edges, parts.union(sellers)).groupBy("relation", "score").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, l_returnflag FROM lineitem WHERE l_quantity > 40), g AS (SELECT 1000000 + s_suppkey AS dst, s_nationkey AS c FROM supplier UNION ALL SELECT p_partkey, 100 + p_size FROM part),
+@query("""WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, l_returnflag FROM lineitem), g AS (SELECT 1000000 + s_suppkey AS dst, s_nationkey AS c FROM supplier UNION ALL SELECT p_partkey, 100 + p_size FROM part),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)
 (SELECT 'ambiguous' AS kind, src AS id FROM e WHERE l_returnflag = 'R' GROUP BY src ORDER BY count(*) DESC, src LIMIT 5) UNION ALL
 (SELECT 'bridge', src FROM u JOIN g USING (dst) GROUP BY src HAVING count(DISTINCT c) > 1 ORDER BY count(DISTINCT c) DESC, src LIMIT 5) UNION ALL
 (SELECT 'isolated', p_partkey FROM part LEFT JOIN d ON id = p_partkey WHERE coalesce(d, 0) <= 1 ORDER BY p_partkey LIMIT 5)""")
 def open_questions(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("src"), (1_000_000 + F.col("l_suppkey")).alias("dst"), F.when(F.col("l_returnflag") == "R", "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), (1_000_000 + F.col("l_suppkey")).alias("dst"), F.when(F.col("l_returnflag") == "R", "AMBIGUOUS").otherwise("EXTRACTED").alias("confidence"))
     groups = t.supplier.select((1_000_000 + F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("community")).union(t.part.select("p_partkey", 100 + F.col("p_size")))
     return G.open_questions(t.part.select(F.col("p_partkey").alias("id")), edges, groups)
 
@@ -330,3 +332,19 @@ x AS (SELECT unnest(list_transform(range(1, len(p)), lambda i: [least(p[i], p[i
 SELECT edge[1] AS a, edge[2] AS b, round(sum(1.0 / n) / any_value(k * (k - 1)), 6) AS betweenness FROM x, k GROUP BY 1, 2""")
 def edge_betweenness(t: Tables) -> DataFrame:
     return B.edge_betweenness(loops(t)).select("a", "b", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query("""WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'holds' AS rule, n_nationkey AS rank FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'within', -1 FROM nation
+UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'sells', s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'buys', c_custkey FROM customer),
+o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank, dst, rule) AS k FROM e), w AS (SELECT src AS entry, 0 AS level, [k] AS key, src, dst, rule FROM o WHERE src[1] = 'r'),
+x AS (SELECT w.entry, 1 AS level, list_append(w.key, o.k) AS key, o.src, o.dst, o.rule FROM w JOIN o ON o.src = w.dst)
+SELECT entry, row_number() OVER (PARTITION BY entry ORDER BY level, key) AS position, level, src, dst, rule FROM (SELECT * FROM w UNION ALL SELECT * FROM x)""")
+def flow_steps(t: Tables) -> DataFrame:
+    """From every region through its nations, which also point back, to suppliers and customers."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    edge = lambda rows, src, dst, rule, rank: rows.select(src.alias("src"), dst.alias("dst"), F.lit(rule).alias("rule"), rank.cast("long").alias("rank"))
+    edges = edge(t.nation, name("r", "n_regionkey"), name("n", "n_nationkey"), "holds", F.col("n_nationkey")).union(edge(t.nation, name("n", "n_nationkey"), name("r", "n_regionkey"), "within", F.lit(-1)))
+    edges = edges.union(edge(t.supplier, name("n", "s_nationkey"), name("s", "s_suppkey"), "sells", F.col("s_suppkey"))).union(edge(t.customer, name("n", "c_nationkey"), name("c", "c_custkey"), "buys", F.col("c_custkey")))
+    entries = t.region.select(name("r", "r_regionkey").alias("entry"), name("r", "r_regionkey").alias("node"))
+    through = t.nation.select(name("n", "n_nationkey").alias("id")).union(t.region.select(name("r", "r_regionkey")))
+    return W.flows(entries, edges, through)

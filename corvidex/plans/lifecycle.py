@@ -189,10 +189,17 @@ def chain_watermarks(t: Tables) -> DataFrame:
     return Q.watermarks(rows, "k", "c", "v", state)
 
 
-@query(f"""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x FROM conversations WHERE role = 'user')
-SELECT conv_id, count(*) AS prompts, count(*) FILTER (number >= 2 AND length(x) BETWEEN 1 AND 400 AND (regexp_matches(x, $${Q.CORRECTION_START}$$) OR regexp_matches(x, $${Q.CORRECTION_ANYWHERE}$$))) AS corrections FROM p GROUP BY 1""")
+_PROMPT = """CASE event_id % 9 WHEN 0 THEN 'No, that is not it: ' WHEN 1 THEN 'no problem, go on with ' WHEN 2 THEN 'You broke the build with ' WHEN 3 THEN 'Do not forget ' WHEN 4 THEN 'please read '
+WHEN 5 THEN 'Stop to explain ' WHEN 6 THEN 'Undo ' WHEN 7 THEN 'this is the wrong file, ' ELSE 'nothing ' END || props"""
+
+
+@query(f"""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id), {_PROMPT} FROM events)
+SELECT conv_id, count(*) AS prompts, count(*) FILTER (number >= 2 AND length(x) BETWEEN 1 AND 600 AND NOT regexp_matches(x, $${Q.NO_CORRECTION}$$) AND (regexp_matches(x, $${Q.CORRECTION_START}$$) OR regexp_matches(x, $${Q.CORRECTION_ANYWHERE}$$))) AS corrections FROM p GROUP BY 1""")
 def corrections(t: Tables) -> DataFrame:
-    prompts = t.conversations.where("role = 'user'").withColumn("number", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    """The users' turns, and events as short prompts; neither has a prompt to correct in its first."""
+    said = t.conversations.where("role = 'user'").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("number"), "text")
+    done = t.events.select((-1 - F.col("user_id")).alias("conv_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("number"), F.expr(_PROMPT).alias("text"))
+    prompts = said.unionByName(done)
     return prompts.groupBy("conv_id").agg(F.count("*").alias("prompts"), F.count_if(Q.is_correction(F.col("text"), F.col("number"))).alias("corrections"))
 
 

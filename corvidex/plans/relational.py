@@ -164,7 +164,7 @@ def pack_budget_prefix(t: Tables) -> DataFrame:
 @query()
 def pack_budget_breadth(t: Tables) -> DataFrame:
     """Top two of each section first, then by score, skipping what doesn't fit."""
-    items = t.documents.select(F.lit("pack").alias("pack"), F.col("source").alias("section"), "doc_id", F.least(F.col("n_chars"), F.lit(9999)).cast("double").alias("score"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_chars") / 4)).alias("cost"))
+    items = t.documents.select(F.lit("pack").alias("pack"), F.col("source").alias("section"), "doc_id", F.col("n_chars").cast("double").alias("score"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_chars") / 4)).alias("cost"))
     return relational.greedy_pack(items, "pack", "section", "score", "cost", "doc_id", 20_000)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.functions import text as X
-from corvidex.operators import fts
+from corvidex.operators import facts, fts
 from corvidex.operators import retrieval as R
 from corvidex.operators import vectors as V
 from corvidex.plans.base import Tables, query
@@ -47,19 +49,10 @@ def vector_topk_filtered(t: Tables) -> DataFrame:
     return R.top(rows, "score", "vec_id", 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT label AS query_id, embedding::DOUBLE[] AS query FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k = 1),
-s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], query) AS score FROM embeddings CROSS JOIN q)
-SELECT query_id, vec_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) WHERE k <= 5""")
-def vector_batch_topk(t: Tables) -> DataFrame:
-    """The least vector of each label against all, as its SQL twin says; ``vector_batch_topk_whole`` is the whole job."""
-    q = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
-    return R.batch_top(t.embeddings, q, "vec_id", "embedding", 5).select("query_id", "vec_id", F.col("k").cast("long").alias("k"))
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], query) AS score FROM embeddings CROSS JOIN q)
 SELECT query_id, vec_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) WHERE k <= 5""")
-def vector_batch_topk_whole(t: Tables) -> DataFrame:
+def vector_batch_topk(t: Tables) -> DataFrame:
     """Every vector whose id is divisible by 50 against all."""
     q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return R.batch_top(t.embeddings, q, "vec_id", "embedding", 5).select("query_id", "vec_id", F.col("k").cast("long").alias("k"))
@@ -210,3 +203,36 @@ def vector_store(t: Tables) -> DataFrame:
     journal = V.add(journal, rows.where("label = 3").withColumn("vector", F.transform("vector", lambda x: -x)), 4)
     journal = V.delete(journal, rows.where("label IN (5, 7)"), 5)
     return V.state(journal).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.abs(x)), 5).alias("size"))
+
+
+_FACTS = """CAST(doc_id AS BIGINT) AS id, source AS src, lang AS dst, lang AS name, DATE '2020-01-01' + CAST(doc_id % 1000 AS INT) AS valid_at, CASE WHEN doc_id % 3 = 0 THEN DATE '2020-01-01' + CAST(doc_id % 1000 + 100 AS INT) END AS invalid_at"""
+
+
+def _fused(where: str) -> str:
+    return f"""{_BM25}, k AS (SELECT * FROM (SELECT {_FACTS} FROM documents) WHERE {where}), x AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM b WHERE doc_id IN (SELECT id FROM k) QUALIFY r < 20),
+y AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS r FROM embeddings WHERE vec_id IN (SELECT id FROM k) QUALIFY r < 20)"""
+
+
+def facts_of(t: Tables) -> tuple[DataFrame, list[DataFrame]]:
+    """Documents as facts, with a lexical and a vector search over all of them."""
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int"))
+    held = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("lang").alias("dst"), F.col("lang").alias("name"), day(F.col("doc_id") % 1000).alias("valid_at"), F.when(F.col("doc_id") % 3 == 0, day(F.col("doc_id") % 1000 + 100)).alias("invalid_at"))
+    lexical = R.bm25(t.documents, "doc_id", "text", QUESTION).withColumnRenamed("doc_id", "id")
+    return held, [lexical, R.similar(t.embeddings.withColumnRenamed("vec_id", "id"), "id", "embedding", VECTOR)]
+
+
+@query(f"""{_fused("valid_at <= DATE '2021-01-01' AND (invalid_at IS NULL OR invalid_at > DATE '2021-01-01')")}
+SELECT id, src, round(score, 6) AS score FROM (SELECT id, sum(1.0 / (r + 1)) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1) JOIN k USING (id) ORDER BY score DESC, id LIMIT 10""")
+def facts_as_of(t: Tables) -> DataFrame:
+    """The best facts that were true on a day."""
+    held, lists = facts_of(t)
+    return facts.search_facts(held, lists, facts.validity(at=datetime.date(2021, 1, 1)), 10).select("id", "src", F.round("score", 6).alias("score"))
+
+
+@query(f"""{_fused("invalid_at IS NULL AND name IN ('en', 'de') AND valid_at >= DATE '2020-02-01'")}, z AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM k WHERE src = 'src2' OR dst = 'src2' OR dst IN (SELECT dst FROM k WHERE src = 'src2') QUALIFY r < 20)
+SELECT id, src, CASE WHEN src = 'src2' THEN 10.0 ELSE 0.0 END AS score FROM (SELECT id, sum(1.0 / (r + 1)) AS fused FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z) GROUP BY 1) JOIN k USING (id) ORDER BY score DESC, fused DESC, id LIMIT 10""")
+def fact_search(t: Tables) -> DataFrame:
+    """Facts of two kinds that still hold, from a day on, ranked around a source."""
+    held, lists = facts_of(t)
+    where = facts.validity(names=["en", "de"], valid_after=datetime.date(2020, 2, 1), current_only=True)
+    return facts.search_facts(held, lists, where, 10, centre="src2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvidex.functions import text as X
 from corvidex.operators import chunks, dedup
 from corvidex.plans.base import Tables, query
+from corvidex.sources.tables import spread
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(p_name, ' ', '_') || 'Widget' || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')) AS parts FROM part""")
@@ -31,11 +32,16 @@ def text_density(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(X.density(F.col("text")), 6).alias("density"))
 
 
-@query("""SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN event_type = 'error' THEN 'fix' END, CASE WHEN event_type = 'signup' THEN 'migration' END], lambda x: x IS NOT NULL)), ',') AS tags FROM events""")
+_SUBJECT = """CASE event_id % 8 WHEN 0 THEN 'Fix typo in docs' WHEN 1 THEN 'add a prefix to ' || event_type WHEN 2 THEN 'Hot-fix for a crash in ' || event_type WHEN 3 THEN 'Reverts the rollback of ' || event_type
+WHEN 4 THEN 'CVE-2024-1 and a race condition' WHEN 5 THEN 'fixes bug ' || event_id WHEN 6 THEN 'style: fixed data loss' ELSE 'schema of ' || event_type END"""
+_BODY = "CASE WHEN event_type = 'error' THEN 'a leak, then an outage' WHEN event_id % 3 = 0 THEN 'fix of a fix; roll back' END"
+
+
+@query(f"""WITH c AS (SELECT event_id, {_SUBJECT} AS s, coalesce({_BODY}, '') AS b FROM events), f AS (SELECT event_id, s, list_transform(regexp_extract_all(s || chr(10) || b, '{X.RISK}', 1), lambda x: replace(split_part(lower(x), '-', 1), ' ', '_')) AS f FROM c)
+SELECT event_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(f, lambda x: NOT (regexp_matches(s, '{X.COSMETIC}') AND x IN ('fix', 'fixes', 'fixed', 'bug'))), CASE WHEN regexp_matches(s, '(?i)\\brevert') THEN ['revert'] ELSE [] END))), ',') AS tags FROM f""")
 def risk_tags(t: Tables) -> DataFrame:
-    kind = F.col("event_type")
-    subject = F.when(kind == "error", "Fix a bug in checkout").when(kind == "signup", "schema change").otherwise(kind)
-    return t.events.select("event_id", F.array_join(X.risk_tags(subject), ",").alias("tags"))
+    """Events told as changes with a subject and a body."""
+    return t.events.select("event_id", F.array_join(X.risk_tags(F.expr(_SUBJECT), F.expr(_BODY)), ",").alias("tags"))
 
 
 @query("""SELECT doc_id, k AS chunk, substr(text, k * 2000 + 1, 2200) AS body FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 200) / 2000.0) AS BIGINT)))) AS k FROM documents)""")
@@ -97,15 +103,16 @@ _FUNCTION = ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS)
 _LIST = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
 
 
-@query(f"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark) SELECT {_STEM} AS stem, count(*) AS n FROM w GROUP BY 1""")
+@query(f"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents) SELECT {_STEM} AS stem, count(*) AS n FROM w GROUP BY 1""")
 def stem_counts(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.explode(F.transform(X.words(F.col("text")), X.stem)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    words = t.documents.select(F.explode(X.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy(X.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_FUNCTION}))) AS w FROM benchmark)
-SELECT item_id, count(*) AS n, count(DISTINCT {_STEM}) AS stems FROM w GROUP BY 1""")
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_FUNCTION}))) AS w FROM documents)
+SELECT doc_id, count(*) AS n, count(DISTINCT {_STEM}) AS stems FROM w GROUP BY 1""")
 def lemma_counts(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", F.explode(X.lemmas(F.col("text"))).alias("w")).groupBy("item_id").agg(F.count("*").alias("n"), F.count_distinct("w").alias("stems"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(X.lemmas(F.col("text"))).alias("w")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("w").alias("stems"))
 
 
 @query("""SELECT doc_id, md5(strip_accents(translate(text, 'łŁßøØæÆœŒđĐħıĸŋŊŧŦþÞð', ''))) AS plain_md5 FROM documents""")

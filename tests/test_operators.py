@@ -87,7 +87,7 @@ def test_layers_refuse_a_cycle(spark):
 
     assert {r["id"]: r["layer"] for r in graph.layers(edges(spark, [(1, 2), (2, 3), (1, 3)])).collect()} == {1: 2, 2: 1, 3: 0}
     with pytest.raises(ValueError):
-        graph.layers(edges(spark, [(1, 2), (2, 1)]), 4)
+        graph.layers(edges(spark, [(1, 2), (2, 1)]))
 
 
 def test_contradictions_do_not_depend_on_arrival(spark):

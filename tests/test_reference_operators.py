@@ -101,7 +101,11 @@ def test_forget_and_queue(spark):
 
 
 def test_corrections(spark):
-    said = [("No, that's wrong", 2, True), ("no wonder it works", 1, False), ("Please add a page", 3, False), ("it is still broken", 2, True), ("x" * 500 + " still broken", 2, False), (None, 2, False), ("", 2, False)]
+    said = [
+        ("No, that's wrong", 2, True), ("no wonder it works", 1, False), ("Please add a page", 3, False), ("it is still broken", 2, False), ("You  broke the build", 2, True), ("x" * 590 + " wrong file", 2, False),
+        ("x " * 250 + " wrong file", 2, True), ("No problem, go on", 2, False), ("no, that's fine", 2, False), ("Don't forget the docs", 5, False), ("don't do that", 5, True), ("nobody knows", 2, False), ("  -- Undo it", 2, True),
+        ("that isn\u2019t it", 2, False), ("Stop by later", 2, False), ("I told you not to", 9, True), (None, 2, False), ("", 2, False), ("no", None, False),
+    ]
     rows = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(said)], "i int, t string, n int")
     assert [r["x"] for r in rows.orderBy("i").select(work.is_correction(F.col("t"), F.col("n")).alias("x")).collect()] == [w for *_, w in said]
 
@@ -290,3 +294,12 @@ def test_scalars(spark):
     best = one(spark, X.densest_window(F.lit("a" * 50 + "key key" + "b" * 50), ["key"], 10))
     assert best["hits"] == 2 and best["at"] <= 50
     assert one(spark, X.lemmas(F.lit("theParsers are running"))) == ["pars", "runn"]
+
+
+def test_risk_tags(spark):
+    said = [
+        ("fix typo in docs", None, []), ("add a prefix", None, []), ("Fix login", "", ["fix"]), ("Hot-fix: crash", "CVE-2024-12", ["crash", "cve", "hot"]), ("style: fixed leak", "bug", ["leak"]), ("docs", "fixes a bug", []),
+        ("Reverts the change", None, ["revert", "reverts"]), ("reverting", None, ["revert"]), ("roll back", "Data Loss", ["data_loss", "roll_back"]), (None, "deadlock", ["deadlock"]), (None, None, []), ("hotfix HOTFIX", None, ["hotfix"]),
+    ]
+    rows = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(said)], "i int, s string, b string")
+    assert [r["x"] for r in rows.orderBy("i").select(text.risk_tags(F.col("s"), F.col("b")).alias("x")).collect()] == [w for *_, w in said]

@@ -19,5 +19,5 @@ def test_blocks_of_queries_give_all_of_them(spark):
 
 def test_every_fiftieth_vector_is_a_query(spark, sf):
     ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
-    got = QUERIES["vector_batch_topk_whole"](spark, sf).collect()
+    got = QUERIES["vector_batch_topk"](spark, sf).collect()
     assert {r["query_id"] for r in got} == ids and len(got) == 5 * len(ids)
