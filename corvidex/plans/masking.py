@@ -87,13 +87,13 @@ def redact_nested(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT 'documents' AS place, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'conversations', text FROM conversations),
-h AS (SELECT place, list_filter(['key-value', 'aws-secret-key-bare', 'url-credentials'], lambda s: CASE s
+h AS (SELECT place, list_filter(['key-value', 'aws-secret-key-bare', 'url-credentials'], lambda s: text IS NOT NULL AND CASE s
 WHEN 'key-value' THEN len(list_filter(regexp_extract_all(text, '{_PAIR}'), lambda m: {_secret(f"regexp_extract(m, '{_GROUPS}', 3)", f"(NOT regexp_matches(regexp_extract(m, '{_GROUPS}', 1), '\\s') OR regexp_extract(m, '{_GROUPS}', 2) <> '')")})) > 0
 WHEN 'aws-secret-key-bare' THEN len(list_filter(regexp_extract_all(text, '{_BARE}', 1), lambda s: regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[0-9]'))) > 0
 ELSE regexp_matches(text, '{_SHAPES[1][0]}') END) AS hits FROM t)
-SELECT place, shape, count(*) AS n FROM (SELECT place, unnest(hits) AS shape FROM h) GROUP BY 1, 2""")
+SELECT place, shape, count(*) AS n FROM (SELECT place, unnest(list_append(hits, 'scanned')) AS shape FROM h) GROUP BY 1, 2""")
 def redaction_scan(t: Tables) -> DataFrame:
-    """Rows of each table by shape; the values stay where they are. Of the shapes only these three occur in the tables."""
+    """Rows of each table, and of those with each shape; values stay where they are. Of the shapes only these three occur."""
     texts = [rows.select(F.lit(place).alias("place"), F.col(c).alias("text")) for place, rows, c in (("documents", t.documents, "text"), ("pages", t.pages, "html"), ("conversations", t.conversations, "text"))]
-    found = texts[0].union(texts[1]).union(texts[2]).select("place", F.explode(S.hits(F.col("text"))).alias("shape"))
+    found = texts[0].union(texts[1]).union(texts[2]).select("place", F.explode(F.array_append(F.coalesce(S.hits(F.col("text")), F.array().cast("array<string>")), F.lit("scanned"))).alias("shape"))
     return found.groupBy("place", "shape").agg(F.count("*").alias("n"))

@@ -302,4 +302,4 @@ def test_risk_tags(spark):
         ("Reverts the change", None, ["revert", "reverts"]), ("reverting", None, ["revert"]), ("roll back", "Data Loss", ["data_loss", "roll_back"]), (None, "deadlock", ["deadlock"]), (None, None, []), ("hotfix HOTFIX", None, ["hotfix"]),
     ]
     rows = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(said)], "i int, s string, b string")
-    assert [r["x"] for r in rows.orderBy("i").select(text.risk_tags(F.col("s"), F.col("b")).alias("x")).collect()] == [w for *_, w in said]
+    assert [r["x"] for r in rows.orderBy("i").select(X.risk_tags(F.col("s"), F.col("b")).alias("x")).collect()] == [w for *_, w in said]
