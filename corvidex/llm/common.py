@@ -44,11 +44,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def plainly(docs: DataFrame, work: Callable[[DataFrame], DataFrame], used: tuple[str, ...] = DOCUMENT_COLUMNS) -> DataFrame:
-    """``work(docs)``, which returns the columns of its input, with every column but ``used`` under a name of no meaning
-    meanwhile: names with dots, or that differ from others only in case, don't matter to ``work``."""
+def plainly(docs: DataFrame, work: Callable[[DataFrame], DataFrame], more: tuple[str, ...] = ()) -> DataFrame:
+    """``work(docs)``, which returns the columns of its input and ``more``, with every column but those of documents under a
+    name of no meaning meanwhile: names with dots, or that differ from others only in case, don't matter to ``work``."""
     names = docs.columns
-    return work(docs.toDF(*[c if c in used else f"other{k}" for k, c in enumerate(names)])).toDF(*names)
+    return work(docs.toDF(*[c if c in DOCUMENT_COLUMNS else f"other{k}" for k, c in enumerate(names)])).toDF(*names, *more)
 
 
 def without(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -147,7 +147,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, only_clean: bool = False) -> Dat
     """
     if only_clean:
         return plainly(docs, lambda x: _marked(x, benchmark, True))
-    return _marked(without(docs, RESULTS), benchmark, False)
+    return plainly(without(docs, RESULTS), lambda x: _marked(x, benchmark, False), RESULTS)
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, only_clean: bool) -> DataFrame:

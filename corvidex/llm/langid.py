@@ -201,12 +201,16 @@ def _learn(picked: DataFrame, share: dict[str, int]) -> Model:
     return Model.build(languages, [(x, gram[names == x]) for x in languages], max(sorted(share), key=lambda x: share[x]))
 
 
+#: What ``identify`` adds.
+RESULTS = ("lang_pred", "score")
+
+
 def identify(docs: DataFrame, model: Model, keep: bool = False, least: float = 0.0, least_known: float = 0.0) -> DataFrame:
     """``docs`` with lang_pred and score; or, with ``keep``, the rows with a language, a score of at least ``least`` and a
     share of known n-grams of at least ``least_known``."""
     if keep:
         return plainly(docs, lambda x: _read(x, model, True, least, least_known))
-    return _read(without(docs, ("lang_pred", "score")), model, False, least, least_known)
+    return plainly(without(docs, RESULTS), lambda x: _read(x, model, False, least, least_known), RESULTS)
 
 
 def _read(docs: DataFrame, model: Model, keep: bool, least: float, least_known: float) -> DataFrame:

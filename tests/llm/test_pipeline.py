@@ -59,7 +59,7 @@ def test_nulls_ties_repeats_long_texts_clashing_columns_and_empty_tables(spark,
 
 
 def test_columns_with_dots_and_names_of_the_operators(spark, docs_of, sf):
-    (text,) = duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' WHERE lang = 'en' AND n_chars > 1500 ORDER BY doc_id LIMIT 1").fetchone()
+    [(text,)] = duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' WHERE lang = 'en' AND n_chars > 1500 ORDER BY doc_id LIMIT 1").fetchall()
     names = ["a.b", "N_HIT", "Score", "Text_", "lang_PRED", "Contaminated", "x`y", "node"]
     docs = docs_of([(1, text), (2, text), (2, text)]).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
     for name, stage in corpus_pipeline.STAGES:
