@@ -33,7 +33,7 @@ def frontier(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: boo
     """id, depth of first visit, within ``depth`` steps, or of all that can be reached. ``seeds``: id. ``reverse``: against
     the edges. The edges are written once, so that a step reads two narrow columns and not what they come from."""
     step = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("to"))
-    step = step if depth == 1 else written(step.distinct(), "steps")
+    step = step if depth == 1 else written(step, "steps")
     now = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = now
     for d in itertools.count(1) if depth is None else range(1, depth + 1):
