@@ -2,19 +2,21 @@
 
 ``build`` writes (term, key, tf) with weighted counts, dealt into folders by a hash of a term's first two letters, and the
 lengths of the documents. A search reads the folders of its terms alone, never the texts. Terms are prefixes, joined by OR;
-scores are BM25 with the weights of the columns, a prefix counting as one term.
+scores are BM25 with the weights of the columns, a prefix counting as one term. With ``stemmed`` both texts and questions
+go by Porter's stems. ``places`` keeps where words stand, for phrases that read no text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvidex.functions import porter
 from corvidex.functions import text as X
 from corvidex.operators.retrieval import B, K1, MAX_TERMS
 from corvidex.sources.tables import written
@@ -45,20 +47,32 @@ class Index:
     lengths: DataFrame
     documents: int
     average: float
+    stemmed: bool = False
 
 
-def build(docs: DataFrame, key: str, weights: Mapping[str, float], expand: bool = True) -> Index:
+def _stems(spark: SparkSession, words: Sequence[str]) -> list[str]:
+    """The different stems of a question's words."""
+    row = spark.createDataFrame([(list(words),)], "w array<string>").select(porter.stems(F.col("w")).alias("w")).first()
+    return row["w"]
+
+
+def build(docs: DataFrame, key: str, weights: Mapping[str, float], expand: bool = True, stemmed: bool = False) -> Index:
     """Index the text columns that ``weights`` names. One row for each term of a document: the map side of the shuffle
-    already adds up a document's repeats."""
+    already adds up a document's repeats. With ``stemmed`` the documents are dealt by key first, so that words and then their
+    stems are added up where they are, and each different word of a document is stemmed once."""
+    if stemmed:
+        docs = docs.select(key, *weights).repartition(key)
     tokens = lambda c: X.words(searchable(F.coalesce(F.col(c), F.lit(""))) if expand else F.coalesce(F.col(c), F.lit("")))
     listed = docs.select(F.col(key), *[tokens(c).alias(c) for c in weights])
     weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
     every = F.flatten(F.array(*[F.transform(c, weighted(w)) for c, w in weights.items()]))
     rows = listed.select(key, F.explode(every).alias("t")).groupBy(key, "t.term").agg(F.sum("t.w").alias("tf"))
+    if stemmed:
+        rows = rows.groupBy(key, porter.stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
     folded = rows.withColumn("folder", _folder(F.col("term"))).repartition("folder")
     lengths = written(listed.select(key, sum(F.size(c) for c in weights).alias("n")), "lengths")
     n, average = lengths.agg(F.count("*"), F.avg("n")).first()
-    return Index(written(folded, "postings", by=["folder"]), lengths, n, average or 1.0)
+    return Index(written(folded, "postings", by=["folder"]), lengths, n, average or 1.0, stemmed)
 
 
 def matches(index: Index, query: str) -> DataFrame:
@@ -67,6 +81,8 @@ def matches(index: Index, query: str) -> DataFrame:
     if not found:
         return index.postings.select(F.lit("").alias("prefix"), "*").where("false")
     spark = index.postings.sparkSession
+    if index.stemmed:
+        found = list(dict.fromkeys(_stems(spark, found)))
     folders = [r[0] for r in spark.createDataFrame([(p,) for p in found], "p string").select(_folder(F.col("p"))).distinct().collect()]  # twelve at most
     hits = F.filter(F.array(*[F.lit(p) for p in found]), lambda p: F.startswith(F.col("term"), p))
     return index.postings.where(F.col("folder").isin(folders)).select(F.explode(hits).alias("prefix"), "*")
@@ -94,6 +110,33 @@ def phrase(index: Index, docs: DataFrame, key: str, column: str, query: str) ->
     return docs.join(keys, key, "left_semi").where(line.contains(" " + " ".join(wanted) + " ")).select(key)
 
 
+def places(docs: DataFrame, key: str, columns: Sequence[str], stemmed: bool = False) -> DataFrame:
+    """term, key, field, at (sorted array): where words stand in each column. A null column has none."""
+    dealt = docs.select(key, *columns).repartition(key)
+    listed = dealt.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), X.words(F.coalesce(F.col(c), F.lit(""))).alias("words")) for c in columns])).alias("f"))
+    rows = listed.select(key, "f.field", F.posexplode("f.words").alias("pos", "term")).groupBy(key, "field", "term").agg(F.collect_list("pos").alias("at"))
+    if stemmed:
+        rows = rows.groupBy(key, "field", porter.stem(F.col("term")).alias("term")).agg(F.flatten(F.collect_list("at")).alias("at"))
+    return written(rows.select("term", key, "field", F.sort_array("at").alias("at"), _folder(F.col("term")).alias("folder")).repartition("folder"), "places", by=["folder"])
+
+
+def in_a_row(places: DataFrame, key: str, query: str, stemmed: bool = False) -> DataFrame:
+    """The keys of which a column has the words of a query in a row; none for a query without words.
+
+    Every place says where a phrase would begin if it were that word of it; where all of them agree there is one.
+    """
+    wanted = [w for w in re.split("[^a-z0-9]+", query.lower()) if w]
+    spark = places.sparkSession
+    if not wanted:
+        return places.select(key).where("false")
+    wanted = _stems(spark, wanted) if stemmed else wanted
+    folders = [r[0] for r in spark.createDataFrame([(w,) for w in set(wanted)], "w string").select(_folder(F.col("w"))).distinct().collect()]  # no more than the query's words
+    order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(wanted)])
+    held = places.where(F.col("folder").isin(folders) & F.col("term").isin(wanted)).select(key, "field", "at", F.explode(F.filter(order, lambda o: o["w"] == F.col("term"))).alias("o"))
+    begins = held.select(key, "field", "o.i", F.explode(F.transform("at", lambda p: p - F.col("o.i"))).alias("begin"))
+    return begins.groupBy(key, "field", "begin").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select(key).distinct()
+
+
 def loose(index: Index, query: str, key: str) -> DataFrame:
     """The keys that have any of a query's words as a prefix."""
     return matches(index, query).select(key).distinct()

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.functions import porter
 from corvidex.functions import text as X
 from corvidex.operators import facts, fts
 from corvidex.operators import retrieval as R
@@ -134,6 +135,60 @@ def fts_phrase_loose(t: Tables) -> DataFrame:
     return exact.union(fts.loose(index, "licens permiss", "doc_id").agg(F.lit("loose"), F.count("*")))
 
 
+_SOME, _MORE, _SHORT = "^[^aeiouy]*[aeiouy]+[^aeiouy]", "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]", "^[^aeiouy]+[aeiouy][^aeiouywxY]$"
+
+
+def _changed(table: dict[str, str], least: str) -> str:
+    """SQL over x: the longest of a table's endings changed."""
+    cases = " ".join(f"WHEN ends_with(x, '{e}') THEN CASE WHEN regexp_matches(x[:-{len(e) + 1}], '{least}') THEN x[:-{len(e) + 1}] || '{v}' ELSE x END" for e, v in sorted(table.items(), key=lambda i: -len(i[0])))
+    return f"CASE WHEN length(w) NOT BETWEEN 3 AND 64 THEN x {cases} ELSE x END"
+
+
+def _porter(words: str) -> str:
+    """SQL: p(w, stem) of the words of a table with a column w, a step a table."""
+    steps = [
+        "CASE WHEN ends_with(x, 'sses') OR ends_with(x, 'ies') THEN x[:-3] WHEN ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN x[:-2] ELSE x END",
+        f"CASE WHEN ends_with(x, 'eed') THEN CASE WHEN regexp_matches(x[:-4], '{_SOME}') THEN x[:-2] ELSE x END WHEN ends_with(x, 'ed') AND regexp_matches(x[:-3], '[aeiouy]') THEN x[:-3] || '|' WHEN ends_with(x, 'ing') AND regexp_matches(x[:-4], '[aeiouy]') THEN x[:-4] || '|' ELSE x END",
+        f"CASE WHEN NOT ends_with(x, '|') THEN x WHEN regexp_matches(x[:-2], '(at|bl|iz)$') OR regexp_matches(x[:-2], '{_SHORT}') THEN x[:-2] || 'e' WHEN lower(x[-2]) = lower(x[-3]) AND NOT regexp_matches(x[-2], '[aeiouylsz]') THEN x[:-3] ELSE x[:-2] END",
+        "CASE WHEN lower(x[-1]) = 'y' AND regexp_matches(x[:-2], '[aeiouy]') THEN x[:-2] || 'i' ELSE x END",
+        _changed(porter.STEP2, _SOME),
+        _changed(porter.STEP3, _SOME),
+        f"CASE WHEN regexp_matches(x, '[^st]ion$') THEN x ELSE {_changed(dict.fromkeys(porter.STEP4, ''), _MORE)} END",
+        f"CASE WHEN ends_with(x, 'e') AND (regexp_matches(x[:-2], '{_MORE}') OR (regexp_matches(x[:-2], '{_SOME}') AND NOT regexp_matches(x[:-2], '{_SHORT}'))) THEN x[:-2] ELSE x END",
+        f"CASE WHEN ends_with(x, 'll') AND regexp_matches(x, '{_MORE}') THEN x[:-2] ELSE x END",
+    ]
+    tables = [f"p0 AS (SELECT w, regexp_replace(regexp_replace(w, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g') AS x FROM (SELECT DISTINCT w FROM {words}))"]
+    tables += [f"p{i} AS (SELECT w, CASE WHEN length(w) BETWEEN 3 AND 64 THEN {step} ELSE x END AS x FROM p{i - 1})" for i, step in enumerate(steps, 1)]
+    return ", ".join([*tables, f"p AS (SELECT w, lower(x) AS stem FROM p{len(steps)})"])
+
+
+_PLACES = f"""t AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS pos FROM documents), {_porter('t')}"""
+
+
+@query(f"WITH {_PLACES} SELECT w AS term, stem FROM p")
+def porter_stems(t: Tables) -> DataFrame:
+    """The stem of every different word of the documents."""
+    words = t.documents.select(F.explode(X.words(F.col("text"))).alias("term")).distinct()
+    return words.select("term", porter.stem(F.col("term")).alias("stem"))
+
+
+@query(f"""WITH {_PLACES}, l AS (SELECT doc_id, len({_WORDS}) AS n FROM documents), s AS (SELECT count(*) AS docs, avg(coalesce(n, 0)) AS average FROM l), q AS (SELECT unnest(['licens', 'permiss', 'train']) AS prefix),
+f AS (SELECT prefix, doc_id, CAST(count(*) AS DOUBLE) AS tf FROM t JOIN p USING (w) JOIN q ON starts_with(stem, prefix) GROUP BY 1, 2), d AS (SELECT prefix, count(*) AS df FROM f GROUP BY 1)
+SELECT doc_id, round(sum(greatest(1e-6, CASE WHEN docs > df THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))), 6) AS score
+FROM f JOIN d USING (prefix) JOIN l USING (doc_id) CROSS JOIN s GROUP BY 1""")
+def porter_search(t: Tables) -> DataFrame:
+    """Documents that hold any form of three words, all of them scored."""
+    index = fts.build(t.documents, "doc_id", {"text": 1.0}, expand=False, stemmed=True)
+    return fts.search(index, "licensing permissions trained", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_PLACES}, s AS (SELECT doc_id, pos, stem FROM t JOIN p USING (w) WHERE stem IN ('thing', 'of', 'the'))
+SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN s c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.stem = 'thing' AND b.stem = 'of' AND c.stem = 'the'""")
+def porter_phrase(t: Tables) -> DataFrame:
+    """Documents with any form of the words of a phrase in a row, by places alone."""
+    return fts.in_a_row(fts.places(t.documents, "doc_id", ["text"], stemmed=True), "doc_id", "things of the", stemmed=True)
+
+
 _LISTS = f"""a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40),
 f AS (SELECT id, sum(1.0 / (r + 1)) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1)"""
 

@@ -135,10 +135,36 @@ def _node(text: str) -> tuple:
     return doc.get("name"), doc.get("version"), [*doc.get("dependencies", {}), *doc.get("devDependencies", {})]
 
 
+def _plain(value: str) -> str | None:
+    """A scalar of one line: without quotes, and without the remark after it."""
+    value = value.strip()
+    if value[:1] in ("'", '"'):
+        return value[1:].partition(value[0])[0]
+    return value.split(" #")[0].strip() or None
+
+
 def _apm(text: str) -> tuple:
-    name, version = (re.search(rf"^{k}:\s*[\"']?([^\s\"'#]+)", text, re.M) for k in ("name", "version"))
-    block = re.search(r"^dependencies:\s*\n((?:[ \t]+.*\n?|\s*\n)*)", text, re.M)
-    return name and name[1], version and version[1], re.findall(r"^\s*-\s*[\"']?([^\s\"':@#]+)", block[1], re.M) if block else []
+    """The part of YAML such manifests use: keys at the margin, below a key a list or a mapping, or one of these in brackets."""
+    top: dict[str, tuple[str, list[tuple[int, str]]]] = {}
+    below: list[tuple[int, str]] = []
+    for raw in text.expandtabs().splitlines():
+        line = raw.strip()
+        depth = len(raw) - len(raw.lstrip())
+        if not line or line[0] == "#":
+            continue
+        if depth or line.startswith("- "):
+            below.append((depth, line))
+        else:
+            key, _, value = line.partition(":")
+            below = []
+            top[key.strip()] = (value.strip(), below)
+    value, entries = top.get("dependencies", ("", []))
+    if value[:1] in ("[", "{"):
+        entries = [(0, part.strip()) for part in value[1:].rstrip("]}").split(",")]
+    margin = min((depth for depth, _ in entries), default=0)
+    # What lies deeper belongs to an entry, as the range of versions under its name does.
+    named = [_plain(line.removeprefix("-").strip().split(": ")[0].removesuffix(":")) for depth, line in entries if depth == margin]
+    return *(_plain(top[k][0]) if k in top else None for k in ("name", "version")), named
 
 
 #: Manifests by name.
