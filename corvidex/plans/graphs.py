@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvidex.operators import betweenness as B
 from corvidex.operators import communities as C
+from corvidex.operators import extraction as X
 from corvidex.operators import flows as W
 from corvidex.operators import graph as G
 from corvidex.plans.base import Tables, query
@@ -348,3 +349,51 @@ def flow_steps(t: Tables) -> DataFrame:
     entries = t.region.select(name("r", "r_regionkey").alias("entry"), name("r", "r_regionkey").alias("node"))
     through = t.nation.select(name("n", "n_nationkey").alias("id")).union(t.region.select(name("r", "r_regionkey")))
     return W.flows(entries, edges, through)
+
+
+_FOUND = """i AS (SELECT 'P' || p_partkey AS id, p_name AS label, 'src/p' || p_size || '.py' AS file, 'ast' AS origin FROM part UNION ALL
+SELECT 'S' || s_suppkey, s_name, 'src/n' || s_nationkey || CASE WHEN s_nationkey % 5 = 0 THEN '.ts' ELSE '.py' END, 'ast' FROM supplier UNION ALL
+SELECT 'ghost_' || s_suppkey, s_name, 'src/n' || s_nationkey || CASE WHEN s_nationkey % 5 = 0 THEN '.ts' ELSE '.py' END, NULL FROM supplier WHERE s_nationkey < 12),
+g AS (SELECT id, label, file, origin IS NOT NULL AS parsed, count_if(origin IS NOT NULL) OVER w AS k, coalesce(min(CASE WHEN origin IS NOT NULL THEN id END) OVER w, min(id) OVER w) AS canonical FROM i WINDOW w AS (PARTITION BY label, file)),
+m AS (SELECT id, canonical FROM g WHERE NOT parsed AND k < 2 AND id <> canonical), n AS (SELECT * FROM i WHERE id NOT IN (SELECT id FROM m)),
+c AS (SELECT regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, 0 AS tier, canonical AS id FROM m UNION ALL SELECT regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, id FROM n),
+k AS (SELECT key, arg_min(id, (tier, id)) AS id FROM c GROUP BY 1),
+r0 AS (SELECT 'p' || l_partkey AS src, CASE l_linenumber % 4 WHEN 1 THEN 'Ghost-' || l_suppkey WHEN 2 THEN 'ext.' || l_suppkey % 7 WHEN 3 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS dst,
+CASE l_returnflag WHEN 'R' THEN 'imports' WHEN 'A' THEN 'calls' ELSE 'references' END AS relation, CASE l_linestatus WHEN 'O' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence,
+CASE l_linestatus WHEN 'O' THEN NULL ELSE CAST(l_tax AS DOUBLE) END AS score, CASE WHEN l_discount < 0.03 THEN 1.0 ELSE CAST(l_discount AS DOUBLE) END AS weight FROM lineitem),
+f AS (SELECT ref, coalesce(n.id, k.id) AS id FROM (SELECT src AS ref FROM r0 UNION SELECT dst FROM r0 UNION SELECT 'p' || l_partkey FROM lineitem) LEFT JOIN n ON n.id = ref LEFT JOIN k ON k.key = regexp_replace(regexp_replace(lower(ref), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')),
+j AS (SELECT r0.*, a.id AS s, b.id AS d, x.file AS sf, y.file AS df FROM r0 JOIN f a ON a.ref = src JOIN f b ON b.ref = dst LEFT JOIN n x ON x.id = a.id LEFT JOIN n y ON y.id = b.id),
+u AS (SELECT *, CASE WHEN relation = 'imports' AND s IS NOT NULL AND d IS NULL THEN 'external' WHEN s IS NULL OR d IS NULL THEN 'dangling' WHEN sf[-3:] <> df[-3:] AND (relation <> 'calls' OR confidence = 'INFERRED') THEN 'crossed' WHEN relation = 'imports' AND s = d THEN 'loop' ELSE 'found' END AS fate FROM j)"""
+
+
+def extraction_of(t: Tables) -> X.Built:
+    """Parts and suppliers as nodes under the names of two extractors, lines as edges, orders as hyperedges."""
+    put = lambda a, c, z="": F.concat(F.lit(a), F.col(c), F.lit(z))
+    supplier = t.supplier.withColumn("path", F.concat(put("src/n", "s_nationkey"), F.when(F.col("s_nationkey") % 5 == 0, ".ts").otherwise(".py")))
+    parts = t.part.select(put("P", "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("").alias("name"), put("src/p", "p_size", ".py").alias("path"), F.lit("ast").alias("origin"))
+    named = supplier.select(put("S", "s_suppkey").alias("id"), F.lit(None).cast("string").alias("label"), F.col("s_name").alias("name"), "path", F.lit("ast").alias("origin"))
+    again = supplier.where("s_nationkey < 12").select(put("ghost_", "s_suppkey").alias("id"), F.lit(" ").alias("label"), F.col("s_name").alias("name"), "path", F.lit(None).cast("string").alias("origin"))
+    line = F.col("l_linenumber") % 4
+    ends = F.when(line == 1, put("Ghost-", "l_suppkey")).when(line == 2, F.concat(F.lit("ext."), F.col("l_suppkey") % 7)).when(line == 3, put("P", "l_partkey")).otherwise(put("S", "l_suppkey"))
+    relation = F.when(F.col("l_returnflag") == "R", "imports").when(F.col("l_returnflag") == "A", "calls").otherwise("references")
+    confidence = F.when(F.col("l_linestatus") == "O", "EXTRACTED").otherwise(F.col("l_tax").cast("string"))
+    weight = F.when(F.col("l_discount") < 0.03, "-1").otherwise(F.col("l_discount").cast("string"))
+    edges = t.lineitem.select(put("p", "l_partkey").alias("from"), ends.alias("target"), relation.alias("type"), confidence.alias("confidence"), weight.alias("weight"))
+    listed = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(put("p", "l_partkey")).alias("m"), F.collect_list(put("none_", "l_suppkey")).alias("x"))
+    both = listed.select("id", F.when(F.col("id") % 2 == 0, F.when(F.col("id") % 10 == 0, F.col("x")).otherwise(F.concat("m", "x"))).alias("nodes"), F.col("m").alias("members"))
+    return X.build(parts.union(named).union(again), edges, both)
+
+
+@query(f"""WITH {_FOUND}, w AS (SELECT s AS src, coalesce(d, dst) AS dst, max(struct_pack(specific := relation <> 'references', relation := relation, trust := CASE confidence WHEN 'EXTRACTED' THEN 3 ELSE 2 END, score := coalesce(score, -1.0), weight := weight)) AS e FROM u WHERE fate IN ('found', 'external') GROUP BY 1, 2)
+SELECT src, dst, e.relation AS relation, CASE e.trust WHEN 3 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence, round(e.weight, 6) AS weight FROM w""")
+def graph_build_edges(t: Tables) -> DataFrame:
+    """One edge a pair of nodes that were resolved, external ones included."""
+    return extraction_of(t).edges.select("src", "dst", "relation", "confidence", F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH {_FOUND}, o AS (SELECT DISTINCT l_orderkey AS h, 'p' || l_partkey AS ref FROM lineitem WHERE l_orderkey % 10 <> 0), o2 AS (SELECT DISTINCT l_orderkey AS h, l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0)
+SELECT 'edges ' || fate AS kind, count(*) AS n FROM u GROUP BY 1 UNION ALL SELECT 'nodes merged', count(*) FROM m UNION ALL SELECT 'nodes kept', count(*) FROM n UNION ALL SELECT 'nodes external', count(DISTINCT dst) FROM u WHERE fate = 'external'
+UNION ALL SELECT 'members kept', count(*) FROM o UNION ALL SELECT 'members lost', count(*) FROM o2 UNION ALL SELECT 'hyperedges kept', count(DISTINCT h) FROM o UNION ALL SELECT 'hyperedges lost', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 10 = 0""")
+def graph_build_report(t: Tables) -> DataFrame:
+    """What became of everything that was found."""
+    return extraction_of(t).report

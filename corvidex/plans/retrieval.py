@@ -182,11 +182,11 @@ def porter_search(t: Tables) -> DataFrame:
     return fts.search(index, "licensing permissions trained", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_PLACES}, s AS (SELECT doc_id, pos, stem FROM t JOIN p USING (w) WHERE stem IN ('thing', 'of', 'the'))
-SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN s c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.stem = 'thing' AND b.stem = 'of' AND c.stem = 'the'""")
+@query(f"""WITH {_PLACES}, s AS (SELECT doc_id, pos, stem FROM t JOIN p USING (w) WHERE stem IN ('attion', 'to'))
+SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.stem = 'attion' AND b.stem = 'to'""")
 def porter_phrase(t: Tables) -> DataFrame:
     """Documents with any form of the words of a phrase in a row, by places alone."""
-    return fts.in_a_row(fts.places(t.documents, "doc_id", ["text"], stemmed=True), "doc_id", "things of the", stemmed=True)
+    return fts.in_a_row(fts.places(t.documents, "doc_id", ["text"], stemmed=True), "doc_id", "Attions to", stemmed=True)
 
 
 _LISTS = f"""a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 40),
