@@ -16,8 +16,10 @@ from corvidex.sources.tables import checkpointed
 
 PERMUTATIONS, ROWS = 32, 4
 MIN_ENTROPY, MIN_SIMILARITY = 2.5, 0.92
-#: Words that name a variant; labels that differ by one stay apart.
-VARIANTS = frozenset({"v1", "v2", "v3", "old", "new", "test", "base", "async", "sync", "beta", "legacy"})
+#: Words whose change restates a label, labels that count as short, and a short label's stem with its variant.
+FUNCTION_WORDS = frozenset("a an the and or of for to in on at by with from as is are be this that its".split())
+SHORT_LABEL, SHORT_SIMILARITY, LONG_WORD = 12, 0.97, 6
+VARIANT = re.compile(r"(.*[a-z])(\d+[a-z]*|[a-z]{2,})")
 
 
 def shingles(label: Column, k: int = 3) -> Column:
@@ -80,28 +82,51 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def _numbers(label: str) -> list[str]:
+    return sorted(n.lstrip("0") for n in re.findall("[0-9]+", label))
+
+
+def _slip(a: str, b: str) -> bool:
+    """Whether words of one length differ in one letter, or in two neighbours changed over."""
+    at = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
+    if len(a) != len(b) or len(at) > 2:
+        return False
+    return len(at) < 2 or (at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]])
+
+
+def _other_word(a: str, b: str) -> bool:
+    """Whether two words in one place of two labels are different words, not one misspelt or a function word."""
+    if a == b or a in FUNCTION_WORDS or b in FUNCTION_WORDS or _slip(a, b):
+        return False
+    return min(len(a), len(b)) < LONG_WORD or jaro_winkler(a, b) < MIN_SIMILARITY
+
+
 def guarded(a: str, b: str) -> bool:
-    """Whether two labels must stay apart: other digits, a variant's name, or one a longer form of the other."""
-    x, y = a.lower(), b.lower()
-    if re.findall(r"\d+", x) != re.findall(r"\d+", y):
-        return True
-    p, q = set(re.findall("[a-z0-9]+", x)), set(re.findall("[a-z0-9]+", y))
-    if (p ^ q) & VARIANTS:
+    """Whether two labels must stay apart, however alike they look: other numbers, one a longer form of the other, short ones
+    with other endings or with more than a slip between them, or another word in one place."""
+    x, y = (" ".join(re.split(r"[\W_]+", s.lower())).strip() for s in (a, b))
+    if x == y:
+        return False
+    if _numbers(x) != _numbers(y) or x.startswith(y) or y.startswith(x):
         return True
-    return min(len(x), len(y)) < 5 or (x != y and (x.startswith(y) or y.startswith(x)))
+    if max(len(x), len(y)) < SHORT_LABEL:
+        p, q = VARIANT.fullmatch(x), VARIANT.fullmatch(y)
+        if (p and q and p[1] == q[1]) or not _slip(x, y) or jaro_winkler(x, y) < SHORT_SIMILARITY:
+            return True
+    left, right = x.split(), y.split()
+    return len(left) == len(right) and any(map(_other_word, left, right))
 
 
-def _must_agree(label: Column) -> list[Column]:
-    """What ``guarded`` wants equal in both labels: the digits and the variants' names. Coarser for digits beyond ASCII."""
-    low = F.lower(label)
-    names = F.array_intersect(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), F.array(*[F.lit(v) for v in sorted(VARIANTS)]))
-    return [F.array_join(F.regexp_extract_all(low, F.lit("([0-9]+)"), F.lit(1)), " "), F.array_join(F.sort_array(names), " ")]
+def _must_agree(label: Column) -> Column:
+    """What ``guarded`` wants equal in both labels: their numbers, without noughts before them, in any order."""
+    found = F.regexp_extract_all(F.lower(label), F.lit("([0-9]+)"), F.lit(1))
+    return F.array_join(F.array_sort(F.transform(found, lambda n: F.regexp_replace(n, "^0+", ""))), " ")
 
 
 def bucketed(labels: DataFrame) -> DataFrame:
     """id, label, buckets: a hash for each band, and of what two labels must agree in to be merged."""
     rows = labels.where(X.entropy(F.col("label")) >= MIN_ENTROPY).select("id", "label", shingles(F.col("label")).alias("grams"))
-    signed = rows.select("id", "label", minhash(F.col("grams")).alias("signature"), F.xxhash64(*_must_agree(F.col("label"))).alias("own"))
+    signed = rows.select("id", "label", minhash(F.col("grams")).alias("signature"), F.xxhash64(_must_agree(F.col("label"))).alias("own"))
     return signed.select("id", "label", F.transform(bands(F.col("signature")), lambda x: F.xxhash64(x, "own")).alias("buckets"))
 
 
@@ -122,7 +147,7 @@ def similar_pairs(labels: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame
 
     ``labels``: id, label, different labels. A bucket's members are first compared with its least, which is linear. What then
     still lies in several components of one bucket is compared pair by pair across them, so that no neighbour is left out;
-    a bucket holds only labels with the same digits and variants' names, as the guards keep all others apart.
+    a bucket holds only labels with the same numbers, as the guards keep all others apart.
     """
     held = checkpointed(bucketed(labels))
     rows = checkpointed(held.select("id", "label", "buckets", F.posexplode("buckets").alias("band", "bucket")))

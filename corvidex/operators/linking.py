@@ -12,7 +12,11 @@ from corvidex.functions import text as X
 #: Labels of more than this many things, or shorter than ``LEAST_LETTERS``, don't link a text to anything.
 MOST_HOMONYMS, LEAST_LETTERS = 3, 4
 #: Labels too general to link by.
-GENERIC = ("main", "init", "test", "tests", "data", "name", "value", "index", "config", "utils", "util", "helper", "run", "get", "set", "add", "self", "type", "list", "file", "path", "text", "result", "error", "item", "items", "node", "nodes")
+GENERIC = tuple("""self this that data value values result results item items list dict type types name names
+string object error errors config client server request response default params param args kwargs test tests
+main init index model models util utils helper helpers base core common app user users file files path paths
+node nodes edge edges event events state status count total time date info message messages handler handlers
+""".split())
 
 
 def dictionary(labels: DataFrame) -> DataFrame:
