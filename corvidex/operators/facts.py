@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.operators import retrieval
+from corvidex.operators import fts, retrieval
 from corvidex.operators.graph import facts_near
 
 
@@ -47,3 +47,10 @@ def search_facts(facts: DataFrame, lists: Sequence[DataFrame], where: Column, li
     near = retrieval.node_distance(fused.select("src"), kept.select("src", "dst"), "src", centre)
     both = fused.withColumnRenamed("score", "fused").join(near, "src")
     return both.orderBy(F.desc("score"), F.desc("fused"), "id").limit(limit).select("id", "src", "score")
+
+
+def by_words(facts: DataFrame, index: fts.Index, words: Sequence[str], limit: int = 5) -> DataFrame:
+    """id, score, valid_at, invalid_at of the facts that a full-text index finds for some words, best first, then by id; scores
+    count to three places. No words: no facts. The index holds facts alone, under id."""
+    found = fts.search(index, " ".join(words), "id").select("id", F.round("score", 3).alias("score"))
+    return retrieval.top(found.join(facts.select("id"), "id", "left_semi"), "score", "id", limit).join(facts.select("id", "valid_at", "invalid_at"), "id")

@@ -11,8 +11,9 @@ from corvidex.functions import porter
 from corvidex.functions import text as X
 from corvidex.operators import facts, fts
 from corvidex.operators import retrieval as R
+from corvidex.operators import sessions
 from corvidex.operators import vectors as V
-from corvidex.plans.base import Tables, query
+from corvidex.plans.base import ORACLES, Tables, query
 
 QUESTION = "thing ention license"
 #: A fixed query vector, written out as the same arithmetic in SQL.
@@ -291,3 +292,21 @@ def fact_search(t: Tables) -> DataFrame:
     held, lists = facts_of(t)
     where = facts.validity(names=["en", "de"], valid_after=datetime.date(2020, 2, 1), current_only=True)
     return facts.search_facts(held, lists, where, 10, centre="src2")
+
+
+@query(f"""WITH z AS ({ORACLES["porter_search"].replace("), 6) AS score", "), 3) AS score")}), k AS (SELECT {_FACTS} FROM documents)
+SELECT id, score, valid_at, invalid_at FROM (SELECT * FROM z ORDER BY score DESC, doc_id LIMIT 5) JOIN k ON id = doc_id""")
+def facts_by_words(t: Tables) -> DataFrame:
+    """The facts that some words find, with their validity."""
+    held, _ = facts_of(t)
+    index = fts.build(t.documents.select(F.col("doc_id").alias("id"), "text"), "id", {"text": 1.0}, expand=False, stemmed=True)
+    return facts.by_words(held, index, ["licensing", "permissions", "trained"], 5)
+
+
+@query(f"""{_BM25}, a AS (SELECT doc_id, source FROM b JOIN documents USING (doc_id) JOIN (SELECT doc_id, count(*) FILTER (tf > 0) = 3 AS every FROM f GROUP BY 1) USING (doc_id) ORDER BY every DESC, score DESC, doc_id LIMIT 1),
+r AS (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id % 97, d.doc_id) AS k FROM documents d JOIN a USING (source))
+SELECT r.doc_id, k - (SELECT k FROM r JOIN a USING (doc_id)) AS pos FROM r WHERE pos BETWEEN -5 AND 8""")
+def timeline_by_query(t: Tables) -> DataFrame:
+    """What lies around the best answer in its source."""
+    rows = t.documents.select("doc_id", "text", "source", (F.col("doc_id") % 97).alias("ts"))
+    return sessions.timeline(rows, "doc_id", "ts", "text", QUESTION, 5, 8, "source").select("doc_id", "pos")
