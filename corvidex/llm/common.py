@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_large(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for rows of megabytes: each is a row group of its own, so that neither the writer nor the reader of a
+    task holds more than one of them, however many a task has."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.option("parquet.block.row.count.limit", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def one_row_a_batch(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands rows to Python one by one: for steps over rows of megabytes, which would be gathered into
+    batches by their number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has in any case of its letters."""
     taken = {c.lower() for c in df.columns}

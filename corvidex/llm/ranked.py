@@ -9,7 +9,8 @@ finds the cuts with the least sum of bound errors (block maximum less score, ove
 score of every document at once: a block adds its maximum from its first document on and takes it off behind its last.
 Documents whose bound doesn't reach the k-th score found so far can't enter, the pivot test of WAND for all of them at
 once; blocks without a document left aren't read. The rest is scored exactly. A task hands its k best of each query on, and
-one window ranks them. No segment, no list and no task is left out, so results are those of scoring everything.
+one window ranks them. A task reads, holds and writes one segment at a time, so that its memory doesn't depend on how many
+segments it has. No segment, no list and no task is left out, so results are those of scoring everything.
 
 Scores: ``weight(df, N) * ((1000000000 * tf) div (1000 * tf + 20 * m))`` over a query's different terms, where m is
 100 - 50 + ((50 * n * N) div L). 50 * n * N must stay below 2^63.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.llm.common import materialize, shared_path, table
+from corvidex.llm.common import materialize_large, one_row_a_batch, shared_path, table
 
 #: Bytes of text in a segment.
 SEGMENT = 8_000_000
@@ -153,7 +154,7 @@ class Index:
 
 def build(docs: DataFrame, size: int = SEGMENT) -> Index:
     """Index every row of ``docs``; three passes, two tables in the shared folder, nothing collected but two sums."""
-    held = materialize(segments(docs, size), "segments")
+    held = materialize_large(segments(docs, size), "segments")
     found = held.agg(F.sum("documents"), F.sum("words")).first()
     documents, words = int(found[0] or 0), int(found[1] or 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -170,7 +171,8 @@ def build(docs: DataFrame, size: int = SEGMENT) -> Index:
                 blocks = cuts(scores, df)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in ("segment", "doc_id", "terms", "df", "places")], *[pa.array([x.astype("<i4").tobytes()]) for x in (scores, blocks, np.maximum.reduceat(scores, blocks))]], names=["segment", "doc_id", "terms", "df", "places", "scores", "blocks", "highest"])
 
-    return Index(materialize(held.drop("documents", "words").mapInArrow(run, schema), "ranked-index"), documents, words)
+    with one_row_a_batch(docs.sparkSession):
+        return Index(materialize_large(held.drop("documents", "words").mapInArrow(run, schema), "ranked-index"), documents, words)
 
 
 def weight(df: int, documents: int) -> int:
@@ -291,7 +293,8 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
         names = spark.createDataFrame(list(enumerate(items)), f"at bigint, item_id {item.simpleString()}")
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first()))
         best = found.withColumn("rank", place).where(F.col("rank") <= k).join(F.broadcast(names), "at")
-        best.select("query", "item_id", "doc_id", "score").write.mode("append").parquet(path)
+        with one_row_a_batch(spark):
+            best.select("query", "item_id", "doc_id", "score").write.mode("append").parquet(path)
         before += len(block)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first()))
     return spark.read.schema(schema).parquet(path).select("item_id", place.alias("rank"), "doc_id", "score")

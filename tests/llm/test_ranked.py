@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,18 @@ def test_blocks_are_skipped(spark, docs_of):
     assert 0 < segment.read < segment.met / 4
 
 
+def test_a_task_holds_one_segment(spark, docs_of):
+    index = ranked.build(docs_of(made(400)).coalesce(1), 2000)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.rows.inputFiles()]
+    groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert len(groups) > 5 and set(groups) == {1}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with ranked.one_row_a_batch(spark):
+        sizes = index.rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert {r["n"] for r in sizes} == {1}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_documents(spark, sf):
     docs, queries = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text")), ("benchmark", ("item_id", "text"))))
     assert got(ranked.op12_ranked_search(spark, sf)) == plain(docs, queries)
