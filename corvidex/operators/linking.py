@@ -54,15 +54,25 @@ def nearest(calls: DataFrame, declared: DataFrame) -> DataFrame:
     """call, id: for calls (call, file, name) the declaration (id, file, name) that lies nearest: in the same file, else the
     same folder, else with the longest shared path, of more than nothing. Where the best of these is not alone, none.
 
-    The counts and the only candidate of each tier are aggregates, so no window gathers a call's candidates.
+    Declarations are counted for each file, folder and beginning of a folder; a call looks up its own ones. So no call meets
+    its candidates one by one, and work grows with calls and declarations, not with their pairs.
     """
-    both = calls.join(declared.select("name", "id", F.col("file").alias("at")), "name")
-    here, there = folder(F.col("file")), folder(F.col("at"))
-    near = shared_parts(here, there)
-    tier = F.when(F.col("at") == F.col("file"), 1_000_001).when(there == here, 1_000_000).otherwise(near)
-    ranked = both.withColumn("tier", tier)
-    best = ranked.groupBy("call").agg(F.max("tier").alias("tier"))
-    return ranked.join(best, ["call", "tier"]).groupBy("call", "tier").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1 AND tier > 0").select("call", "id")
+    there = declared.where("file IS NOT NULL").select("name", "id", F.explode(_levels(F.col("file"))).alias("at"))
+    counted = there.groupBy("name", "at").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    here = calls.where("file IS NOT NULL").select("file", "name").distinct().withColumn("at", F.explode(_levels(F.col("file"))))
+    best = here.join(counted, ["name", "at"]).groupBy("file", "name").agg(F.max(F.struct(F.col("at.level").alias("tier"), "k", "id")).alias("b"))
+    found = calls.select("call", "file", "name").join(best, ["file", "name"]).select("call", "b.*")
+    top = found.groupBy("call").agg(F.max("tier").alias("tier"))
+    return found.join(top, ["call", "tier"]).groupBy("call").agg(F.sum("k").alias("k"), F.min("id").alias("id")).where("k = 1").select("call", "id")
+
+
+def _levels(file: Column) -> Column:
+    """(level, place) of a file: itself, its folder, and the beginnings of its folder by their number of parts."""
+    at = folder(file)
+    parts = F.split(at, "/")
+    level = lambda n, place: F.struct(n.cast("int").alias("level"), place.alias("place"))
+    begins = F.when(at == "", F.array().cast("array<struct<level:int,place:string>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: level(k, F.array_join(F.slice(parts, 1, k), "/"))))
+    return F.concat(F.array(level(F.lit(1_000_001), file), level(F.lit(1_000_000), at)), begins)
 
 
 def across(calls: DataFrame, declared: DataFrame, on: Sequence[str]) -> DataFrame:
