@@ -77,9 +77,11 @@ def _levels(file: Column) -> Column:
 
 def across(calls: DataFrame, declared: DataFrame, on: Sequence[str]) -> DataFrame:
     """Calls (repo, call, ...) x declarations (repo, id, ...) of other repositories on equal columns, where one fits."""
-    d = declared.select(*on, F.col("repo").alias("other"), "id")
-    hit = calls.join(d, list(on)).where("repo <> other")
-    return hit.groupBy("repo", "call").agg(F.count_distinct("id").alias("k"), F.min("id").alias("id")).where("k = 1").select("repo", "call", "id")
+    # One id fits if the least and the greatest of all others' are one; both are taken of each repository before any call.
+    d = declared.groupBy(*on, F.col("repo").alias("other")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    seen = calls.select("repo", *on).distinct().join(d, list(on)).where("repo <> other").groupBy("repo", *on).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    hit = calls.select("repo", "call", *on).join(seen, ["repo", *on]).groupBy("repo", "call").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return hit.where("lo = hi").select("repo", "call", F.col("lo").alias("id"))
 
 
 def shared_declarations(declared: DataFrame, on: Sequence[str]) -> DataFrame:
