@@ -265,7 +265,7 @@ def intersect_rows(t: Tables) -> DataFrame:
 FROM (SELECT o_custkey AS k, CAST(round(sum(o_totalprice)) AS BIGINT) % 7 AS s FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1) a FULL JOIN
 (SELECT o_custkey AS k, CAST(round(sum(o_totalprice)) AS BIGINT) % 7 AS s FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) b ON a.k = b.k""")
 def staleness_recheck(t: Tables) -> DataFrame:
-    claim = lambda rows: rows.groupBy(F.col("o_custkey").alias("k")).agg((F.round(F.sum("o_totalprice")).cast("long") % 7).alias("s"))
+    claim = lambda rows: rows.groupBy(F.col("o_custkey").alias("k")).agg((F.round(relational.sum_in_order("o_totalprice", "o_orderkey")).cast("long") % 7).alias("s"))
     return relational.recheck(claim(t.orders.where("o_orderstatus <> 'O'")), claim(t.orders.where("o_orderstatus <> 'F'")), "k", "s")
 
 
