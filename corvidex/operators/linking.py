@@ -19,17 +19,18 @@ node nodes edge edges event events state status count total time date info messa
 """.split())
 
 
-def dictionary(labels: DataFrame) -> DataFrame:
-    """label, ids: the labels (label, id) fit to link by; a label's ids are gathered only up to the bound."""
-    low = labels.select(F.lower("label").alias("label"), "id").where((F.length("label") >= LEAST_LETTERS) & ~F.col("label").isin(*GENERIC) & F.col("label").rlike("^[a-z_][a-z0-9_]*$")).distinct()
+def dictionary(labels: DataFrame, general: Sequence[str] = GENERIC) -> DataFrame:
+    """label, ids: the labels (label, id) fit to link by, those of ``general`` left out; a label's ids are gathered only up to
+    the bound."""
+    low = labels.select(F.lower("label").alias("label"), "id").where((F.length("label") >= LEAST_LETTERS) & ~F.col("label").isin(*general) & F.col("label").rlike("^[a-z_][a-z0-9_]*$")).distinct()
     few = low.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_HOMONYMS)
     return low.join(few.select("label"), "label", "left_semi")
 
 
-def mention_links(texts: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+def mention_links(texts: DataFrame, labels: DataFrame, key: str, text: str, general: Sequence[str] = GENERIC) -> DataFrame:
     """key, label, id: the things that a text's words name. Words are made different in the row, before they are shuffled."""
     words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z_][a-z0-9_]*"), F.lit(0)))).alias("label")).where(F.length("label") >= LEAST_LETTERS)
-    return words.join(dictionary(labels), "label").select(key, "label", "id")
+    return words.join(dictionary(labels, general), "label").select(key, "label", "id")
 
 
 def imported(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
