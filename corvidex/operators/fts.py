@@ -1,7 +1,7 @@
 """Full text over a kept table of postings.
 
-``build`` writes (term, key, tf) with weighted counts, dealt into folders by a hash of a term's first two letters, and the
-lengths of the documents. A search reads the folders of its terms alone, never the texts. Terms are prefixes, joined by OR;
+``build`` writes (term, key, tf) with weighted counts, dealt into folders by a hash of a term's first two letters (a large
+folder by several tasks), and the lengths of the documents. A search reads the folders of its terms alone, never the texts. Terms are prefixes, joined by OR;
 scores are BM25 with the weights of the columns, a prefix counting as one term. With ``stemmed`` both texts and questions
 go by Porter's stems. ``places`` keeps where words stand, for phrases that read no text.
 """
@@ -69,7 +69,7 @@ def build(docs: DataFrame, key: str, weights: Mapping[str, float], expand: bool
     rows = listed.select(key, F.explode(every).alias("t")).groupBy(key, "t.term").agg(F.sum("t.w").alias("tf"))
     if stemmed:
         rows = rows.groupBy(key, porter.stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
-    folded = rows.withColumn("folder", _folder(F.col("term"))).repartition("folder")
+    folded = rows.withColumn("folder", _folder(F.col("term"))).hint("rebalance", "folder")
     lengths = written(listed.select(key, sum(F.size(c) for c in weights).alias("n")), "lengths")
     n, average = lengths.agg(F.count("*"), F.avg("n")).first()
     return Index(written(folded, "postings", by=["folder"]), lengths, n, average or 1.0, stemmed)
@@ -117,7 +117,7 @@ def places(docs: DataFrame, key: str, columns: Sequence[str], stemmed: bool = Fa
     rows = listed.select(key, "f.field", F.posexplode("f.words").alias("pos", "term")).groupBy(key, "field", "term").agg(F.collect_list("pos").alias("at"))
     if stemmed:
         rows = rows.groupBy(key, "field", porter.stem(F.col("term")).alias("term")).agg(F.flatten(F.collect_list("at")).alias("at"))
-    return written(rows.select("term", key, "field", F.sort_array("at").alias("at"), _folder(F.col("term")).alias("folder")).repartition("folder"), "places", by=["folder"])
+    return written(rows.select("term", key, "field", F.sort_array("at").alias("at"), _folder(F.col("term")).alias("folder")).hint("rebalance", "folder"), "places", by=["folder"])
 
 
 def in_a_row(places: DataFrame, key: str, query: str, stemmed: bool = False) -> DataFrame:

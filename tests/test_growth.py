@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corvidex.operators import linking, memory, relational, resolution
+from corvidex.operators import fts, linking, memory, relational, resolution
 
 
 def nodes(plan):
@@ -98,3 +98,24 @@ def test_alike_names_of_one_template_meet_few_others(spark):
     rows = spark.range(3000).select("id", resolution.grams(F.concat(F.lit("large ring economy brand "), F.col("id") * 331 + 100_000)).alias("grams"))
     marks = resolution._marks(rows, "id").groupBy("mark").agg(F.count("*").alias("n"))
     assert marks.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 3000 * 3000 / 4
+
+
+def test_general_labels_link_where_none_are_left_out(spark):
+    texts = spark.createDataFrame([(1, "total time of the parser")], "k long, t string")
+    labels = spark.createDataFrame([("time", 1), ("parser", 2)], "label string, id long")
+    links = lambda **more: sorted(r["label"] for r in linking.mention_links(texts, labels, "k", "t", **more).collect())
+    assert links() == ["parser"] and links(general=()) == ["parser", "time"]
+
+
+def test_postings_of_one_folder_are_written_by_several_tasks(spark):
+    docs = spark.range(3000).select("id", F.concat_ws(" ", *[F.concat(F.lit("aa"), F.xxhash64("id", F.lit(i))) for i in range(20)]).alias("text"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100kb")
+    try:
+        postings = fts.build(docs, "id", {"text": 1.0}, expand=False).postings
+    finally:
+        spark.conf.set(size, before)
+    one = postings.where(postings["term"].startswith("aa"))
+    assert one.select("folder").distinct().count() == 1
+    assert one.select(F.input_file_name()).distinct().count() > 2
