@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvidex.functions import text as X
 from corvidex.operators.graph import components
-from corvidex.sources.tables import written
+from corvidex.sources.tables import spread, written
 
 LEAST_ENTROPY, LEAST_JACCARD, LEAST_LENGTH, LEAST_WORDS = 1.5, 0.9, 6, 2
 
@@ -34,19 +36,33 @@ def grams(key: Column) -> Column:
     return F.when(n < 3, F.array(bare)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(bare, i, F.lit(3)))))
 
 
+def _marks(rows: DataFrame, key: str) -> DataFrame:
+    """key, mark: two sets of runs with a Jaccard of ``LEAST_JACCARD`` or more share a mark.
+
+    Sizes are in classes that grow by the inverse of that bound, so those of such a pair are in one class or two neighbouring
+    ones, and a set has the marks of its own class and of the next. The least Jaccard bounds in how many runs two sets of a
+    class differ, d. All runs are dealt into d + 2 parts by a hash: two parts at least are the same in both, and are a mark.
+    """
+    base = 1 / LEAST_JACCARD + 1e-6
+    own = F.floor(F.log(F.size("grams").cast("double")) / math.log(base))
+    classed = spread(rows).select(key, F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))).alias("h"), F.explode(F.array(own, own + 1)).alias("c"))
+    differ = F.floor((1 - LEAST_JACCARD) / (1 + LEAST_JACCARD) * 2 * F.ceil(F.pow(F.lit(base), F.col("c") + 1)) + 1e-9)
+    first = classed.withColumn("n", differ + 2).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2)))
+    each = first.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("n") - 1)))
+    part = lambda p: F.filter("h", lambda x: F.pmod(x, F.col("n")) == F.col(p))
+    return each.select(key, F.xxhash64("c", "i", "j", part("i"), part("j")).alias("mark"))
+
+
 def candidates(new: DataFrame, known: DataFrame) -> DataFrame:
-    """id, known_id, jaccard of names that may be alike. Jaccard of 0.9 or more means that of a name's runs, in any one
-    order for all names, some of the first tenth and one more are shared: a join on these, exact, without a cross join."""
-    def first(df: DataFrame, key: str) -> DataFrame:
-        g = F.array_sort(F.transform("grams", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g"))))
-        most = F.size("grams") - F.ceil(F.size("grams") * LEAST_JACCARD) + 1
-        return df.select(key, F.explode(F.slice(g, 1, F.greatest(most, F.lit(1)).cast("int"))).alias("p")).select(key, "p.h")
-
-    a = written(new.select("id", "grams"), "names")
-    b = written(known.select(F.col("id").alias("known_id"), "grams"), "names")
-    pairs = first(a, "id").join(first(b, "known_id"), "h").select("id", "known_id").distinct()
-    both = pairs.join(a, "id").join(b.withColumnRenamed("grams", "other"), "known_id")
-    return both.select("id", "known_id", X.jaccard(F.col("grams"), F.col("other")).alias("jaccard")).where(F.col("jaccard") >= LEAST_JACCARD)
+    """id, known_id, jaccard of names that may be alike: those that share a mark, exact, without a cross join. Names with the
+    same runs are one; of known ones the least id is given, which is the one that ties go to."""
+    a = written(new.select("id", F.array_sort("grams").alias("grams")), "names")
+    b = written(known.groupBy(F.array_sort("grams").alias("other")).agg(F.min("id").alias("known_id")), "names")
+    asked = written(a.groupBy("grams").agg(F.min("id").alias("first")), "names")
+    pairs = _marks(asked, "first").join(_marks(b.withColumnRenamed("other", "grams"), "known_id"), "mark").select("first", "known_id").distinct()
+    both = pairs.join(asked, "first").join(b, "known_id")
+    scored = both.select("grams", "known_id", X.jaccard(F.col("grams"), F.col("other")).alias("jaccard")).where(F.col("jaccard") >= LEAST_JACCARD)
+    return a.join(scored, "grams").select("id", "known_id", "jaccard")
 
 
 def resolve_names(new: DataFrame, known: DataFrame) -> DataFrame:
