@@ -8,14 +8,12 @@ full to f ** (1 / HASHES). The largest corrected count decides, its share of all
 An n-gram is four bytes of the lower-cased text, white space and ASCII signs as one blank, blanks at its ends only.
 A language contains it if its share there is at least ``NEAR`` of the largest share in any language.
 
-Learning: from labelled rows, at most about ``ROWS_PER_LANGUAGE`` of each language, picked by a hash of the row (the
-documented bound), then the ``GRAMS_PER_LANGUAGE`` commonest n-grams of each. Prediction is one pass over whole texts
+Learning: from all labelled rows, the ``GRAMS_PER_LANGUAGE`` commonest n-grams of each language. Prediction is one pass over whole texts
 without a shuffle; what is broadcast is the table of ``SLOTS`` masks, 8 MB for up to 64 languages.
 
 Null text or no letter: ``und`` with score 0. No n-gram known (or no labelled row at all: ``und``): the language with
 most labelled rows, score 0. Of two languages with equal counts the first by name is taken. Texts count whole, however
-long; copies of one labelled text share its hash, so a text repeated very often is in the sample with all its copies or
-not at all, and counts are taken before anything is shuffled. Empty tables give empty results; repeated rows and other columns don't matter.
+long; copies of a labelled text count as often as they occur, and counts are taken before anything is shuffled. Empty tables give empty results; repeated rows and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,17 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvidex.llm.common import plainly, table, without
+from corvidex.llm.common import materialize, plainly, table, without
 
-ROWS_PER_LANGUAGE = 2_000
 GRAMS_PER_LANGUAGE = 40_000
 SLOTS = 1 << 20
 HASHES = 3
 NEAR = 0.25
 #: What ``learn_with_floor`` asks of a text, and the share of labelled rows that may be junk or in another language.
 FLOOR, OUTLIERS = 0.5, 0.01
-#: Bytes of text that are looked up at once.
-SLICE = 1 << 20
+#: Bytes of text that are looked up at once, and those of one language that are counted at once.
+SLICE, COUNTED = 1 << 20, 1 << 22
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -142,52 +139,57 @@ class Model:
         return names, scores, known
 
 
-def _sample(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """The rows of (text, lang) that are learned from, and the number of labelled rows of each language."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return rows, sizes
-    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, ROWS_PER_LANGUAGE / n) * 1e6))]), F.col("lang"))
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit), sizes
+def _labelled(rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of (text, lang) that are learned from, and their number for each language."""
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    return rows, {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
 
 
 def learn(labelled: DataFrame) -> Model:
-    """Fit the filters on rows of (text, lang); see the module's docstring for what bounds the sample."""
-    return _learn(*_sample(labelled))
+    """Fit the filters on all rows of (text, lang)."""
+    return _learn(*_labelled(labelled))
 
 
 def learn_with_floor(labelled: DataFrame) -> tuple[Model, float]:
     """The model, and the least share of known n-grams for a text to be in a learned language: ``FLOOR`` times the share
     that all but ``OUTLIERS`` of the labelled rows reach. 0 without labelled rows."""
-    picked, sizes = _sample(labelled)
-    model = _learn(picked, sizes)
+    rows, sizes = _labelled(labelled)
+    model = _learn(rows, sizes)
     if not sizes:
         return model, 0.0
-    sent = picked.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"known": pa.array(sent.value.read(batch.column("text").to_pylist())[2], pa.float64())})
 
-    low = picked.where(F.length("text") > 0).mapInArrow(run, "known double").agg(F.percentile_approx("known", OUTLIERS, 10_000)).first()[0]
+    low = rows.where(F.length("text") > 0).mapInArrow(run, "known double").agg(F.percentile_approx("known", OUTLIERS, 10_000)).first()[0]
     return model, FLOOR * (low or 0.0)
 
 
-def _learn(picked: DataFrame, share: dict[str, int]) -> Model:
+def _learn(rows: DataFrame, share: dict[str, int]) -> Model:
     if not share:
         return Model([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0), UNKNOWN)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(lang: str, texts: list[bytes]) -> pa.RecordBatch:
+            gram, n = np.unique(grams(texts)[0], return_counts=True)
+            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(gram.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
         for batch in batches:
             by: dict[str, list[bytes]] = {}
+            size: dict[str, int] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 by.setdefault(lang, []).append(_folded(text))
+                size[lang] = size.get(lang, 0) + len(by[lang][-1])
+                if size[lang] >= COUNTED:
+                    yield counted(lang, by.pop(lang))
+                    size[lang] = 0
             for lang, texts in by.items():
-                gram, n = np.unique(grams(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(gram.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+                yield counted(lang, texts)
 
-    counted = picked.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Written once: what follows reads it three times.
+    counted = materialize(rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     # The totals of a language are one row each.
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))

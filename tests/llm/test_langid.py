@@ -78,3 +78,12 @@ def test_other_languages_and_noise_are_dropped(spark, docs_of):
     planted = docs_of([(-1, "Minulla on koira ja kissa, jotka asuvat talossa meren rannalla. " * 5), (-2, "xq zvk qjj wxz kqv zzx " * 20), (-3, "12 34 %% !!"), (-4, None)]).withColumn("lang", F.lit(None).cast("string"))
     kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.union(planted), None).collect()}
     assert not kept & {-1, -2, -3, -4} and len(kept) > 0.95 * docs.count()
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """2,500 rows of a language, each with a word of its own, twice: all of their n-grams are counted."""
+    word = lambda i: "q" + chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26)
+    rows = spark.createDataFrame([(f"{word(i)} {word(i)}", "aa") for i in range(2500)] + [("zzzz zzzz", "bb")], "text string, lang string")
+    for model in (langid.learn(rows), langid.learn_with_floor(rows)[0]):
+        names, scores = model.predict([word(i) for i in range(2500)])
+        assert set(names) == {"aa"} and min(scores) > 0
