@@ -147,22 +147,23 @@ def similar_pairs(labels: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame
 
     ``labels``: id, label, different labels. A bucket's members are first compared with its least, which is linear. What then
     still lies in several components of one bucket is compared pair by pair across them, so that no neighbour is left out;
-    a bucket holds only labels with the same numbers, as the guards keep all others apart.
+    a bucket holds only labels with the same numbers, as the guards keep all others apart. Both sides of each join grow with the
+    labels, so none is sent through the driver, whatever the sizes of their files promise.
     """
     held = checkpointed(bucketed(labels))
     rows = checkpointed(held.select("id", "label", "buckets", F.posexplode("buckets").alias("band", "bucket")))
     first = rows.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    star = rows.join(first, "bucket").where("id <> f.id").select(F.col("f.id").alias("a"), F.col("f.label").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
+    star = rows.join(first.hint("merge"), "bucket").where("id <> f.id").select(F.col("f.id").alias("a"), F.col("f.label").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
     found = checkpointed(_verified(star, least))
     roots = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = rows.join(first.select("bucket"), "bucket").join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    placed = rows.join(first.select("bucket").hint("merge"), "bucket").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("component", "id"))
     # Two members alone have been compared.
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 2").select("bucket")
-    left = checkpointed(placed.join(open_, "bucket").select("id", "label", "buckets", "band", "bucket", "root"))
+    left = checkpointed(placed.join(open_.hint("merge"), "bucket").select("id", "label", "buckets", "band", "bucket", "root"))
     x, y = left.alias("x"), left.alias("y")
     # A pair counts in the first bucket that it shares.
     shared = F.array_position(F.zip_with("x.buckets", "y.buckets", lambda a, b: a == b), True) == F.col("x.band") + 1
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & shared)
+    rest = x.join(y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & shared)
     return found.union(_verified(rest.select(F.col("x.id").alias("a"), F.col("x.label").alias("la"), F.col("y.id").alias("b"), F.col("y.label").alias("lb")), least))
 
 
@@ -171,8 +172,8 @@ def entities(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("id", F.col("label"), X.key(F.col("label")).alias("key"))
     exact = keyed.groupBy("key").agg(F.min("id").alias("first"), F.min_by("label", "id").alias("label"))
     found = components(similar_pairs(exact.select(F.col("first").alias("id"), "label")).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    merged = exact.join(found.select(F.col("id").alias("first"), F.col("component").alias("root")), "first", "left")
-    return keyed.join(merged.select("key", F.coalesce("root", "first").alias("canonical")), "key").select("id", "canonical")
+    merged = exact.join(found.select(F.col("id").alias("first"), F.col("component").alias("root")).hint("merge"), "first", "left")
+    return keyed.join(merged.select("key", F.coalesce("root", "first").alias("canonical")).hint("merge"), "key").select("id", "canonical")
 
 
 def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -76,3 +76,12 @@ def test_lsh_parameters():
         least = min(wrong(b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1))
         assert wrong(bands, rows) <= least + 1e-3
     assert dedup.lsh_parameters(1.0, 4) == (1, 4) and dedup.lsh_parameters(0.0, 4) == (4, 1) and dedup.lsh_parameters(0.5, 1) == (1, 1)
+
+
+def test_labels_are_not_sent_through_the_driver(spark):
+    rows = spark.createDataFrame([(1, "large ring"), (2, "Large  Ring"), (3, "widget assembly line"), (4, "widget asembly line")], "id long, label string")
+    out = dedup.entities(rows)
+    assert {r["id"]: r["canonical"] for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joined = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joined) >= 2
