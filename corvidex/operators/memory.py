@@ -156,12 +156,12 @@ def reconcile(old: DataFrame, new: DataFrame, key: str, same: float = 0.6, relat
     w = lambda df: df.select("id", key, F.array_sort(F.array_distinct(X.words(F.col("text")))).alias("w"))
     asked = w(new)
     a, b = asked.select(key, "w").distinct(), w(old).groupBy(key, F.col("w").alias("v")).agg(F.min("id").alias("old_id"))
-    pairs = a.join(b, key, "left")
+    pairs = a.join(b.hint("merge"), key, "left")
     j, o = X.jaccard(F.col("w"), F.col("v")), X.overlap(X.content(F.col("w")), X.content(F.col("v")))
     scored = pairs.withColumn("__same", F.coalesce(j, F.lit(-1.0))).withColumn("__near", F.coalesce(o, F.lit(-1.0)))
     score = lambda c: F.struct(F.col(c), -F.col("old_id"))
     best = scored.groupBy(key, "w").agg(F.max_by("old_id", score("__same")).alias("s"), F.max("__same").alias("js"), F.max_by("old_id", score("__near")).alias("o"), F.max("__near").alias("no"))
     named = best.withColumnsRenamed({key: "__key", "w": "__w"})
-    each = asked.join(named, F.col(key).eqNullSafe(F.col("__key")) & F.col("w").eqNullSafe(F.col("__w"))).groupBy("id").agg(F.max_by("s", F.struct("js", -F.col("s"))).alias("s"), F.max("js").alias("js"), F.max_by("o", F.struct("no", -F.col("o"))).alias("o"), F.max("no").alias("no"))
+    each = asked.join(named.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & F.col("w").eqNullSafe(F.col("__w"))).groupBy("id").agg(F.max_by("s", F.struct("js", -F.col("s"))).alias("s"), F.max("js").alias("js"), F.max_by("o", F.struct("no", -F.col("o"))).alias("o"), F.max("no").alias("no"))
     event = F.when(F.col("js") >= same, "NONE").when(F.col("no") >= related, "UPDATE").otherwise("ADD")
     return each.select("id", event.alias("event"), F.when(event == "NONE", F.col("s")).when(event == "UPDATE", F.col("o")).alias("old_id"))
