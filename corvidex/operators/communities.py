@@ -4,8 +4,9 @@ In a round every node looks at the communities of its neighbours and goes where
 community. Only half of the nodes have their turn in a round, the other half in the next, by a hash of their id, and a node alone joins
 another one alone only if that one's community is the lesser, so that neighbours don't swap for ever; a state that is worse
 than the best one so far isn't kept. Then each community is cut into parts by the same moves, from single nodes on and along
-its own edges only; the parts are the nodes of the next level, which starts from the communities. It ends when a level
-changes nothing. At last, communities that aren't connected are cut into their components.
+its own edges only; the parts are the nodes of the next level, which starts from the communities. Where a level gains nothing
+to speak of, or nothing can be merged into parts, its communities are the nodes of the next level, so that there are few
+levels. It ends when every node of a level is a community. At last, communities that aren't connected are cut into their components.
 
 Each level's edges are written once. A round reads them and writes one row a node; nothing is collected but sums.
 Weights are whole numbers, whose sums don't depend on their order, so that results are the same in each run.
@@ -13,7 +14,7 @@ Weights are whole numbers, whose sums don't depend on their order, so that resul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corvidex.operators import graph
@@ -23,8 +24,8 @@ from corvidex.sources.tables import written
 #: size whose cohesion is below this bound.
 SHARE, LEAST_CUT, LEAST_COHESION, LEAST_SPARSE = 0.25, 10, 0.05, 50
 #: Growth of modularity that counts as such: at least this, and this share of what a level has gained; rounds without it
-#: that end a level's moves, so that each node had a turn.
-GROWTH, OF_GAINED, STALE = 1e-4, 0.05, 2
+#: that end a level's moves, so that each node had a turn; the share of what all levels have gained that makes one worth refining.
+GROWTH, OF_GAINED, STALE, OF_ALL = 1e-4, 0.05, 2, 0.01
 #: Rounds of a refinement: each node has one turn.
 REFINING = 2
 
@@ -45,8 +46,8 @@ def _nodes(both: DataFrame, group: DataFrame | None = None) -> DataFrame:
     return k.join(k.groupBy("g").agg(F.sum("k").alias("m2")), "g").select("id", "k", "m2", F.col("id").alias("community"))
 
 
-def _moved(both: DataFrame, nodes: DataFrame, resolution: float, rounds: int | None = None) -> DataFrame:
-    """``nodes`` with the communities of the best state that local moves reach, or of that after ``rounds``."""
+def _moved(both: DataFrame, nodes: DataFrame, resolution: float, rounds: int | None = None) -> tuple[DataFrame, float]:
+    """``nodes`` with the communities of the best state that local moves reach and what it gains, or of that after ``rounds``."""
     edges = both.where("src <> dst")
     now, best, best_q, first_q, stale, turn = nodes, nodes, None, None, 0, 0
     while True:
@@ -63,20 +64,21 @@ def _moved(both: DataFrame, nodes: DataFrame, resolution: float, rounds: int | N
         mine = F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn % 2, F.lit(2)) == 0
         # Each node has its share of what the state before its move is worth.
         share = (F.col("own_w") - resolution * F.col("k") * F.col("own_total") / F.col("m2")) / F.col("m2")
-        step = written(choice.select("id", "k", "m2", "own", F.when(better & mine, F.col("to.community")).otherwise(F.col("own")).alias("community"), better.alias("better"), F.round(share, 15).cast("decimal(38,15)").alias("share")), "moves")
+        sums = Observation()
+        chosen = choice.select("id", "k", "m2", "own", F.when(better & mine, F.col("to.community")).otherwise(F.col("own")).alias("community"), better.alias("better"), F.round(share, 15).cast("decimal(38,15)").alias("share"))
+        step = written(chosen.observe(sums, F.sum("share").alias("q"), F.count_if("better").alias("left")), "moves")
         if turn + 1 == rounds:
-            return step.select("id", "k", "m2", "community")
+            return step.select("id", "k", "m2", "community"), 0.0
         now, turn = step.select("id", "k", "m2", "community"), turn + 1
         if rounds is not None:
             continue
-        q, left = step.agg(F.sum("share"), F.count_if("better")).first()
-        q = float(q)
+        q, left = float(sums.get["q"]), sums.get["left"]
         first_q = q if first_q is None else first_q
         stale = 0 if best_q is None or q > best_q + max(GROWTH, OF_GAINED * (best_q - first_q)) else stale + 1
         if best_q is None or q > best_q:
             best_q, best = q, step.select("id", "k", "m2", F.col("own").alias("community"))
         if not left or stale == STALE:
-            return best
+            return best, best_q - first_q
 
 
 def _within(both: DataFrame, groups: DataFrame) -> DataFrame:
@@ -87,14 +89,18 @@ def _within(both: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _leiden(both: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
     """id, community of all ``nodes``."""
-    place = nodes.select("id", F.col("id").alias("at"))
+    place, every = nodes.select("id", F.col("id").alias("at")), 0.0
     while True:
-        found = written(_moved(both, nodes, resolution), "communities")
-        n = found.count()
-        parts = written(_moved(_within(both, found), found.withColumn("community", F.col("id")), resolution, REFINING).select("id", F.col("community").alias("part")), "parts")
-        known = found.join(parts, "id")
-        if parts.select("part").distinct().count() == n:
+        found, gained = _moved(both, nodes, resolution)
+        every += gained
+        n, groups = found.agg(F.count("*"), F.count_distinct("community")).first()
+        if groups == n:
             return place.join(found.select(F.col("id").alias("at"), "community"), "at").select("id", "community")
+        parts = found.select("id", F.col("community").alias("part"))
+        if gained > max(GROWTH, OF_ALL * every):
+            refined = _moved(_within(both, found), found.withColumn("community", F.col("id")), resolution, REFINING)[0].select("id", F.col("community").alias("part"))
+            parts = refined if refined.select("part").distinct().count() < n else parts
+        known = found.join(parts, "id")
         # A part's community is that of its members.
         nodes = written(known.groupBy(F.col("part").alias("id")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2"), F.min("community").alias("community")), "level")
         place = written(place.join(parts.select(F.col("id").alias("at"), "part"), "at").select("id", F.col("part").alias("at")), "places")

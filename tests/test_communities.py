@@ -124,3 +124,14 @@ def test_large_communities_are_cut_again(spark):
     place = found(C.communities(edges, "w", resolution=0.05))
     assert sorted(Counter(place.values()).values()) == [7, 7, 7, 7]
     assert found(C.communities(edges.repartition(3), "w", resolution=0.05)) == place  # the same in each run
+
+
+def test_few_levels_on_a_graph_without_communities(spark, monkeypatch):
+    draw, calls = random.Random(3), []
+    edges = [(draw.randrange(40), 100 + draw.randrange(400), 1) for _ in range(3000)]
+    moved = C._moved
+    monkeypatch.setattr(C, "_moved", lambda *a: calls.append(1) or moved(*a))
+    place = found(C.partition(C.written(C.both_ways(graph(spark, edges), "w"), "test")))
+    assert connected(edges, place)
+    assert modularity(edges, place) >= modularity(edges, louvain(edges)) - 0.005
+    assert len(calls) <= 8  # moves and refinements; a level that hardly gains anything is not refined
