@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from corvidex.operators.graph import components
 from corvidex.sources.tables import spread, written
 
 LEAST_ENTROPY, LEAST_JACCARD, LEAST_LENGTH, LEAST_WORDS = 1.5, 0.9, 6, 2
+#: New and known facts of one end that are scored at once.
+NEW_AT_ONCE, FACTS_AT_ONCE = 256, 4096
 
 
 def exact_key(name: Column) -> Column:
@@ -139,13 +143,62 @@ def survivors(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.min_by(F.struct("label", "path"), rank).alias("r")).select("id", "r.label", "r.path")
 
 
+def _ends(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, end, v, dims of facts with a whole vector, a row for each end; vectors of other lengths have no cosine."""
+    whole = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    return whole.select(F.col("id").alias(key), F.explode(F.array_distinct(F.array("src", "dst"))).alias("end"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dims")).where("end IS NOT NULL")
+
+
+def _best_of_block(a: np.ndarray, b: np.ndarray, same: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and cosine of the ``most`` best columns of each row above ``least``, ties to the first; sums go one number
+    after the other, as ``X.cosine`` adds them."""
+    dot, sizes = np.zeros((len(a), len(b))), []
+    for i in range(a.shape[1]):
+        dot += a[:, i, None] * b[None, :, i]
+    for m in (a, b):
+        square = np.zeros(len(m))
+        for i in range(m.shape[1]):
+            square += m[:, i] * m[:, i]
+        sizes.append(np.sqrt(square))
+    size = sizes[0][:, None] * sizes[1][None, :]
+    score = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+    score[same] = -np.inf
+    if len(b) > most:
+        bar = np.partition(score, len(b) - most, axis=1)[:, len(b) - most, None]
+        above, at = score > bar, score == bar
+        kept = above | (at & (at.cumsum(axis=1) <= most - above.sum(axis=1, keepdims=True)))
+    else:
+        kept = np.ones(score.shape, bool)
+    row, column = np.nonzero(kept & (score > least))
+    return row, column, score[row, column]
+
+
 def invalidation_candidates(new: DataFrame, facts: DataFrame, vector: str, least: float, most: int) -> DataFrame:
     """id, fact_id, score: for each new fact (id, src, dst, vector) the ``most`` known facts that touch either of its ends
-    with a cosine above ``least``. Two joins on equal ends, not one on either."""
-    ends = lambda df, key: df.select(F.col("id").alias(key), F.explode(F.array_distinct(F.array("src", "dst"))).alias("end"))
-    pairs = ends(new, "id").join(ends(facts, "fact_id"), "end").where("id <> fact_id").select("id", "fact_id").distinct()
-    both = pairs.join(new.select("id", F.col(vector).alias("x")), "id").join(facts.select(F.col("id").alias("fact_id"), F.col(vector).alias("y")), "fact_id")
-    scored = both.select("id", "fact_id", X.cosine(F.col("x"), F.col("y")).alias("score")).where(F.col("score") > least)
+    with a cosine above ``least``.
+
+    The facts of an end are cut into blocks by a hash, and so are the new ones; a task scores a block against a block and
+    hands on the best of each new fact. No pair is a row before that, and a block doesn't grow with an end.
+    """
+    a, b = _ends(new, "id", vector), _ends(facts, "fact_id", vector)
+    count = lambda rows, at_once, name: rows.groupBy("end", "dims").agg(F.ceil(F.count("*") / at_once).cast("int").alias(name))
+    sizes = count(a, NEW_AT_ONCE, "n").join(count(b, FACTS_AT_ONCE, "m"), ["end", "dims"])
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, at = ["end", "dims", "i", "j"], sizes.hint("merge")
+    left = a.join(at, ["end", "dims"]).select("id", "v", "end", "dims", own("id", "n").alias("i"), every("m").alias("j"))
+    right = b.join(at, ["end", "dims"]).select("fact_id", "v", "end", "dims", own("fact_id", "m").alias("j"), every("n").alias("i"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"id": x["id"][:0], "fact_id": y["fact_id"][:0], "score": np.zeros(0)})
+        y = y.sort_values("fact_id")
+        ids, others = x["id"].to_numpy(), y["fact_id"].to_numpy()
+        row, column, score = _best_of_block(np.stack(x["v"].to_list()), np.stack(y["v"].to_list()), ids[:, None] == others[None, :], least, most)
+        return pd.DataFrame({"id": ids[row], "fact_id": others[column], "score": score})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"id {kind(a, 'id')}, fact_id {kind(b, 'fact_id')}, score double").distinct()  # a pair may share two ends
     place = Window.partitionBy("id").orderBy(F.desc("score"), "fact_id")
     return scored.withColumn("k", F.row_number().over(place)).where(F.col("k") <= most).select("id", "fact_id", "score")
 

@@ -119,3 +119,24 @@ def test_postings_of_one_folder_are_written_by_several_tasks(spark):
     one = postings.where(postings["term"].startswith("aa"))
     assert one.select("folder").distinct().count() == 1
     assert one.select(F.input_file_name()).distinct().count() > 2
+
+
+def test_invalidation_scores_blocks_and_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "FACTS_AT_ONCE", 50)
+    monkeypatch.setattr(resolution, "NEW_AT_ONCE", 7)
+    draw = random.Random(8)
+    vectors = [[float(draw.randint(-2, 2)) for _ in range(3)] for _ in range(20)] + [[0.0, 0.0, 0.0], None]
+    rows = [(i, draw.choice([1, 1, 1, 2, None]), draw.choice([1, 3, 4]), draw.choice(vectors)) for i in range(400)]
+    facts = spark.createDataFrame(rows, "id long, src int, dst int, v array<double>")
+
+    def cosine(a, b):
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+
+    want = []
+    for i, s, d, v in rows[::5]:
+        mine = [(-cosine(v, w), j) for j, a, b, w in rows if v and w and j != i and {s, d} & {a, b} - {None}]
+        want += [(i, j, -c) for c, j in sorted(mine)[:3] if -c > 0.1]
+    out = resolution.invalidation_candidates(facts.where("id % 5 = 0"), facts, "v", 0.1, 3)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    assert most_rows(out) <= 400 * 2 * 12  # blocks of new facts, not new facts
