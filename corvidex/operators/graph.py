@@ -10,7 +10,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvidex.sources.tables import checkpointed, written
+from corvidex.sources.tables import checkpointed, dealt, written
 
 #: Of label propagation: no graph has needed so many rounds; only labels that swing with a longer period get there.
 MOST_ROUNDS = 200
@@ -101,15 +101,16 @@ def label_propagation(edges: DataFrame, rounds: int | None = None, weight: str |
     Without ``rounds`` it goes on until nothing changes. Labels may swing for ever; as a round depends on the labels alone,
     it stops as soon as they are what they were after any earlier round, with these. ``MOST_ROUNDS`` bounds longer swings.
     """
-    ends = edges.select("src", "dst", (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    ends = written(edges.select("src", "dst", (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")), "ends")
     turned = ends.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    both = checkpointed(ends.union(turned).groupBy("src", "dst").agg((F.sum("n") if weight else F.lit(1).cast("long")).alias("n")))
+    both = written(dealt(ends.union(turned), 2 * ends.count(), "src", "dst").groupBy("src", "dst").agg((F.sum("n") if weight else F.lit(1).cast("long")).alias("n")), "edges")
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    seen: set = set()
+    rows, seen = both.count(), set()
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
-        votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("n").alias("n"))
+        near = dealt(both, rows, "dst").join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label", "n")
+        votes = dealt(near, rows, "id").groupBy("id", "label").agg(F.sum("n").alias("n"))
         best = votes.groupBy("id").agg(F.max(F.struct("n", "label")).alias("m"))
-        labels = checkpointed(labels.join(best, "id").select("id", F.when(F.col("m.n") > 1, F.col("m.label")).otherwise(F.greatest("m.label", "label")).alias("label")))
+        labels = written(labels.join(best, "id").select("id", F.when(F.col("m.n") > 1, F.col("m.label")).otherwise(F.greatest("m.label", "label")).alias("label")), "labels")
         if rounds is None:
             now = tuple(labels.agg(*[F.sum(F.xxhash64(F.lit(s), "id", "label").cast("decimal(38,0)")) for s in (1, 2)]).first())
             if now in seen:
@@ -411,6 +412,10 @@ def open_questions(nodes: DataFrame, edges: DataFrame, groups: DataFrame, top: i
     """kind, id of what a graph leaves open: ambiguous edges (src), nodes that join most communities (bridge), and nodes with
     no edge or one (isolated), at most ``top`` each."""
     doubtful = edges.where("confidence = 'AMBIGUOUS'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(top)
-    other = undirected(edges).join(groups.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id")).agg(F.count_distinct("community").alias("n")).where("n > 1").orderBy(F.desc("n"), "id").limit(top)
+    # Repeated edges change no number of different communities, so that they needn't be made different first.
+    rows = 2 * edges.count()
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = dealt(both, rows, "dst").join(groups.select(F.col("id").alias("dst"), "community"), "dst").select(F.col("src").alias("id"), "community")
+    other = dealt(near, rows, "id").distinct().groupBy("id").agg(F.count("community").alias("n")).where("n > 1").orderBy(F.desc("n"), "id").limit(top)
     lone = nodes.select("id").join(degree(edges), "id", "left").where("coalesce(degree, 0) <= 1").orderBy("id").limit(top)
     return doubtful.select(F.lit("ambiguous").alias("kind"), "id").union(other.select(F.lit("bridge"), "id")).union(lone.select(F.lit("isolated"), "id"))

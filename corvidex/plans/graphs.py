@@ -11,6 +11,7 @@ from corvidex.operators import extraction as X
 from corvidex.operators import flows as W
 from corvidex.operators import graph as G
 from corvidex.plans.base import Tables, query
+from corvidex.sources.tables import dealt
 
 _EDGES = """e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
@@ -25,7 +26,7 @@ def places(t: Tables) -> DataFrame:
 
 def weighted_supply(lines: DataFrame) -> DataFrame:
     """src (supplier), dst (part), n: the number of ``lines`` that name both."""
-    return lines.groupBy(F.col("l_suppkey").cast("long").alias("src"), (1_000_000 + F.col("l_partkey")).cast("long").alias("dst")).agg(F.count("*").alias("n"))
+    return dealt(lines, lines.count(), "l_suppkey", "l_partkey").groupBy(F.col("l_suppkey").cast("long").alias("src"), (1_000_000 + F.col("l_partkey")).cast("long").alias("dst")).agg(F.count("*").alias("n"))
 
 
 def supply(t: Tables) -> DataFrame:

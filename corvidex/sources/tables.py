@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers each that a task of ``dealt`` gets.
+ROWS_A_TASK = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many parts as about ``rows`` rows need, so that what a task sorts or adds up doesn't grow with
+    them: adaptive execution would make parts larger before it makes more of them. As it is, if the cores are parts enough."""
+    parts = -(-rows // ROWS_A_TASK)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Last writer wins: of each key the row with the greatest ``order``. Aggregates before it shuffles."""
     rest = [c for c in rows.columns if c not in keys]

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from corvidex.operators import fts, linking, memory, relational, resolution
+from corvidex.operators import fts, graph, linking, memory, relational, resolution
+from corvidex.sources import tables
 
 
 def nodes(plan):
@@ -140,3 +141,15 @@ def test_invalidation_scores_blocks_and_makes_no_pairs(spark, monkeypatch):
     out = resolution.invalidation_candidates(facts.where("id % 5 = 0"), facts, "v", 0.1, 3)
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     assert most_rows(out) <= 400 * 2 * 12  # blocks of new facts, not new facts
+
+
+def test_large_inputs_are_dealt_into_more_parts_with_the_same_results(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = spark.createDataFrame([(draw.randrange(20), 100 + draw.randrange(30), draw.choice("RN")) for _ in range(300)], "src long, dst long, r string")
+    edges = rows.select("src", "dst", F.when(F.col("r") == "R", "AMBIGUOUS").alias("confidence"))
+    groups = spark.range(130).select("id", (F.col("id") % 7).alias("community"))
+    queries = (lambda: graph.label_propagation(edges, 3), lambda: graph.open_questions(groups.select("id"), edges, groups), lambda: relational.cooccurrence(rows, "src", "dst"))
+    few = [sorted(map(tuple, q().collect())) for q in queries]
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 20)
+    assert [sorted(map(tuple, q().collect())) for q in queries] == few
+    assert tables.dealt(edges, 300, "src").rdd.getNumPartitions() == 15
