@@ -97,3 +97,9 @@ def test_random_extraction_against_plain_python(spark):
     built = E.build(spark.createDataFrame(nodes, NODES).repartition(5), spark.createDataFrame(edges, EDGES).repartition(5))
     assert {(r["src"], r["dst"]): r["relation"] for r in built.edges.collect()} == {p: r for p, (_, r) in want.items()}
     assert {tuple(r) for r in built.merged.collect()} == set(merged.items())
+
+
+def test_steps_are_read_back_from_tables(spark):
+    nodes = spark.createDataFrame([("a", "A", "x.py"), ("b", "B", "y.py")], "id string, label string, source_file string")
+    edges = spark.createDataFrame([("a", "b", "calls")], "src string, dst string, relation string")
+    assert E.build(nodes, edges).edges.inputFiles()  # written once, not computed twice for a checkpoint
