@@ -216,7 +216,8 @@ def densest_window(text: Column, keywords: list[str], size: int, steps: int = 40
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Optimal string alignment of two short words: Levenshtein with swaps of neighbours, one row of the table at a time."""
+    """Optimal string alignment of two short words: Levenshtein with swaps of neighbours, one row of the table at a time. Words
+    that are one letter apart, or equal, have no swap that is shorter, and get plain Levenshtein, which the engine has itself."""
     letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     y = letters(b)
 
@@ -233,4 +234,5 @@ def edit_distance(a: Column, b: Column) -> Column:
 
     first = F.sequence(F.lit(0), F.size(y))
     start = F.struct(first.alias("old"), first.alias("now"), F.lit("").alias("c"), F.lit(0).alias("n"))
-    return F.aggregate(letters(a), start, row, lambda acc: F.element_at(acc["now"], -1))
+    plain = F.levenshtein(a, b)
+    return F.when(plain <= 1, plain).otherwise(F.aggregate(letters(a), start, row, lambda acc: F.element_at(acc["now"], -1)))
