@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from corvidex.functions import porter
 from corvidex.functions import text as X
+from corvidex.functions.secrets import bound
 from corvidex.operators.retrieval import B, K1, MAX_TERMS
-from corvidex.sources.tables import written
+from corvidex.sources.tables import spread, written
 
 FOLDERS = 256
 
@@ -110,14 +111,32 @@ def phrase(index: Index, docs: DataFrame, key: str, column: str, query: str) ->
     return docs.join(keys, key, "left_semi").where(line.contains(" " + " ".join(wanted) + " ")).select(key)
 
 
+def _gathered(pairs: Column) -> Column:
+    """An array of (term, at) to one of (term, at: all of them), by sorting it: what has one term then lies in a row."""
+
+    def cut(x: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(x) + 1), lambda i: (i == 1) | (i > F.size(x)) | (F.get(x, i - 1)["term"] != F.get(x, i - 2)["term"]))
+        run = lambda all_, i, k: F.struct(F.get(x, i - 1)["term"].alias("term"), F.transform(F.slice(x, i, F.get(all_, k + 1) - i), lambda y: y["at"]).alias("at"))
+        return bound(begins, lambda all_: F.transform(F.slice(all_, 1, F.size(all_) - 1), lambda i, k: run(all_, i, k)))
+
+    return bound(F.sort_array(pairs), cut)
+
+
+def _placed(words: Column, stemmed: bool) -> Column:
+    """The words of a text as an array of (term, at: sorted places); each different word is stemmed once."""
+    found = _gathered(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+    if not stemmed:
+        return found
+    by_stem = lambda x: F.zip_with(porter.stems(F.transform(x, lambda y: y["term"])), x, lambda s, y: F.struct(s.alias("term"), y["at"].alias("at")))
+    return F.transform(_gathered(bound(found, by_stem)), lambda y: F.struct(y["term"].alias("term"), F.sort_array(F.flatten(y["at"])).alias("at")))
+
+
 def places(docs: DataFrame, key: str, columns: Sequence[str], stemmed: bool = False) -> DataFrame:
-    """term, key, field, at (sorted array): where words stand in each column. A null column has none."""
-    dealt = docs.select(key, *columns).repartition(key)
-    listed = dealt.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), X.words(F.coalesce(F.col(c), F.lit(""))).alias("words")) for c in columns])).alias("f"))
-    rows = listed.select(key, "f.field", F.posexplode("f.words").alias("pos", "term")).groupBy(key, "field", "term").agg(F.collect_list("pos").alias("at"))
-    if stemmed:
-        rows = rows.groupBy(key, "field", porter.stem(F.col("term")).alias("term")).agg(F.flatten(F.collect_list("at")).alias("at"))
-    return written(rows.select("term", key, "field", F.sort_array("at").alias("at"), _folder(F.col("term")).alias("folder")).hint("rebalance", "folder"), "places", by=["folder"])
+    """term, key, field, at (sorted array): where words stand in each column. A null column has none. A text's words are
+    gathered within its row; only what is written is shuffled, once."""
+    listed = [F.struct(F.lit(c).alias("field"), _placed(X.words(F.coalesce(F.col(c), F.lit(""))), stemmed).alias("terms")) for c in columns]
+    rows = spread(docs.select(key, *columns)).select(key, F.explode(F.array(*listed)).alias("f")).select(key, "f.field", F.explode("f.terms").alias("t"))
+    return written(rows.select("t.term", key, "field", "t.at", _folder(F.col("t.term")).alias("folder")).hint("rebalance", "folder"), "places", by=["folder"])
 
 
 def in_a_row(places: DataFrame, key: str, query: str, stemmed: bool = False) -> DataFrame:

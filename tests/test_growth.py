@@ -153,3 +153,25 @@ def test_large_inputs_are_dealt_into_more_parts_with_the_same_results(spark, mon
     monkeypatch.setattr(tables, "ROWS_A_TASK", 20)
     assert [sorted(map(tuple, q().collect())) for q in queries] == few
     assert tables.dealt(edges, 300, "src").rdd.getNumPartitions() == 15
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_places_are_gathered_within_rows_and_shuffled_once(spark, monkeypatch):
+    draw, seen = random.Random(6), []
+    monkeypatch.setattr(fts, "written", lambda df, label, by=(): seen.append(df) or tables.written(df, label, by))
+    texts = [(i, " ".join(draw.choice(["Run", "running", "runs", "a", "the", "ties", "x" * 70]) for _ in range(draw.randrange(60)))) for i in range(40)] + [(40, None), (41, " . ")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    stem = {"running": "run", "runs": "run", "ties": "ti"}
+    for stemmed in (False, True):
+        want = {}
+        for i, t in texts:
+            for at, w in enumerate(w.lower() for w in (t or "").split() if w != "."):
+                want.setdefault((stem.get(w, w) if stemmed else w, i), []).append(at)
+        out = fts.places(docs, "id", ["text"], stemmed=stemmed)
+        assert {(r["term"], r["id"]): r["at"] for r in out.collect()} == want
+        assert out.count() == len(want)
+    assert [exchanges(df) for df in seen] == [1, 1]
+    assert not any("Aggregate" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
