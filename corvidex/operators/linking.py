@@ -34,9 +34,14 @@ def mention_links(texts: DataFrame, labels: DataFrame, key: str, text: str, gene
 
 
 def imported(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls (file, name) x imports (file, name, module) x symbols (module, name, id): the calls with one target only."""
-    known = calls.select("file", "name").distinct().join(imports.select("file", "name", "module").distinct(), ["file", "name"]).join(symbols.select("module", "name", "id").distinct(), ["module", "name"])
-    return known.groupBy("file", "name").agg(F.count_distinct("id").alias("k"), F.min("id").alias("id")).where("k = 1").select("file", "name", "id")
+    """Calls (file, name) x imports (file, name, module) x symbols (module, name, id): the calls with one target only.
+
+    Of a module's name the least and the greatest id say whether there is another one, so that no import meets symbols one by
+    one and repeats need not be taken out first.
+    """
+    targets = symbols.groupBy("module", "name").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    known = imports.select("file", "name", "module").join(targets, ["module", "name"]).groupBy("file", "name").agg(F.min("least").alias("id"), F.max("most").alias("most"))
+    return known.where(F.col("id") == F.col("most")).join(calls.select("file", "name"), ["file", "name"], "left_semi").select("file", "name", "id")
 
 
 def folder(path: Column) -> Column:

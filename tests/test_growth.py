@@ -175,3 +175,19 @@ def test_places_are_gathered_within_rows_and_shuffled_once(spark, monkeypatch):
         assert out.count() == len(want)
     assert [exchanges(df) for df in seen] == [1, 1]
     assert not any("Aggregate" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
+
+
+def test_imports_do_not_meet_the_symbols_of_a_module_one_by_one(spark):
+    draw = random.Random(9)
+    calls = [(i % 40, draw.choice("ab")) for i in range(60)] + [(None, "a")]
+    imports = [(i, n, draw.randrange(6)) for i in range(40) for n in "abc" for _ in range(4)] + [(None, "a", 1), (3, "a", None)]
+    symbols = [(m, "a", draw.choice([7, None]) if m < 3 else i) for m in range(5) for i in range(500)] + [(2, "b", 1), (4, "b", 1), (5, "b", None), (None, "a", 2)]
+    want = {}
+    for f, n in set(calls):
+        ids = {i for g, k, m in imports if (g, k) == (f, n) and None not in (f, m) for o, x, i in symbols if (o, x) == (m, n)} - {None}
+        if len(ids) == 1:
+            want[f, n] = ids.pop()
+    out = linking.imported(spark.createDataFrame(calls, "file long, name string"), spark.createDataFrame(imports, "file long, name string, module long"), spark.createDataFrame(symbols, "module long, name string, id long"))
+    got = [(r["file"], r["name"], r["id"]) for r in out.collect()]
+    assert want and len(got) == len(want) and {(f, n): i for f, n, i in got} == want
+    assert most_rows(out) <= len(symbols)
