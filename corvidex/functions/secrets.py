@@ -23,7 +23,7 @@ SHAPES: tuple[tuple[str, tuple[str, ...], str], ...] = (
     ("url-credentials", ("://",), r"(?<=://)[^\s/:@'\"<>]+:[^\s/'\"<>]*(?=@[^@\s/'\"<>]+(?:[/:?#\s'\"<>]|$))"),
     ("basic-auth", ("authorization",), r"(?i)(authorization\s*[:=]\s*['\"]?(?:basic|digest)\s+)[A-Za-z0-9+/=_-]{8,}"),
     ("aws-secret-key", ("aws",), r"(?i)(aws[_-]?secret[_-]?(?:access[_-]?)?key[\"']?\s*[:=]\s*[\"']?)[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])"),
-    ("aws-secret-key-bare", (), r"(?<![A-Za-z0-9/+=_.-])(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}\d)[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-]|\.[A-Za-z0-9])"),
+    ("aws-secret-key-bare", (), r"(?<![A-Za-z0-9/+=_.-])(?=[A-Za-z0-9/+]{40})(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}\d)[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-]|\.[A-Za-z0-9])"),
     ("slack-webhook", ("hooks.slack.com",), r"https://hooks\.slack\.com/(?:services|workflows|triggers)/[A-Za-z0-9/_-]{16,}"),
     ("huggingface-token", ("hf_",), _WORD_START + r"hf_[A-Za-z0-9]{34,}"),
     ("github-token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), _WORD_START + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{50,255})"),
@@ -109,12 +109,11 @@ def redact_shapes(text: Column) -> Column:
 def redact_pairs(text: Column) -> Column:
     """Values of credential-looking names and flags, and what follows ``bearer``."""
 
-    def pairs(x: Column) -> Column:
-        low = F.lower(x)
+    def pairs(x: Column, low: Column) -> Column:
         named = F.when(_has(low, NAME_WORDS), spliced(spliced(x, PAIR, _pair), FLAG, _flag)).otherwise(x)
         return bound(named, lambda y: F.when(low.contains("bearer"), F.regexp_replace(y, BEARER, f"$1 {MASK}")).otherwise(y))
 
-    return bound(text, pairs)
+    return bound(text, lambda x: bound(F.lower(x), lambda low: pairs(x, low)))
 
 
 def redact(text: Column) -> Column:
@@ -124,10 +123,9 @@ def redact(text: Column) -> Column:
 def hits(text: Column) -> Column:
     """Names of the shapes that a text has, ``key-value`` for a masked pair, flag or bearer word; never the values."""
 
-    def found(whole: Column) -> Column:
-        low = F.lower(whole)
+    def found(whole: Column, low: Column) -> Column:
         shapes = [F.when(_has(low, keywords) & whole.rlike(pattern), name) for name, keywords, pattern in SHAPES]
-        pair = F.when(redact_pairs(whole) != whole, "key-value").when(whole.rlike(BEARER), "key-value")
+        pair = F.when(_has(low, (*NAME_WORDS, "bearer")) & ((redact_pairs(whole) != whole) | whole.rlike(BEARER)), "key-value")
         return F.array_compact(F.array(*shapes, pair))
 
-    return bound(text, found)
+    return bound(text, lambda whole: bound(F.lower(whole), lambda low: found(whole, low)))
