@@ -58,5 +58,5 @@ def redact(rows: DataFrame, key: str, value: str, masked: Callable[[Column], Col
     shown = plain.withColumn("__shown", F.when(F.col("__text").isNull(), None).when(F.coalesce(whole, F.lit(False)), secrets.MASK).otherwise(masked(F.col("__text"))))
     quoted = F.to_json(F.array("__shown"))
     out = F.when(F.col("__shown") != F.col("__text"), F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(_unfolded(piece))
-    joined = shown.select("__key", "__at", out.alias("__out")).groupBy("__key").agg(F.array_sort(F.collect_list(F.when(F.col("__out").isNotNull(), F.struct("__at", "__out")))).alias("__all"))
+    joined = shown.select("__key", "__at", out.alias("__out")).groupBy("__key").agg(F.sort_array(F.collect_list(F.when(F.col("__out").isNotNull(), F.struct("__at", "__out")))).alias("__all"))
     return joined.select(F.col("__key").alias(key), F.when(F.size("__all") > 0, F.array_join(F.transform("__all", lambda x: x["__out"]), "")).alias(value))

@@ -130,3 +130,8 @@ def test_a_text_is_lower_cased_once_for_all_shapes(spark):
     for f, most in ((S.hits, 4), (S.redact_pairs, 3)):  # two of them for values, which a verdict compares in lower case
         plan = spark.range(1).select(f(F.col("id").cast("string")).alias("h"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("lower(") <= most
+
+
+def test_pieces_are_put_in_order_without_a_comparison_function(spark):
+    rows = spark.createDataFrame([(1, '{"a": [1, "x"]}')], "id int, v string")
+    assert "array_sort(" not in nested.redact(rows, "id", "v")._jdf.queryExecution().analyzed().toString()
