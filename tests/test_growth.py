@@ -3,9 +3,10 @@ against brute force."""
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from corvidex.operators import fts, graph, linking, memory, relational, resolution
+from corvidex.operators import chunks, fts, graph, linking, memory, relational, resolution
 from corvidex.sources import tables
 
 
@@ -191,3 +192,15 @@ def test_imports_do_not_meet_the_symbols_of_a_module_one_by_one(spark):
     got = [(r["file"], r["name"], r["id"]) for r in out.collect()]
     assert want and len(got) == len(want) and {(f, n): i for f, n, i in got} == want
     assert most_rows(out) <= len(symbols)
+
+
+def test_texts_embedded_together_equal_each_alone(spark):
+    rng = random.Random(3)
+    texts = ["", " .", "processPayment x_y", "KKaB İstanbul aB", "Σas ÉcoleB 9A a9B AAa", "a", "é\n", "A" * 4_000, "runs running runs"]
+    texts += ["".join(rng.choices("aAbB9 _.éKKİ\n#s", k=rng.randrange(60))) for _ in range(400)]
+    want = [chunks.embed(x) for x in texts]
+    assert (chunks.embed_all(texts) == want).all() and len(chunks.embed_all([])) == 0
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "k long, t string")
+    got = {r["k"]: r["embedding"] for r in chunks.hash_embed(docs, "k", "t").collect()}
+    assert got.pop(-1) == chunks.embed("").tolist() and len(got) == len(texts)
+    assert all((np.float32(got[i]) == x.astype(np.float32)).all() for i, x in enumerate(want))
