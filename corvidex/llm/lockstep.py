@@ -1,4 +1,4 @@
-"""Many words at once by the merge rule itself, in lockstep: for files of ids (operator 7).
+"""Many words at once by the merge rule itself, in lockstep: for files of ids (operators 2 and 7).
 
 Texts are cut at white space, each different string gets a number, and only these strings are encoded: cut into words,
 the different words laid out by length, one row each. A step looks for the pair of lowest rank in every row, the left one
@@ -187,5 +187,5 @@ class Lockstep:
 
 
 @functools.lru_cache(maxsize=1)
-def load_lockstep(vocabulary: str = VOCABULARY) -> Lockstep:
-    return Lockstep(load(vocabulary))
+def load_lockstep(vocabulary: str = VOCABULARY, specials: bool = True) -> Lockstep:
+    return Lockstep(load(vocabulary, specials))

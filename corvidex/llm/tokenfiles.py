@@ -17,31 +17,47 @@ at most, since a file is read as one cell of Spark's binaryFile source: below 2
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.llm.bpe import VOCABULARY, load
+from corvidex.llm.bpe import VOCABULARY
 from corvidex.llm.common import by_batch, shared_path, table
+from corvidex.llm.lockstep import load_lockstep
 
 #: The end-of-document id of the vocabulary.
 END = 49407
 BLOCK = 1 << 22
 #: Documents in a file.
 FILE = 16_384
+#: Bytes of the texts that a worker encodes at once; nothing is kept from one such group to the next.
+GROUP = 1 << 21
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, file: int = FILE) -> None:
-    """Write the token files of whole texts, ``file`` documents each at most. The text writer gives bytes as they are, and the separator as its line end."""
+def encoded(vocabulary: str, end: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Ids of whole texts as little-endian 16-bit integers, a group of texts at a time."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(vocabulary, False)
-        return pa.RecordBatch.from_pydict({"raw": pa.array([bpe.encode(x).astype("<u2").tobytes() for x in batch.column("text").to_pylist()], pa.binary())})
+        bpe, whole, raw = load_lockstep(vocabulary, False), pc.fill_null(batch.column("text"), ""), []
+        number = (pc.cumulative_sum(pc.cast(pc.binary_length(whole), pa.int64())).to_numpy() - 1) // GROUP
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(whole)]
+        for a, b in zip(cuts, cuts[1:]):
+            n, ids = bpe.texts(whole[a:b].to_pylist(), end)
+            view, ends = memoryview(ids.astype("<u2").tobytes()), np.cumsum(n)
+            # The writer puts the end itself.
+            raw += [bytes(view[2 * i : 2 * j - 2]) for i, j in zip((ends - n).tolist(), ends.tolist())]
+        return pa.RecordBatch.from_pydict({"raw": pa.array(raw, pa.binary())})
+
+    return run
 
-    raw = by_batch(docs.select("text"), run, "raw binary").select(F.col("raw").cast("string").alias("value"))
+
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, file: int = FILE) -> None:
+    """Write the token files of whole texts, ``file`` documents each at most. The text writer gives bytes as they are, and the separator as its line end."""
+    raw = by_batch(docs.select("text"), encoded(vocabulary, end), "raw binary").select(F.col("raw").cast("string").alias("value"))
     raw.write.option("lineSep", end.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", file).text(path)
 
 

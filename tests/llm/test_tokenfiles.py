@@ -1,10 +1,12 @@
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from corvidex.llm import tokenfiles
+from corvidex.llm.bpe import load
 
 
 def test_query_matches_the_library(spark, sf):
@@ -59,3 +61,19 @@ def test_several_files_a_partition(spark, docs_of, tmp_path):
     rows = tokenfiles.named(spark, docs, str(tmp_path / "t"), 4).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: i % 5 for i in range(50)} and len(rows) == 50
     assert len({r["file"] for r in rows}) >= 13
+
+
+def test_writing_keeps_no_strings_and_groups_change_nothing(spark, docs_of, tmp_path, monkeypatch):
+    texts = ["the cat", None, "x" * 300, "", "a <|endoftext|> b", " é Σ", "It's", None]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for group in (1, 100, 1 << 21):
+        monkeypatch.setattr(tokenfiles, "GROUP", group)
+        path = str(tmp_path / f"t{group}")
+        tokenfiles.write(docs_of(texts).coalesce(1), path)
+        rows = sorted(tokenfiles.count(spark, path).collect(), key=lambda r: r["doc_no"])
+        assert [r["n_tokens"] for r in rows] == want
+    encode = tokenfiles.encoded(tokenfiles.VOCABULARY, tokenfiles.END)
+    encode(pa.RecordBatch.from_pydict({"text": [f"word{i} other{i}." for i in range(3_000)]}))
+    assert not load(tokenfiles.VOCABULARY, False).chunks
