@@ -34,11 +34,11 @@ from corvidex.llm.common import by_batch, table
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct white-space separated strings whose ids a worker keeps, twice over: at the limit it starts anew and takes
 #: back from the generation before what occurs again.
-CACHED = 250_000
+CACHED = 120_000
 #: The same for words of letters, digits or signs, whose merging costs the most.
-PIECES = 800_000
+PIECES = 170_000
 #: Longer strings are encoded each time and never kept, so that both caches are bounded in bytes too: with some 60 bytes
-#: of overhead for a key, an entry and its ids each, about 300 MB at most.
+#: of overhead for a key, an entry and its ids each, about 120 MB at most.
 LONGEST = 48
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -119,6 +119,7 @@ class WordBpe:
         self.letters = np.frombuffer(b"".join(names), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(x) for x in names]))).astype(np.int64)
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunks = _Chunks(self)
 
     def _stays(self, a: int, b: int, limit: int) -> bool:
@@ -190,12 +191,14 @@ class WordBpe:
     def _piece(self, piece: str) -> bytes:
         held = self.pieces.get(piece)
         if held is None:
-            raw = piece.encode()
-            units = codecs.charmap_decode(raw, "strict", self.inner)[0][:-1] + self.last[raw[-1]]
             if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            ids = self.merge(units)
-            held = struct.pack(f"<{len(ids)}I", *ids)
+                self.older, self.pieces = self.pieces, {}
+            held = self.older.pop(piece, None)
+            if held is None:
+                raw = piece.encode()
+                units = codecs.charmap_decode(raw, "strict", self.inner)[0][:-1] + self.last[raw[-1]]
+                ids = self.merge(units)
+                held = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= LONGEST:
                 self.pieces[piece] = held
         return held

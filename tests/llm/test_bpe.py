@@ -61,3 +61,18 @@ def test_very_long_texts(library, text):
     assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
     assert own.decode_bytes(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
     assert len(own.chunks) <= held[0] + 3 and max(map(len, own.pieces)) <= bpe.LONGEST and max(map(len, own.chunks)) <= bpe.LONGEST
+
+
+def test_small_caches_take_back_what_occurs_again(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 20)
+    monkeypatch.setattr(bpe, "CACHED", 20)
+    own = bpe.WordBpe(bpe.resolve(bpe.VOCABULARY))
+    merged, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda units: merged.append(units) or merge(units))
+    text = " ".join(f"again, {'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}x" for i in range(100))
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    # "," occurs in a chunk that is itself kept; the words in between are new each time.
+    assert max(merged.count(x) for x in set(merged)) == 1
+    assert len(own.pieces) <= 20 and len(own.older) <= 20 and len(own.pairs) <= 40
+    own.encode("again again, again; again. again! again? again: " * 3)
+    assert merged.count(merged[0]) <= 2
