@@ -73,9 +73,8 @@ def filestats_by_user(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS x FROM lineitem),
-g AS (SELECT g FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
 n AS (SELECT x, count(*) AS c FROM f GROUP BY 1),
-p AS (SELECT a.x AS a, b.x AS b, count(*) AS count FROM f a JOIN f b USING (g) JOIN g USING (g) WHERE a.x < b.x GROUP BY 1, 2)
+p AS (SELECT a.x AS a, b.x AS b, count(*) AS count FROM f a JOIN f b USING (g) WHERE a.x < b.x GROUP BY 1, 2)
 SELECT a, b, count, round(count / greatest(1, least(na.c, nb.c)), 6) AS ratio, round(count / greatest(1, least(na.c, nb.c)) * least(count, 10), 6) AS score
 FROM p JOIN n na ON a = na.x JOIN n nb ON b = nb.x WHERE count > 1""")
 def event_cochange(t: Tables) -> DataFrame:
