@@ -8,12 +8,18 @@ its own edges only; the parts are the nodes of the next level, which starts from
 to speak of, or nothing can be merged into parts, its communities are the nodes of the next level, so that there are few
 levels. It ends when every node of a level is a community. At last, communities that aren't connected are cut into their components.
 
-Each level's edges are written once. A round reads them and writes one row a node; nothing is collected but sums.
+A graph is taken apart into its connected components first, as no community spans two of them. Components of a bounded number
+of pairs go to tasks, many small ones together, where the same rounds run over arrays. Larger ones are run by Spark: each level's
+edges are written once, a round reads them and writes one row a node; nothing is collected but sums.
 Weights are whole numbers, whose sums don't depend on their order, so that results are the same in each run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -26,8 +32,12 @@ SHARE, LEAST_CUT, LEAST_COHESION, LEAST_SPARSE = 0.25, 10, 0.05, 50
 #: Growth of modularity that counts as such: at least this, and this share of what a level has gained; rounds without it
 #: that end a level's moves, so that each node had a turn; the share of what all levels have gained that makes one worth refining.
 GROWTH, OF_GAINED, STALE, OF_ALL = 1e-4, 0.05, 2, 0.01
+#: The second of these over arrays, where a round costs less.
+OF_ARRAYS = 0.01
 #: Rounds of a refinement: each node has one turn.
 REFINING = 2
+#: Pairs of nodes that a task runs over: about 150 bytes each. Graphs of more than a part of that have a task of their own.
+PAIRS_A_TASK, OF_TASK = 1_000_000, 8
 
 
 def both_ways(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -36,12 +46,24 @@ def both_ways(edges: DataFrame, weight: str | None = None) -> DataFrame:
     return ends.union(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def _nodes(both: DataFrame, group: DataFrame | None = None) -> DataFrame:
+def pairs_of(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """src <= dst, w: each pair of an undirected graph once, loops among them; edges of a pair add up."""
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    return ends.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    """``pairs_of`` edges in both directions, as ``both_ways`` has them."""
+    back = pairs.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    return pairs.select("src", "dst", F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w")).alias("w")).union(back)
+
+
+def _nodes(both: DataFrame, group: DataFrame | None = None, m2: int | None = None) -> DataFrame:
     """id, k (weight of its edges), m2 (that of its whole graph) and community (itself). ``group``: id, g; each group is a
-    graph of its own."""
+    graph of its own. ``m2``: that of a graph of which ``both`` is a part."""
     k = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
     if group is None:
-        return k.crossJoin(F.broadcast(both.agg(F.sum("w").alias("m2")))).withColumn("community", F.col("id"))
+        return k.withColumn("m2", F.lit(m2).cast("long")).withColumn("community", F.col("id"))
     k = k.join(group, "id")
     return k.join(k.groupBy("g").agg(F.sum("k").alias("m2")), "g").select("id", "k", "m2", F.col("id").alias("community"))
 
@@ -81,6 +103,160 @@ def _moved(both: DataFrame, nodes: DataFrame, resolution: float, rounds: int | N
             return best, best_q - first_q
 
 
+def _array_moves(src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, m2: np.ndarray, own: np.ndarray, resolution: float, rounds: int | None = None) -> tuple[np.ndarray, float]:
+    """What ``_moved`` does, over arrays: the communities of nodes 0, 1, ... and what they gain. Edges go both ways, without loops."""
+    n = len(k)
+    halves, least = _mixed(np.arange(n, dtype=np.uint64)), _least(k, m2)
+    best, best_q, first_q, stale, turn, still = own, None, None, 0, 0, 0
+    while True:
+        _, own = np.unique(own, return_inverse=True)
+        total, size = np.bincount(own, k), np.bincount(own)
+        there, here = own[dst], own[src]
+        inside = there == here
+        own_w = np.bincount(src[inside], w[inside], n)
+        if rounds is None:
+            q = float(np.sum((own_w - resolution * k * total[own] / m2) / m2))
+            first_q = q if first_q is None else first_q
+            stale = 0 if best_q is None or q > best_q + max(least, OF_ARRAYS * (best_q - first_q)) else stale + 1
+            if best_q is None or q > best_q:
+                best_q, best = q, own
+            if still == 2 or stale == STALE:
+                return best, best_q - first_q
+        elif turn == rounds:
+            return own, 0.0
+        mine = (halves >> np.uint64(turn // 2 % 64)) & np.uint64(1) == turn % 2
+        asked = ~inside & mine[src]
+        node, to, votes = _summed(src[asked], there[asked], w[asked], n, len(total))
+        moved = own
+        if len(node):
+            gain = votes - resolution * k[node] * total[to] / m2[node]
+            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            most = np.repeat(np.maximum.reduceat(gain, starts), np.diff(np.r_[starts, len(node)]))
+            held = np.flatnonzero(gain == most)
+            held = held[np.r_[True, node[held][1:] != node[held][:-1]]]  # ties to the least community
+            x, to, gain = node[held], to[held], gain[held]
+            stays = own_w[x] - resolution * k[x] * (total[own[x]] - k[x]) / m2[x]
+            better = (gain > stays + 1e-9) & ~((size[own[x]] == 1) & (size[to] == 1) & (to > own[x]))
+            moved = own.copy()
+            moved[x[better]] = to[better]
+        still = still + 1 if np.array_equal(moved, own) else 0
+        own, turn = moved, turn + 1
+
+
+def _least(k: np.ndarray, m2: np.ndarray) -> float:
+    """``GROWTH`` of what these nodes are of their graphs."""
+    return GROWTH * float(np.sum(k / m2))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 even bits of each number."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of a < n and b < m in order, with the sums of their weights."""
+    key = a * m + b
+    if n * m <= 4 * len(key):
+        sums = np.bincount(key, w, n * m)
+        at = np.flatnonzero(sums)
+        return at // m, at % m, sums[at]
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[starts] // m, key[starts] % m, np.add.reduceat(w[order], starts) if len(key) else w[:0]
+
+
+def _array_leiden(src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, m2: np.ndarray, resolution: float) -> np.ndarray:
+    """What ``_leiden`` does, over arrays, as often as it gains something from the communities of the time before; then cut into
+    connected parts. A community is one of its nodes' places."""
+    found = np.arange(len(k))
+    while True:
+        found, gained = _array_levels(src, dst, w, k, m2, found, resolution)
+        if gained <= _least(k, m2):
+            inside = found[src] == found[dst]
+            return _array_components(len(k), src[inside], dst[inside])
+
+
+def _array_levels(src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, m2: np.ndarray, own: np.ndarray, resolution: float) -> tuple[np.ndarray, float]:
+    """The communities of all levels from ``own`` on, and what they gain."""
+    place, every = np.arange(len(k)), 0.0
+    while True:
+        own, gained = _array_moves(src, dst, w, k, m2, own, resolution)
+        every += gained
+        groups, part = np.unique(own, return_inverse=True)
+        if len(groups) == len(k):
+            return own[place], every
+        if gained > max(_least(k, m2), OF_ALL * every):
+            inside = own[src] == own[dst]
+            names, refined = np.unique(_array_moves(src[inside], dst[inside], w[inside], k, m2, np.arange(len(k)), resolution, REFINING)[0], return_inverse=True)
+            part = refined if len(names) < len(k) else part
+        _, first = np.unique(part, return_index=True)
+        place, own, m2, n = part[place], own[first], m2[first], len(first)
+        k = np.bincount(part, k)
+        a, b = part[src], part[dst]
+        src, dst, w = _summed(a[a != b], b[a != b], w[a != b], n, n)
+
+
+def _array_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of ``n`` nodes: roots are hung on lesser ones until no pair crosses."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def _whole(m2: int | None, resolution: float, count: int | None) -> Callable[[pa.Table], pa.Table]:
+    """From the pairs of one graph or several (src, dst, w, g) to id, community; see ``_split``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
+        a, b = np.split(at, 2)
+        w, n = table["w"].to_numpy().astype(float), len(ids)
+        k = np.bincount(a, w, n) + np.bincount(b, w, n)
+        loop = a == b
+        loops = np.bincount(a[loop], 2 * w[loop], n)
+        src, dst, w = np.r_[a[~loop], b[~loop]], np.r_[b[~loop], a[~loop]], np.r_[w[~loop], w[~loop]]
+        if m2 is None:
+            g = np.unique(table["g"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            of = np.empty(n, np.int64)
+            of[a], of[b] = g, g
+            found = _array_leiden(src, dst, w, k, np.bincount(of, k)[of], resolution)
+        else:
+            found = _array_leiden(src, dst, w, k, np.full(n, float(m2)), resolution)
+
+        def cut(found: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            """The communities that are true in ``chosen``, each cut by a run of its own."""
+            if not chosen.any():
+                return found
+            inner = (found[src] == found[dst]) & chosen[found[src]]
+            k = np.bincount(src[inner], w[inner], n) + np.where(chosen[found], loops, 0)
+            used = np.flatnonzero(k)
+            to = np.zeros(n, np.int64)
+            to[used] = np.arange(len(used))
+            again = _array_leiden(to[src[inner]], to[dst[inner]], w[inner], k[used], np.bincount(found, k, n)[found[used]], 1.0)
+            out = np.where(chosen[found], np.arange(n), found)
+            out[used] = used[again]
+            return out
+
+        if count is not None:
+            found = cut(found, np.bincount(found, minlength=n) > max(LEAST_CUT, int(count * SHARE)))
+            size, inner = np.bincount(found, minlength=n), found[src] == found[dst]
+            edges = np.bincount(found[src[inner]], minlength=n) / 2
+            found = cut(found, (size >= LEAST_SPARSE) & (np.round(edges / np.maximum(size * (size - 1) / 2, 1), 6) < LEAST_COHESION))
+        names = table.schema.field("src").type
+        return pa.table({"id": pa.array(ids, names), "community": pa.array(ids[found], names)})
+
+    return run
+
+
 def _within(both: DataFrame, groups: DataFrame) -> DataFrame:
     """The edges whose ends have the same community."""
     at = lambda end, name: groups.select(F.col("id").alias(end), F.col("community").alias(name))
@@ -118,24 +294,96 @@ def connected(both: DataFrame, groups: DataFrame) -> DataFrame:
     return written(named, "connected")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """id, component (one of its ids) of all ends of ``pairs``. Stars are made of two neighbours of each node, which leaves few
+    components; the pairs that still cross these are joined after that."""
+    ends = pairs.select("src", "dst").union(pairs.select("dst", "src"))
+    near = ends.groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
+    found = written(graph.components(written(near.select("src", F.explode(F.array("a", "b")).alias("dst")).distinct(), "near")), "components")
+    crossing = written(_tagged(pairs, found).where("g <> h").select(F.col("g").alias("src"), F.col("h").alias("dst")).distinct(), "crossing")
+    if crossing.isEmpty():
+        return found
+    joined = graph.components(crossing).select(F.col("id").alias("component"), F.col("component").alias("of"))
+    return written(found.join(joined, "component", "left").select("id", F.coalesce("of", "component").alias("component")), "components")
+
+
+def _tagged(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``pairs`` with g and h, the components of their ends."""
+    at = lambda end, name: found.select(F.col("id").alias(end), F.col("component").alias(name))
+    return pairs.join(at("src", "g"), "src").join(at("dst", "h"), "dst")
+
+
+def _split(tagged: DataFrame, m2: int | None, resolution: float, count: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(id, community of the graphs g of few pairs, which tasks have run; the pairs of the others, if any).
+
+    ``tagged``: pairs and their g. ``m2`` is that of the whole graph; without it each g is a graph of its own. ``count``: the number of nodes
+    of the whole graph, where large and sparse communities are to be cut as well.
+    """
+    sizes = written(tagged.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    few, n, own = sizes.where(F.col("n") <= PAIRS_A_TASK).agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") * OF_TASK > PAIRS_A_TASK)).first()
+    shared = -(-2 * (n or 0) // PAIRS_A_TASK)  # half full, so that few hold more than their bound
+    at = F.xxhash64("g")
+    task = F.when(F.col("n") * OF_TASK > PAIRS_A_TASK, at).otherwise(F.pmod(at, F.lit(max(shared, 1))))
+    small = tagged.join(sizes.where(F.col("n") <= PAIRS_A_TASK).select("g", task.alias("task")), "g").select("task", "g", "src", "dst", "w")
+    schema = tagged.select(F.col("src").alias("id"), F.col("src").alias("community")).schema
+    done = small.repartition(max(1, min(4 * (own + shared), 4 * few)), "task").groupBy("task").applyInArrow(_whole(m2, resolution, count), schema)
+    large = tagged.join(sizes.where(F.col("n") > PAIRS_A_TASK).select("g"), "g", "left_semi") if sizes.count() > few else None
+    return written(done, "done"), large
+
+
+def _one_graph(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with g, the component; of a graph that a task can hold, all are one."""
+    n, least = pairs.agg(F.count("*"), F.min("src")).first()
+    if n <= PAIRS_A_TASK:
+        return pairs.select("src", "dst", "w", F.lit(least).alias("g"))
+    return written(pairs.join(components(pairs).select(F.col("id").alias("src"), F.col("component").alias("g")), "src").select("src", "dst", "w", "g"), "tagged")
+
+
 def partition(both: DataFrame, resolution: float = 1.0) -> DataFrame:
     """id, community of the nodes of ``both_ways`` edges: the partition of greatest modularity that is found, connected."""
-    if both.isEmpty():
-        return both.select(F.col("src").alias("id"), F.col("src").alias("community"))
-    return connected(both, _leiden(both, written(_nodes(both), "start"), resolution))
+    loop = F.col("src") == F.col("dst")
+    return _partition(both.where("src <= dst").select("src", "dst", F.when(loop, F.expr("w div 2")).otherwise(F.col("w")).alias("w")), resolution)
+
+
+def _partition(pairs: DataFrame, resolution: float) -> DataFrame:
+    done, large = _parted(pairs, resolution, None)
+    return done if large is None else done.union(large[1])
+
 
+def _parted(pairs: DataFrame, resolution: float, count: int | None) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(id, community of the nodes of components of few pairs, cut if there is a ``count``; pairs and id, community of the
+    others, if any, not cut)."""
+    m2 = 2 * (pairs.agg(F.sum("w")).first()[0] or 0)
+    done, large = _split(_one_graph(pairs), m2, resolution, count)
+    if large is None:
+        return done, None
+    both = written(_turned(large.select("src", "dst", "w")), "edges")
+    found = connected(both, _leiden(both, written(_nodes(both, m2=m2), "start"), resolution))
+    return done, (large.select("src", "dst", "w"), found)
 
-def _cut(both: DataFrame, groups: DataFrame, large: DataFrame, resolution: float) -> DataFrame:
+
+def _cut(pairs: DataFrame, groups: DataFrame, large: DataFrame, resolution: float) -> DataFrame:
     """``groups`` with the communities of ``large`` cut by a run of their own each, all at once."""
     chosen = written(groups.join(large.select("community"), "community", "left_semi").select("id", "community"), "to-cut")
     if chosen.isEmpty():
         return groups
-    inner = written(_within(both, chosen), "inner")
-    found = connected(inner, _leiden(inner, written(_nodes(inner, chosen.withColumnRenamed("community", "g")), "inner-nodes"), resolution))
+    inner = written(_tagged(pairs, chosen.withColumnRenamed("community", "component")).where("g = h").select("src", "dst", "w", "g"), "inner")
+    found, rest = _split(inner, None, resolution)
+    if rest is not None:
+        both = written(_turned(rest.select("src", "dst", "w")), "inner-edges")
+        found = found.union(connected(both, _leiden(both, written(_nodes(both, chosen.withColumnRenamed("community", "g")), "inner-nodes"), resolution)))
     alone = chosen.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("community"))
     return written(groups.join(chosen.select("id"), "id", "left_anti").select("id", "community").union(found).union(alone), "cut")
 
 
+def _cuts(pairs: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """``groups`` with large communities of ``count`` nodes cut, and after them large sparse ones."""
+    sizes = groups.groupBy("community").agg(F.count("*").alias("n"))
+    groups = _cut(pairs, groups, sizes.where(F.col("n") > max(LEAST_CUT, int(count * SHARE))), 1.0)
+    sparse = graph.cohesion(pairs, groups).where((F.col("n") >= LEAST_SPARSE) & (F.col("cohesion") < LEAST_COHESION))
+    return _cut(pairs, groups, sparse, 1.0)
+
+
 def communities(edges: DataFrame, weight: str | None = None, nodes: DataFrame | None = None, resolution: float = 1.0, hubs_above: float | None = None) -> DataFrame:
     """id, community (its least id) of every node of ``edges`` (src, dst) and of ``nodes`` (id).
 
@@ -144,30 +392,26 @@ def communities(edges: DataFrame, weight: str | None = None, nodes: DataFrame |
     hubs after those. Large communities, and large sparse ones, are cut once more. Nodes without edges stay alone. Null ends
     are no edges; an empty graph has no rows.
     """
-    both = written(both_ways(edges.where("src IS NOT NULL AND dst IS NOT NULL"), weight), "edges")
-    every = both.select(F.col("src").alias("id"))
+    pairs = written(pairs_of(edges.where("src IS NOT NULL AND dst IS NOT NULL"), weight), "pairs")
+    every = pairs.select(F.col("src").alias("id")).union(pairs.select("dst"))
     every = written((every if nodes is None else every.union(nodes.select("id").where("id IS NOT NULL"))).distinct(), "nodes")
     count = every.count()
-    left_out = None
-    used = both
-    if hubs_above is not None:
+    if not count:
+        return every.select("id", F.col("id").alias("community"))
+    stay = lambda groups: groups.select("id", "community").union(every.join(groups.select("id"), "id", "left_anti").select("id", F.col("id").alias("community")))
+    if hubs_above is None:
+        groups, large = _parted(pairs, resolution, count)
+        groups = groups if large is None else groups.union(_cuts(*large, count))
+        groups = written(stay(groups), "communities")
+    else:
+        both = written(_turned(pairs), "edges")
         degrees = both.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
         counted = sorted(tuple(r) for r in degrees.groupBy("degree").agg(F.count("*")).collect())  # one row a different degree
         bound = _percentile(counted, hubs_above)
         left_out = written(degrees.where(F.col("degree") > bound).select("id"), "hubs")
         gone = lambda c: left_out.select(F.col("id").alias(c))
-        used = written(both.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst", "w"), "used")
-    if not count:
-        return every.select("id", F.col("id").alias("community"))
-    groups = partition(used, resolution)
-    if left_out is not None:
-        groups = _rejoined(both, groups, left_out)
-    alone = every.join(groups.select("id"), "id", "left_anti").select("id", F.col("id").alias("community"))
-    groups = written(groups.select("id", "community").union(alone), "communities")
-    sizes = groups.groupBy("community").agg(F.count("*").alias("n"))
-    groups = _cut(both, groups, sizes.where(F.col("n") > max(LEAST_CUT, int(count * SHARE))), 1.0)
-    sparse = graph.cohesion(both, groups).where((F.col("n") >= LEAST_SPARSE) & (F.col("cohesion") < LEAST_COHESION))
-    groups = _cut(both, groups, sparse, 1.0)
+        used = written(pairs.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst", "w"), "used")
+        groups = _cuts(pairs, written(stay(_rejoined(both, _partition(used, resolution), left_out)), "communities"), count)
     named = groups.groupBy("community").agg(F.min("id").alias("first"))
     return groups.join(named, "community").select("id", F.col("first").alias("community"))
 

@@ -135,3 +135,58 @@ def test_few_levels_on_a_graph_without_communities(spark, monkeypatch):
     assert connected(edges, place)
     assert modularity(edges, place) >= modularity(edges, louvain(edges)) - 0.005
     assert len(calls) <= 8  # moves and refinements; a level that hardly gains anything is not refined
+
+
+def test_components_of_few_pairs_are_run_by_tasks(spark, monkeypatch):
+    """Sixty copies of a graph that has no communities: no round of Spark, and each copy as good as a plain run."""
+    monkeypatch.setattr(C, "PAIRS_A_TASK", 400)
+    monkeypatch.setattr(C, "_moved", lambda *a: pytest.fail("a round over all edges"))
+    draw = random.Random(4)
+    one = [(draw.randrange(20), 20 + draw.randrange(60), 1) for _ in range(300)]
+    edges = [(a + 1000 * c, b + 1000 * c, w) for c in range(60) for a, b, w in one]
+    edges += [(100_000 + 10 * i, 100_001 + 10 * i, 1) for i in range(3000)]
+    place = found(C.communities(graph(spark, edges), "w"))
+    assert connected(edges, place) and set(place) == {x for a, b, _ in edges for x in (a, b)}
+    assert all(place[100_000 + 10 * i] == place[100_001 + 10 * i] == 100_000 + 10 * i for i in range(3000))
+    ends = {c: {x: p for x, p in place.items() if x // 1000 == c} for c in range(60)}
+    assert all(p // 1000 == c for c, inside in ends.items() for p in inside.values())
+    # Each copy is cohesive enough to stay whole at the modularity of the whole graph.
+    assert modularity(edges, place) >= modularity(edges, louvain(edges)) - 0.005
+
+
+@pytest.mark.parametrize("pairs", [300, 1_000_000])
+def test_large_components_beside_small_ones(spark, monkeypatch, pairs):
+    monkeypatch.setattr(C, "PAIRS_A_TASK", pairs)
+    large = planted(6, 20, 0.3, 40, 5)
+    edges = large + [(a + 10_000, b + 10_000, w) for a, b, w in planted(2, 12, 0.5, 6, 6)] + [(90_000, 90_000, 3)]
+    both = C.written(C.both_ways(graph(spark, edges), "w"), "test")
+    place = found(C.partition(both))
+    assert connected(edges, place) and set(place) == {x for a, b, _ in edges for x in (a, b)}
+    assert modularity(edges, place) >= modularity(edges, louvain(edges)) - 0.005
+    whole = found(C.communities(graph(spark, edges), "w"))
+    assert connected(edges, whole) and set(whole) == set(place)
+    assert all(c == min(x for x, o in whole.items() if o == c) for c in set(whole.values()))
+
+
+def test_names_as_ids(spark):
+    edges = planted(4, 10, 0.6, 10, 7)
+    named = [(f"n{a}", f"n{b}", w) for a, b, w in edges]
+    place = found(C.communities(spark.createDataFrame(named, "src string, dst string, w long"), "w"))
+    assert connected(named, place) and modularity(named, place) >= modularity(edges, louvain(edges)) - 0.005
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_stars_and_crossing_pairs(spark, seed):
+    draw = random.Random(seed)
+    pairs = [(a, b) for a, b in ((draw.randrange(300), draw.randrange(300)) for _ in range(200)) if a <= b] + [(i, i + 1) for i in range(400, 450)]
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r["id"]: r["component"] for r in C.components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert set(got) == set(root) and len({(got[x], top(x)) for x in root}) == len(set(got.values())) == len({top(x) for x in root})
