@@ -322,7 +322,7 @@ def communities_sound(t: Tables) -> DataFrame:
     edges = weighted_supply(t.lineitem)
     found = C.written(C.communities(edges, "n"), "found")
     ends = found.groupBy("community").agg(F.count("*").alias("n"))
-    parts = G.components(C._within(C.both_ways(edges), found)).join(found, "id").groupBy("community").agg(F.count_distinct("component").alias("parts"))
+    parts = C.components(C.written(C._within(C.pairs_of(edges), found), "within")).join(found, "id").groupBy("community").agg(F.count_distinct("component").alias("parts"))
     broken = ends.join(parts, "community", "left").agg(F.count_if((F.col("n") > 1) & (F.coalesce("parts", F.lit(0)) != 1)).alias("disconnected"))
     return found.agg(F.count_distinct("id").alias("nodes"), F.count("*").alias("placed")).crossJoin(F.broadcast(broken))
 
