@@ -9,8 +9,8 @@ to speak of, or nothing can be merged into parts, its communities are the nodes
 levels. It ends when every node of a level is a community. At last, communities that aren't connected are cut into their components.
 
 A graph is taken apart into its connected components first, as no community spans two of them. Components of a bounded number
-of pairs go to tasks, many small ones together, where the same rounds run over arrays. Larger ones are run by Spark: each level's
-edges are written once, a round reads them and writes one row a node; nothing is collected but sums.
+of pairs go to tasks, many small ones together, where the same rounds run over arrays. Larger ones are run by Spark until a level is small enough: each
+level's edges are written once, a round reads them and writes one row a node; nothing is collected but sums.
 Weights are whole numbers, whose sums don't depend on their order, so that results are the same in each run.
 """
 
@@ -285,11 +285,31 @@ def _leiden(both: DataFrame, nodes: DataFrame, resolution: float) -> DataFrame:
         # Ids of the next level are parts, so its communities are named by one of theirs.
         named = nodes.groupBy("community").agg(F.min("id").alias("first"))
         nodes = written(nodes.join(named, "community").select("id", "k", "m2", F.col("first").alias("community")), "level")
+        if both.count() <= 2 * PAIRS_A_TASK and nodes.count() <= 2 * PAIRS_A_TASK:  # the levels left fit a task
+            schema = nodes.select("id", "community").schema
+            one = lambda rows: rows.withColumn("task", F.lit(0)).groupBy("task")
+            last = one(nodes).cogroup(one(both.where("src <> dst"))).applyInArrow(_levels_left(resolution), schema)
+            return place.join(written(last, "levels-left").withColumnRenamed("id", "at"), "at").select("id", "community")
+
+
+def _levels_left(resolution: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """From the nodes and edges of a level to id, community after all levels, named by one of its nodes."""
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("id")
+        ids = nodes["id"].to_numpy()
+        at = lambda c, t: np.searchsorted(ids, t[c].to_numpy())
+        k, m2, w = (t[c].to_numpy().astype(float) for t, c in ((nodes, "k"), (nodes, "m2"), (edges, "w")))
+        found, _ = _array_levels(at("src", edges), at("dst", edges), w, k, m2, at("community", nodes), resolution)
+        first = np.unique(found, return_index=True, return_inverse=True)
+        return pa.table({"id": nodes["id"], "community": nodes["id"].take(pa.array(first[1][first[2]]))})
+
+    return run
 
 
 def connected(both: DataFrame, groups: DataFrame) -> DataFrame:
     """``groups`` with each community that isn't connected cut into its components; a community is named by its least id."""
-    parts = graph.components(_within(both, groups))
+    parts = components(written(_within(both.where("src <= dst"), groups), "within"))
     named = groups.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
     return written(named, "connected")
 

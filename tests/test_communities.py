@@ -190,3 +190,12 @@ def test_components_of_stars_and_crossing_pairs(spark, seed):
         root[max(top(a), top(b))] = min(top(a), top(b))
     got = {r["id"]: r["component"] for r in C.components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert set(got) == set(root) and len({(got[x], top(x)) for x in root}) == len(set(got.values())) == len({top(x) for x in root})
+
+
+def test_levels_that_fit_a_task_take_no_more_rounds(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIRS_A_TASK", 300)
+    edges, calls, moved = planted(6, 20, 0.3, 40, 5), [], C._moved
+    monkeypatch.setattr(C, "_moved", lambda *a: calls.append(1) or moved(*a))
+    place = found(C.partition(C.written(C.both_ways(graph(spark, edges), "w"), "test")))
+    assert connected(edges, place) and modularity(edges, place) >= modularity(edges, louvain(edges)) - 0.005
+    assert len(calls) == 2  # moves and refinement of the first level
