@@ -36,7 +36,7 @@ GROWTH, OF_GAINED, STALE, OF_ALL = 1e-4, 0.05, 2, 0.01
 OF_ARRAYS = 0.01
 #: Rounds of a refinement: each node has one turn.
 REFINING = 2
-#: Pairs of nodes that a task runs over: about 150 bytes each. Graphs of more than a part of that have a task of their own.
+#: Pairs of nodes that a task runs over: about 220 bytes each. Graphs of more than a part of that have a task of their own.
 PAIRS_A_TASK, OF_TASK = 1_000_000, 8
 
 
